@@ -14,14 +14,19 @@ from .common import ascii_lower, staged, words
 BUCKETS = 1 << 18  # frequency buckets: the table that tasks share is 2 MB at any size of input
 
 
-def shingles(text: Column, n: int) -> Column:
-    """Distinct n-word shingles as 64-bit hashes; a shorter text is one shingle; none without words."""
-    w = words(ascii_lower(text))
+def with_shingles(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id and sh: distinct n-word shingles as 64-bit hashes; a shorter text is one shingle; none without words.
+
+    The words are a column of their own, so that they are split once per row and not once per shingle.
+    """
+    w = F.col("w")
     gram = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])
-    return (
+    return docs.select("doc_id", words(ascii_lower(F.col("text"))).alias("w")).select(
+        "doc_id",
         F.when(F.size(w) == 0, F.array().cast("array<bigint>"))
         .when(F.size(w) < n, F.array(F.xxhash64(F.lit("short"), F.concat_ws(" ", w))))
         .otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), gram)))
+        .alias("sh"),
     )
 
 
@@ -80,14 +85,14 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     without words link with nothing; null text has none; a null doc_id is a row of its own class;
     repeated rows share a class; an empty table gives an empty table.
     """
-    base = docs.select("doc_id", shingles(F.col("text"), n).alias("sh"))
-    keyed = base.withColumn("size", F.size("sh").cast("long")).withColumn("sorted", F.sort_array("sh"))
+    keyed = with_shingles(docs, n).withColumn("size", F.size("sh").cast("long")).withColumn("sorted", F.sort_array("sh"))
     keyed = keyed.select("doc_id", "size", "sh", F.when(F.col("size") > 0, F.struct(F.xxhash64("sorted"), F.hash("sorted"), F.col("size"))).alias("key"))
     ids = staged(keyed.select("doc_id", "size", "key"))
     reps = staged(ids.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
     one = reps.select(F.col("rep").alias("id"))
-    sets = keyed.select(F.col("doc_id").alias("id"), "sh", "size").filter("size > 0").join(one, "id", "left_semi").dropDuplicates(["id"])
-    sets = staged(sets)
+    # only rows with words are read again; a filter on the sets themselves would be pushed below the words
+    full = with_shingles(docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")), n).withColumnRenamed("doc_id", "id")
+    sets = staged(full.join(one, "id", "left_semi").dropDuplicates(["id"]).select("id", "sh", F.size("sh").cast("long").alias("size")))
     # a table of BUCKETS counts comes to the driver, whatever the input's size
     counts = np.zeros(BUCKETS, np.int64)
     for r in sets.select(F.explode("sh").alias("s")).groupBy(F.expr(f"s & {BUCKETS - 1}").alias("k")).count().toLocalIterator():
@@ -134,5 +139,3 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id is null"))
 
-
-ORACLE = None

@@ -92,12 +92,12 @@ def _joined(rows: DataFrame, params: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(p, on, "left").drop(*[f"p_{k}" for k in key])
 
 
-def mcd_models(stats: DataFrame, key: list[str], share: float = 0.75, steps: int = 3, ridge: float = 1e-3) -> DataFrame:
+def mcd_models(stats: DataFrame, key: list[str], share: float = 0.75, steps: int = 3, ridge: float = 4e-3) -> DataFrame:
     """Minimum-covariance-determinant fit per group by concentration steps.
 
     The start is each group's median and spread; a step keeps the `share` of rows nearest by
     Mahalanobis distance and fits again. Cut points come from mergeable quantile sketches.
-    The result has one row per group, with the scale that makes the median distance that of chi-square.
+    The result has one row per group, with its median distance.
     """
     x = stats.select(*key, *[f.alias(f"x{i}") for i, f in enumerate(_features())])
     start = x.groupBy(*key).agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(P)])
@@ -125,9 +125,9 @@ def judge(stats: DataFrame, key: list[str], limit: float = 80.0) -> DataFrame:
     keys form a group. Repeated rows are judged one by one; an empty table gives an empty table.
     """
     models = mcd_models(stats.filter(~base_failed()), key)
-    # 3.357 is the median of chi-square with 4 degrees of freedom
+    # 3.357 is the median of chi-square with 4 degrees of freedom; a wider median shrinks distances, a narrower one leaves them
     d = _joined(stats.withColumns({f"x{i}": f for i, f in enumerate(_features())}), models, key)
-    d = d.withColumn("distance", F.coalesce(_distance() * 3.357 / F.greatest(F.col("mid"), F.lit(1e-6)), F.lit(0.0)))
+    d = d.withColumn("distance", F.coalesce(_distance() * 3.357 / F.greatest(F.col("mid"), F.lit(3.357)), F.lit(0.0)))
     drop = [c for c in models.columns if c not in key] + [f"x{i}" for i in range(P)]
     return d.drop(*drop).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= limit))
 
