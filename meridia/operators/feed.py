@@ -1,0 +1,23 @@
+"""Change feed and favourites over orders and customers."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def change_page(orders: DataFrame, after: tuple[str, int], size: int) -> DataFrame:
+    """The next `size` changes after (time, id); ties in time go on by id. Deleted routes come as tombstones."""
+    ts = F.lit(dt.datetime.fromisoformat(after[0]))
+    later = (F.col("o_orderdate") > ts) | ((F.col("o_orderdate") == ts) & (F.col("o_orderkey") > after[1]))
+    page = orders.filter(later).orderBy("o_orderdate", "o_orderkey").limit(size)
+    return page.select(F.col("o_orderkey").alias("route_id"), F.col("o_orderdate").alias("updated_at"), (F.col("o_orderstatus") == "F").alias("deleted"))
+
+
+def places_with_favourite(places: DataFrame, user: int) -> DataFrame:
+    """Shared places and those of the user, marked where they are favourites."""
+    fav = places.filter((F.col("c_custkey") % 3 == 0) & (F.col("c_nationkey") == user)).select(F.col("c_custkey").alias("k"))
+    seen = places.filter((F.col("c_custkey") % 10 == 0) | (F.col("c_nationkey") == user))
+    return seen.join(fav, seen["c_custkey"] == fav["k"], "left").select(F.col("c_custkey").alias("place_id"), F.col("c_mktsegment").alias("category"), F.col("k").isNotNull().alias("favourite"))
