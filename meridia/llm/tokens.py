@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,7 +18,9 @@ from .common import shared_dir, staged
 
 END_ID = 1
 BATCH = 256
-CACHE = 400_000  # chunks remembered by a task at most; older ones are encoded again
+CACHE = 600_000  # chunks a worker remembers at most; others are encoded each time
+TAIL = re.compile(r"(?<=[^\W_])([.,])(?!\S)")  # one mark after a word is a token of its own
+_encoders: dict[str, "ChunkEncoder"] = {}  # kept by a worker between its tasks
 
 
 def _open(url: str):
@@ -29,29 +33,41 @@ class ChunkEncoder:
     """Encodes texts chunk by chunk. The tokenizer splits at white space, so chunks between blanks are independent."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok, self.seen = Tokenizer.from_file(path), {}
 
+    @staticmethod
+    def of(path: str) -> ChunkEncoder:
+        if path not in _encoders:
+            _encoders[path] = ChunkEncoder(path)
+        return _encoders[path]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        parts = [TAIL.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
         seen = self.seen
-        if len(seen) > CACHE:
-            seen.clear()
-        new = list({c for p in parts for c in p if c not in seen})
-        if new:
-            for c, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-                seen[c] = np.asarray(e.ids, "<u4").tobytes()
+        new = list({c for p in parts for c in p}.difference(seen))
+        ids = {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False))} if new else {}
+        if len(seen) + len(ids) <= CACHE:
+            seen.update(ids)
+            get = seen.__getitem__
+        else:
+            get = {**ids, **{c: seen[c] for p in parts for c in p if c in seen}}.__getitem__
         end = np.asarray([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join([seen[c] for c in p]) + end, "<u4") for p in parts]
+        return [np.frombuffer(b"".join(map(get, p)) + end, "<u4") for p in parts]
+
+    def width(self) -> str:
+        """The narrowest unsigned integers that hold every id."""
+        return "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, out: str) -> DataFrame:
     """Writes the ids of all texts in ascending doc_id order; returns the manifest.
 
-    One .bin (little-endian uint32), one .idx (int64 end offsets) and one .ids (int64 doc_id) per
+    One .bin (little-endian, 16 bits where the vocabulary fits and else 32), one .idx (int64 end offsets) and one .ids (int64 doc_id) per
     partition; file names are new for each attempt and only those in the manifest count, so a
-    task that runs again does no harm. The manifest has part, path, n_docs, n_tokens and base, the
+    task that runs again does no harm. The manifest has part, path, width, n_docs, n_tokens and base, the
     ids before the part. Null text is empty; repeated rows are written as often as they come;
     a null doc_id comes first and is stored as the smallest int64; an empty table gives no part.
     """
@@ -59,7 +75,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str) -> DataFrame:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         stem = f"{out}/part-{part:06d}-{uuid.uuid4().hex}"
-        enc, ends, ids, at, files = ChunkEncoder(tokenizer), [], [], 0, None
+        enc, ends, ids, at, files = ChunkEncoder.of(tokenizer), [], [], 0, None
+        kind_of = enc.width()
         for b in batches:
             for i in range(0, len(b), BATCH):
                 cut = b.iloc[i : i + BATCH]
@@ -68,7 +85,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str) -> DataFrame:
                     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     files = fs.open_output_stream(path + ".bin")
                 for a in enc.encode([t if isinstance(t, str) else "" for t in cut["text"]]):
-                    files.write(a.tobytes())
+                    files.write(a.astype(kind_of).tobytes())
                     at += len(a)
                     ends.append(at)
                 ids.extend(cut["doc_id"].tolist())
@@ -77,11 +94,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str) -> DataFrame:
             for kind, v in (("idx", ends), ("ids", ids)):
                 with fs.open_output_stream(f"{path}.{kind}") as f:
                     f.write(np.asarray(v, "<i8").tobytes())
-            yield pd.DataFrame({"part": [part], "path": [stem], "n_docs": [len(ids)], "n_tokens": [at]})
+            yield pd.DataFrame({"part": [part], "path": [stem], "width": [kind_of], "n_docs": [len(ids)], "n_tokens": [at]})
 
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    m = staged(rows.mapInPandas(write, "part int, path string, n_docs long, n_tokens long"))
+    m = staged(rows.mapInPandas(write, "part int, path string, width string, n_docs long, n_tokens long"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return staged(m.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long")))  # one row per file
 
@@ -98,16 +115,16 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 with fs.open_input_file(path + ".ids") as f:
                     ids = np.frombuffer(f.read(), "<i8")
                 if fs.type_name == "local":
-                    flat = np.memmap(path + ".bin", "<u4", "r")
+                    flat = np.memmap(path + ".bin", r.width, "r")
                 else:
                     with fs.open_input_file(path + ".bin") as f:
-                        flat = np.frombuffer(f.read(), "<u4")
+                        flat = np.frombuffer(f.read(), r.width)
                 starts = np.concatenate([[0], ends[:-1]])
                 for i in range(0, len(ids), 10_000):
                     s, e = starts[i : i + 10_000], ends[i : i + 10_000]
-                    yield pd.DataFrame({"doc_id": ids[i : i + 10_000], "start": s + r.base, "n_tokens": e - s, "ids_crc32": [zlib.crc32(flat[x:y]) for x, y in zip(s, e)]})
+                    yield pd.DataFrame({"doc_id": ids[i : i + 10_000], "start": s + r.base, "n_tokens": e - s, "ids_crc32": [zlib.crc32(flat[x:y].astype("<u4")) for x, y in zip(s, e)]})
 
-    parts = manifest.select("path", "base").repartition(F.col("path"))
+    parts = manifest.select("path", "width", "base").repartition(F.col("path"))
     out = parts.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
 
