@@ -124,7 +124,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     s, e = starts[i : i + 10_000], ends[i : i + 10_000]
                     yield pd.DataFrame({"doc_id": ids[i : i + 10_000], "start": s + r.base, "n_tokens": e - s, "ids_crc32": [zlib.crc32(flat[x:y].astype("<u4")) for x, y in zip(s, e)]})
 
-    parts = manifest.select("path", "width", "base").repartition(F.col("path"))
+    # one task per file: a count given by number is not merged by size, as rows this small would be
+    parts = manifest.select("path", "width", "base").repartition(max(1, manifest.count()), "path")
     out = parts.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
 
