@@ -6,28 +6,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged, words
+from .common import staged
+from .passages import rolled
 
 BUCKETS = 1 << 18  # frequency buckets: the table that tasks share is 2 MB at any size of input
+MOST_WORDS = 1 << 20
+NO_ID = -(2**63)
 
 
-def with_shingles(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and sh: distinct n-word shingles as 64-bit hashes; a shorter text is one shingle; none without words.
+class WordHashes(dict):
+    """64-bit hashes of words, kept by a task; emptied when it grows large."""
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > MOST_WORDS:
+            self.clear()
+        self[w] = h = xxhash.xxh64_intdigest(w)
+        return h
+
+
+def shingle_set(text: str | None, n: int, seen: WordHashes) -> np.ndarray:
+    """Sorted distinct n-word shingles as 64-bit hashes; a shorter text is one shingle; none without words."""
+    ws = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []  # bytes: A-Z and ASCII blanks only
+    if not ws:
+        return np.zeros(0, np.int64)
+    if len(ws) < n:
+        return np.array([xxhash.xxh64_intdigest(b"\0" + b" ".join(ws))], np.uint64).view(np.int64)
+    return np.unique(rolled(np.fromiter(map(seen.__getitem__, ws), np.uint64, len(ws)), n))
+
+
+def set_id(s: np.ndarray) -> int:
+    """A signed 64-bit name of a whole set."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))).view(np.int64))
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """A bit per bucket, set where an odd number of shingles falls in; two bits or more per shingle, a power of two."""
+    m = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount(s & (m - 1), minlength=m) & 1).astype(np.uint8))
 
-    The words are a column of their own, so that they are split once per row and not once per shingle.
-    """
-    w = F.col("w")
-    gram = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])
-    return docs.select("doc_id", words(ascii_lower(F.col("text"))).alias("w")).select(
-        "doc_id",
-        F.when(F.size(w) == 0, F.array().cast("array<bigint>"))
-        .when(F.size(w) < n, F.array(F.xxhash64(F.lit("short"), F.concat_ws(" ", w))))
-        .otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), gram)))
-        .alias("sh"),
-    )
+
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """The parities for fewer buckets."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def bucket_counts(docs: DataFrame, n: int) -> np.ndarray:
+    """Documents per hash bucket of shingles. BUCKETS numbers come to the driver, whatever the input's size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, total = WordHashes(), np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for t in b["text"]:
+                np.add.at(total, shingle_set(t, n, seen) & (BUCKETS - 1), 1)
+        k = np.flatnonzero(total)
+        yield pd.DataFrame({"k": k, "n": total[k]})
+
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in docs.select("text").mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["k"]] = r["n"]
+    return counts
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -46,76 +87,102 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _prefixes(counts: np.ndarray, percent: int):
+def _fingerprints(counts: np.ndarray, n: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = WordHashes()
         for b in batches:
             out = []
-            for s in b["sh"]:
-                s = np.asarray(s, np.int64)
-                s = s[np.lexsort((s, counts[s & (BUCKETS - 1)]))]
-                out.append(s[: len(s) - -(-percent * len(s) // 100) + 1].tolist())
-            yield pd.DataFrame({"id": b["id"], "size": b["size"], "prefix": out})
+            for i, t in zip(b["doc_id"], b["text"]):
+                s = shingle_set(t, n, seen)
+                rare = s[np.argsort(counts[s & (BUCKETS - 1)], kind="stable")]
+                prefix = rare[: len(s) - -(-percent * len(s) // 100) + 1] if len(s) else s
+                out.append((i, set_id(s), len(s), set_id(np.append(prefix, len(s))), prefix, parities(s).tobytes() if len(s) else b""))
+            yield pd.DataFrame(out, columns=["doc_id", "cid", "size", "p", "prefix", "bits"])
 
     return run
 
 
+def _screened(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their parities allow.
+
+    Parities of two sets differ in no more buckets than the sets do in shingles, so no pair that is alike enough goes.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = []
+            for x, y, n in zip(b["ba"], b["bb"], b["na"] + b["nb"]):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                m = min(len(x), len(y))
+                differ = int(np.bitwise_count(fold(x, m) ^ fold(y, m)).sum())
+                ok.append(differ * (100 + percent) <= n * (100 - percent))
+            yield b.loc[np.array(ok, bool), ["a", "b"]]
+
+    a = sketches.select(F.col("cid").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
+    b = sketches.select(F.col("cid").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb"))
+    return staged(pairs.join(a, "a").join(b, "b").mapInPandas(run, "a long, b long"))
+
+
 def _alike(percent: int) -> Column:
     both = F.size(F.array_intersect("sa", "sb"))
     return 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are alike enough. Pairs bring the ids only; sets come by shuffle join."""
-    a = sets.select(F.col("id").alias("a"), F.col("sh").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs whose sets are alike enough. Sets are made again for the classes in pairs only, and come by shuffle join."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = WordHashes()
+        for b in batches:
+            got = [(c, s) for c, t in zip(b["cid"], b["text"]) if set_id(s := shingle_set(t, n, seen)) == c]
+            yield pd.DataFrame(got, columns=["cid", "s"])
+
+    named = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    want = classes.join(named, "cid").select("cid", F.col("rep").alias("doc_id"))
+    sets = staged(docs.select("doc_id", "text").join(want, "doc_id").select("cid", "text").mapInPandas(run, "cid long, s array<long>").dropDuplicates(["cid"]))
+    a = sets.select(F.col("cid").alias("a"), F.col("s").alias("sa"))
+    b = sets.select(F.col("cid").alias("b"), F.col("s").alias("sb"))
     return staged(pairs.join(a, "a").join(b, "b").filter(_alike(percent)).select("a", "b"))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs.
 
-    1. Rows with equal sets form one class, named by the least doc_id.
+    1. Rows with equal sets form one class, named by a hash of the set.
     2. Shingles are ordered by the frequency of their hash bucket, rare ones first, and each class keeps
        its prefix. Classes with equal prefix and size form a group.
     3. Members of a group, and of a posting list, are first compared with one leader each: as many
        comparisons as members. What this links becomes one component.
     4. Postings that still hold several components give the pairs between these; members of one
        component are linked already, so no pair between them is made. Verified pairs join components.
-    No pair that could join two components is left out. Sets are compared as 64-bit hashes. Rows
-    without words link with nothing; null text has none; a null doc_id is a row of its own class;
-    repeated rows share a class; an empty table gives an empty table.
+    Before sets are fetched, parities screen out pairs that cannot be alike enough. No pair that could
+    join two components is left out. Sets are compared as 64-bit hashes. Rows without words link with
+    nothing; null text has none; a null doc_id names no class (it is kept as the smallest int64 on the
+    way); repeated rows share a class; an empty table gives an empty table.
     """
-    keyed = with_shingles(docs, n).withColumn("size", F.size("sh").cast("long")).withColumn("sorted", F.sort_array("sh"))
-    keyed = keyed.select("doc_id", "size", "sh", F.when(F.col("size") > 0, F.struct(F.xxhash64("sorted"), F.hash("sorted"), F.col("size"))).alias("key"))
-    ids = staged(keyed.select("doc_id", "size", "key"))
-    reps = staged(ids.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
-    one = reps.select(F.col("rep").alias("id"))
-    # only rows with words are read again; a filter on the sets themselves would be pushed below the words
-    full = with_shingles(docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")), n).withColumnRenamed("doc_id", "id")
-    sets = staged(full.join(one, "id", "left_semi").dropDuplicates(["id"]).select("id", "sh", F.size("sh").cast("long").alias("size")))
-    # a table of BUCKETS counts comes to the driver, whatever the input's size
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in sets.select(F.explode("sh").alias("s")).groupBy(F.expr(f"s & {BUCKETS - 1}").alias("k")).count().toLocalIterator():
-        counts[r["k"]] = r["count"]
-    pre = staged(sets.select("id", "size", "sh").mapInPandas(_prefixes(counts, percent), "id long, size long, prefix array<long>"))
-    grouped = staged(pre.groupBy(F.xxhash64("prefix").alias("p"), F.col("size")).agg(F.min("id").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix")))
+    counts = bucket_counts(docs, n)
+    keyed = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), "text")
+    rows = staged(keyed.mapInPandas(_fingerprints(counts, n, percent), "doc_id long, cid long, size long, p long, prefix array<long>, bits binary"))
+    classes = staged(rows.filter((F.col("size") > 0) & (F.col("doc_id") != NO_ID)).groupBy("cid", "size", "p").agg(F.min("doc_id").alias("rep")))
+    own = classes.select("cid", F.col("rep").alias("doc_id"))
+    groups = staged(classes.groupBy("p").agg(F.min("cid").alias("gid"), F.count("*").alias("members")))
     # group members against the group's leader
-    member = pre.select("id", "size", F.xxhash64("prefix").alias("p")).join(grouped.filter("members > 1").select("p", "size", "gid"), ["p", "size"])
-    inside = member.filter("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))
-    # postings of groups, those of one group dropped
-    post = grouped.select("gid", "size", F.explode("prefix").alias("t"))
-    heads = post.groupBy("t").agg(F.min("gid").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    post = staged(post.join(heads.select("t", "lead"), "t"))
+    member = classes.select("cid", "p").join(groups.filter("members > 1"), "p").select("cid", "gid")
+    inside = member.filter("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
+    # postings of groups; those of one group dropped
+    lead = own.join(groups.select(F.col("gid").alias("cid")), "cid")
+    post = rows.select("cid", "doc_id", "size", "prefix").join(lead, ["cid", "doc_id"]).select(F.col("cid").alias("gid"), "size", F.explode("prefix").alias("t"))
+    heads = post.groupBy("t").agg(F.min("gid").alias("lead"), F.max("gid").alias("last")).filter("lead < last").select("t", "lead")
+    post = staged(post.join(heads, "t"))
     size_ok = lambda x, y: (F.col(x) * 100 >= percent * F.col(y)) & (F.col(y) * 100 >= percent * F.col(x))
-    lead_size = sets.select(F.col("id").alias("lead"), F.col("size").alias("lsize"))
-    star = post.select("gid", "size", "lead").filter("gid <> lead").distinct().join(lead_size, "lead").filter(size_ok("size", "lsize"))
-    first = staged(inside.unionByName(star.select(F.col("lead").alias("a"), F.col("gid").alias("b"))).distinct())
-    busy = staged(first.select(F.col("a").alias("id")).union(first.select("b")).union(post.select("gid")).union(member.select("id")).distinct())
-    sets = staged(sets.join(busy, "id", "left_semi"))
-    links = _verified(first, sets, percent)
+    star = post.select("gid", "size", "lead").filter("gid <> lead").distinct().join(classes.select(F.col("cid").alias("lead"), F.col("size").alias("lsize")), "lead").filter(size_ok("size", "lsize"))
+    first = inside.unionByName(star.select(F.col("lead").alias("a"), F.col("gid").alias("b"))).distinct()
+    busy = member.select("cid").union(post.select("gid")).distinct()
+    sketches = staged(rows.select("cid", "doc_id", "size", "bits").join(own.join(busy, "cid"), ["cid", "doc_id"]).select("cid", "size", "bits").dropDuplicates(["cid"]))
+    links = _verified(_screened(first, sketches, percent), classes, docs, n, percent)
     comp = staged(components(links))
     # rest: pairs across components
-    full = member.select("id", "gid").unionByName(grouped.filter("members = 1").select(F.col("gid").alias("id"), "gid"))
+    full = member.select(F.col("cid").alias("id"), "gid").unionByName(groups.filter("members = 1").select(F.col("gid").alias("id"), "gid"))
     tagged = full.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "gid", F.coalesce("root", "id").alias("c"))
     spread = post.select("gid", "size", "t").join(tagged, "gid")
     several = spread.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("t")
@@ -126,11 +193,14 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     # members of one group in different components
     split = tagged.join(tagged.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("gid"), "gid")
     g, h = split.select("gid", F.col("id").alias("a"), F.col("c").alias("ac")), split.select("gid", F.col("id").alias("b"), F.col("c").alias("bc"))
-    pairs = staged(pairs.union(g.join(h, "gid").filter("ac < bc").select("a", "b")).distinct())
-    more = _verified(pairs, sets, percent)
+    pairs = pairs.union(g.join(h, "gid").filter("ac < bc").select("a", "b")).distinct()
+    more = _verified(_screened(pairs, sketches, percent), classes, docs, n, percent)
     comp = staged(components(links.unionByName(more)))
-    named = reps.join(comp, reps["rep"] == comp["node"], "left").select("key", F.coalesce("root", "rep").alias("root"))
-    return ids.join(named, "key", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    named = staged(classes.select("cid", "rep").join(comp, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root")))
+    low = named.groupBy("root").agg(F.min("rep").alias("low"))
+    named = named.select("cid", "root").join(low, "root").select("cid", "low")
+    real = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+    return rows.select("doc_id", "cid", "size").join(named, "cid", "left").select(real.alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("low", real).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -138,4 +208,3 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     gone = staged(jaccard_classes(docs, n, percent).filter("doc_id <> component_id").select("doc_id").distinct())
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id is null"))
-
