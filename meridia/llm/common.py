@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
+MOST_WORDS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +50,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, kept by a task; emptied when it grows large."""
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > MOST_WORDS:
+            self.clear()
+        self[w] = h = xxhash.xxh64_intdigest(w)
+        return h

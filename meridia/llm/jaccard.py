@@ -10,24 +10,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import WordHashes, staged
 from .passages import rolled
 
 BUCKETS = 1 << 18  # frequency buckets: the table that tasks share is 2 MB at any size of input
-MOST_WORDS = 1 << 20
 NO_ID = -(2**63)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept by a task; emptied when it grows large."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self[w] = h = xxhash.xxh64_intdigest(w)
-        return h
-
-
 def shingle_set(text: str | None, n: int, seen: WordHashes) -> np.ndarray:
     """Sorted distinct n-word shingles as 64-bit hashes; a shorter text is one shingle; none without words."""
     ws = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []  # bytes: A-Z and ASCII blanks only

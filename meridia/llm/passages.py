@@ -1,4 +1,4 @@
-"""Substring dedup: repeated passages, confirmed by window and located by automata."""
+"""Substring dedup: repeated passages, confirmed by segment and window, and cut from every text."""
 
 from __future__ import annotations
 
@@ -7,21 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, words
+from .common import WordHashes, staged
 
 GRAM = 6
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def word_hashes(ws: list[str]) -> np.ndarray:
-    seen: dict[str, int] = {}
-    for w in ws:
-        if w not in seen:
-            seen[w] = xxhash.xxh64_intdigest(w)
-    return np.array([seen[w] for w in ws], np.uint64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(27))).view(np.int64)
 
 
 def rolled(h: np.ndarray, n: int) -> np.ndarray:
@@ -30,10 +29,17 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + (h[k : len(h) - n + 1 + k] ^ (h[k : len(h) - n + 1 + k] >> np.uint64(29)))
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return (out ^ (out >> np.uint64(27))).view(np.int64)
+        out = out * np.uint64(BASE) + (h[k : len(h) - n + 1 + k] ^ (h[k : len(h) - n + 1 + k] >> np.uint64(29)))
+    return mixed(out)
+
+
+def ranged(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of the words lo to hi (exclusive), for each pair: differences of prefix sums, moved to power 0."""
+    up, down = np.full(len(h) + 1, BASE, np.uint64), np.full(len(h) + 1, BASE_INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up), np.cumprod(down)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((h ^ (h >> np.uint64(29))) * up[:-1])])
+    return mixed((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
 
 
 def minimizers(g: np.ndarray, span: int) -> np.ndarray:
@@ -42,65 +48,85 @@ def minimizers(g: np.ndarray, span: int) -> np.ndarray:
     return np.arange(len(w)) + w.argmin(1)
 
 
-def removed(docs: DataFrame, n: int = 35) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each row: words in a window of n words that starts elsewhere too are gone.
+def hashed(ws: list[bytes], seen: WordHashes) -> np.ndarray:
+    return np.fromiter(map(seen.__getitem__, ws), np.uint64, len(ws))
 
-    Equal windows choose equal anchors: the least-hashed run of GRAM words inside. Anchors seen twice or more
-    mark the windows to confirm; these are counted by 128 bits of hash and those found twice are removed. Rows are
-    keyed by doc_id and a copy number made from the input, so repeated rows count as other places. Null text and
-    texts under n words lose nothing; an empty table gives none.
-    """
-    span = n - GRAM + 1
-    rows = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("rid", F.monotonically_increasing_id())
 
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [np.zeros(0, np.int64)]
-            for w in b["w"]:
-                if len(w) >= n:
-                    g = rolled(word_hashes(list(w)), GRAM)
-                    got.append(g[np.unique(minimizers(g, span))])
-            yield pd.DataFrame({"g": np.concatenate(got)})
+def segments(h: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Anchor hash, segment hash, first and last window start of each run of windows that choose one anchor."""
+    if len(h) < n:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    g = rolled(h, GRAM)
+    at = minimizers(g, n - GRAM + 1)
+    lo = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+    hi = np.concatenate([lo[1:] - 1, [len(at) - 1]])
+    return g[at[lo]], ranged(h, lo, hi + n), lo, hi
 
-    twice = staged(rows.select("w").mapInPandas(anchors, "g long").groupBy("g").count().filter("count > 1").select("g"))
 
-    def per_doc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packed(docs: DataFrame, n: int) -> DataFrame:
+    """A numbered row per text: the text compressed, and its segments."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, pack = WordHashes(), zstandard.ZstdCompressor(3)
         for b in batches:
-            for r, w in zip(b["rid"], b["w"]):
-                if len(w) >= n:
-                    g = rolled(word_hashes(list(w)), GRAM)
-                    u = np.unique(minimizers(g, span))
-                    yield pd.DataFrame({"rid": r, "pos": u, "g": g[u]})
+            raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in b["text"]]
+            seg = [segments(hashed(t.split(), seen), n) for t in raw]
+            out = {"rid": b["rid"], "doc_id": b["doc_id"].array, "z": [pack.compress(t) for t in raw]}
+            yield pd.DataFrame(out | {k: [s[i] for s in seg] for i, k in enumerate("gslh")})
+
+    rows = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+    return staged(rows.mapInPandas(run, "rid long, doc_id long, z binary, g array<long>, s array<long>, l array<int>, h array<int>"))
 
-    placed = rows.select("rid", "w").mapInPandas(per_doc, "rid long, pos long, g long").join(twice, "g")
-    marks = staged(placed.groupBy("rid").agg(F.collect_list("pos").alias("at")))  # bounded by one text's length
+
+def removed(docs: DataFrame, n: int = 35) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each row: words in a window of n words that starts elsewhere too are gone.
+
+    Equal windows choose equal anchors: the least-hashed run of GRAM words inside. The windows in a row that
+    choose one anchor make a segment. A segment found twice or more repeats as a whole. Where an anchor has
+    several different segments, the windows of one copy of each are compared: a window in two of them repeats
+    as well. Anchor and segment or window are compared by 64 bits of hash each. Rows are numbered in a written
+    table, so repeated rows count as other places; texts travel compressed. Null text and texts under n words
+    lose nothing; an empty table gives none; a null doc_id is kept.
+    """
+    packed = _packed(docs, n)
+    each = packed.select("rid", F.inline(F.arrays_zip("g", "s", F.col("l").alias("lo"), F.col("h").alias("hi"))).alias("g", "s", "lo", "hi"))
+    kinds = staged(each.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("m")))
+    whole = each.join(kinds.filter("n > 1").select("g", "s"), ["g", "s"]).select("rid", "lo", "hi")
+    several = kinds.groupBy("g").agg(F.min("s").alias("x"), F.max("s").alias("y")).filter("x < y").select("g")
+    one = kinds.join(several, "g").select(F.col("m.rid").alias("rid"), F.struct("m.lo", "m.hi", (F.col("n") == 1).alias("once")).alias("r"))
+    asked = one.groupBy("rid").agg(F.collect_list("r").alias("r"))  # bounded by one text's length
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, un = WordHashes(), zstandard.ZstdDecompressor()
         for b in batches:
-            for r, w, at in zip(b["rid"], b["w"], b["at"]):
-                h = word_hashes(list(w))
+            for rid, z, runs in zip(b["rid"], b["z"], b["r"]):
+                h = hashed(un.decompress(z).split(), seen)
+                i = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs])
+                once = np.repeat([r["once"] for r in runs], [r["hi"] - r["lo"] + 1 for r in runs])
                 g = rolled(h, GRAM)
-                i = np.flatnonzero(np.isin(minimizers(g, span), np.asarray(at)))
-                yield pd.DataFrame({"rid": r, "i": i, "h1": rolled(h, n)[i], "h2": rolled(h * np.uint64(0xD6E8FEB86659FD93), n)[i]})
+                yield pd.DataFrame({"rid": rid, "i": i, "once": once, "g": g[minimizers(g, n - GRAM + 1)[i]], "w": ranged(h, i, i + n)})
 
-    near = staged(rows.join(marks, "rid").select("rid", "w", "at").mapInPandas(windows, "rid long, i long, h1 long, h2 long"))
-    again = near.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
-    cover = staged(near.join(again, ["h1", "h2"]).groupBy("rid").agg(F.collect_list("i").alias("cut")))  # bounded by one text's length
+    shown = staged(packed.select("rid", "z").join(asked, "rid").mapInPandas(windows, "rid long, i int, once boolean, g long, w long"))
+    again = shown.groupBy("g", "w").agg(F.count("*").alias("c")).filter("c > 1").select("g", "w")
+    edge = shown.filter("once").join(again, ["g", "w"]).select("rid", F.col("i").alias("lo"), F.col("i").alias("hi"))
+    cover = whole.unionByName(edge).groupBy("rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))  # as above
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        un = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for w, cut in zip(b["w"], b["cut"]):
-                keep = np.ones(len(w), bool)
-                if cut is not None:
-                    d = np.zeros(len(w) + 1, np.int64)
-                    np.add.at(d, np.asarray(cut), 1)
-                    np.add.at(d, np.asarray(cut) + n, -1)
-                    keep = np.cumsum(d[:-1]) == 0
-                kept = " ".join(np.asarray(w, object)[keep]) if len(w) else ""
-                out.append((len(w), int((~keep).sum()), hashlib.sha256(kept.encode()).hexdigest()))
+            for z, lo, hi in zip(b["z"], b["lo"], b["hi"]):
+                w = un.decompress(z).split()
+                if lo is None:
+                    keep = np.ones(len(w), bool)
+                else:
+                    size = len(w) + 1
+                    keep = np.cumsum(np.bincount(lo, minlength=size) - np.bincount(hi + n, minlength=size))[:-1] == 0
+                kept = b" ".join(np.array(w, object)[keep]) if w else b""
+                out.append((len(w), int((~keep).sum()), hashlib.sha256(kept).hexdigest()))
             res = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
             res.insert(0, "doc_id", b["doc_id"].array)
             yield res
 
-    return rows.join(cover, "rid", "left").select("doc_id", "w", "cut").mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return packed.select("rid", "doc_id", "z").join(cover, "rid", "left").select("doc_id", "z", "lo", "hi").mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")

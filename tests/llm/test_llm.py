@@ -1,3 +1,5 @@
+import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -99,6 +101,21 @@ def test_passages(docs, none):
     assert passages.removed(none).count() == 0
 
 
+def test_passages_by_brute_force(spark):
+    pick = random.Random(3)
+    phrases = [[pick.choice("abcd") for _ in range(pick.randint(6, 30))] for _ in range(6)]
+    rows = [(i, " ".join(w for _ in range(pick.randint(0, 8)) for w in (pick.choice(phrases) if pick.random() < 0.7 else pick.choices("abc", k=5)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (8, 35):
+        seen = Counter(tuple(w[k : k + n]) for _, t in rows for w in [t.split()] for k in range(len(w) - n + 1))
+        want = []
+        for i, t in rows:
+            w = t.split()
+            cut = {k + j for k in range(len(w) - n + 1) if seen[tuple(w[k : k + n])] > 1 for j in range(n)}
+            want.append((i, len(w), len(cut), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in cut).encode()).hexdigest()))
+        assert sorted(map(tuple, passages.removed(df, n).collect())) == want
+
+
 def test_toxicity(spark, none):
     rows = [(i, f"plain word{i % 7} text" + (" vile" if i % 5 == 0 else "")) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
