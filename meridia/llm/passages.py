@@ -93,19 +93,21 @@ def removed(docs: DataFrame, n: int = 35) -> DataFrame:
     each = packed.select("rid", F.inline(F.arrays_zip("g", "s", F.col("l").alias("lo"), F.col("h").alias("hi"))).alias("g", "s", "lo", "hi"))
     kinds = staged(each.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("m")))
     whole = each.join(kinds.filter("n > 1").select("g", "s"), ["g", "s"]).select("rid", "lo", "hi")
-    several = kinds.groupBy("g").agg(F.min("s").alias("x"), F.max("s").alias("y")).filter("x < y").select("g")
+    several = kinds.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
     one = kinds.join(several, "g").select(F.col("m.rid").alias("rid"), F.struct("m.lo", "m.hi", (F.col("n") == 1).alias("once")).alias("r"))
     asked = one.groupBy("rid").agg(F.collect_list("r").alias("r"))  # bounded by one text's length
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, un = WordHashes(), zstandard.ZstdDecompressor()
         for b in batches:
+            parts = []
             for rid, z, runs in zip(b["rid"], b["z"], b["r"]):
                 h = hashed(un.decompress(z).split(), seen)
-                i = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs])
-                once = np.repeat([r["once"] for r in runs], [r["hi"] - r["lo"] + 1 for r in runs])
+                lo, size = np.array([r["lo"] for r in runs]), np.array([r["hi"] - r["lo"] + 1 for r in runs])
+                i = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
                 g = rolled(h, GRAM)
-                yield pd.DataFrame({"rid": rid, "i": i, "once": once, "g": g[minimizers(g, n - GRAM + 1)[i]], "w": ranged(h, i, i + n)})
+                parts.append((np.full(len(i), rid), i, np.repeat([r["once"] for r in runs], size), g[minimizers(g, n - GRAM + 1)[i]], ranged(h, i, i + n)))
+            yield pd.DataFrame({k: np.concatenate(p) for k, p in zip(("rid", "i", "once", "g", "w"), zip(*parts))})
 
     shown = staged(packed.select("rid", "z").join(asked, "rid").mapInPandas(windows, "rid long, i int, once boolean, g long, w long"))
     again = shown.groupBy("g", "w").agg(F.count("*").alias("c")).filter("c > 1").select("g", "w")
