@@ -21,3 +21,14 @@ def grid(value: Column, digits: int) -> Column:
 def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float]) -> Column:
     """Inclusive on all sides; box is west, south, east, north."""
     return lon.between(box[0], box[2]) & lat.between(box[1], box[3])
+
+
+def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
+    """Even-odd test of a point against a closed ring of (lon, lat)."""
+
+    def crosses(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, i + 1)
+        at = (b["lon"] - a["lon"]) * (lat - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"]
+        return ((a["lat"] > lat) != (b["lat"] > lat)) & (lon < at)
+
+    return F.size(F.filter(F.sequence(F.lit(0), F.size(ring) - 2), crosses)) % 2 == 1

@@ -1,0 +1,36 @@
+"""Idempotent ingestion, run lengths, gaps and text folding."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def insert_ignore(held: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of batch whose key is new: the first by order of each key, none that held has."""
+    first = batch.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("__n = 1").drop("__n")
+    return first.join(held.select(*keys), keys, "left_anti").select(*batch.columns)
+
+
+def runs(df: DataFrame, part: str, order: list[str], value: str) -> DataFrame:
+    """Runs of equal values in order: first position and length."""
+    w = Window.partitionBy(part).orderBy(*order)
+    p = df.withColumns({"pos": F.row_number().over(w), "new": (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("int")})
+    return p.withColumn("run", F.sum("new").over(w)).groupBy(part, "run", value).agg(F.min("pos").cast("long").alias("first"), F.count("*").alias("length"))
+
+
+def folded(name: Column) -> Column:
+    """Lower case without Spanish accents; other signs become single blanks."""
+    plain = F.translate(F.lower(F.coalesce(name, F.lit(""))), "áéíóúüñ", "aeiouun")
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+
+
+def token_postings(entries: DataFrame, key: str, name: str) -> DataFrame:
+    """token and the number of entries whose folded name has it."""
+    t = entries.select(key, F.explode(F.array_distinct(F.split(folded(F.col(name)), " "))).alias("token")).filter("token <> ''")
+    return t.groupBy("token").agg(F.count("*").alias("entries"))
+
+
+def newer_versions(held: DataFrame, offered: DataFrame) -> DataFrame:
+    """Codes whose offered version is above the held one; codes that are not offered go."""
+    return held.join(offered, "code").filter("offered > held").select("code", "held", "offered")

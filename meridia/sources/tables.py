@@ -27,3 +27,33 @@ def trip_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 7 != 0, (F.col("event_id") % 60).cast("double")).alias("accuracy"),
         (F.col("user_id") % 5).alias("profile"),
     )
+
+NODES_SQL = "select i as node, -79.95e0 + (i % 20) * 1e-3 as lon, -2.2e0 + (i // 20) * 1e-3 as lat from range(200) t(i)"
+EDGES_SQL = f"""with n as ({NODES_SQL}), e as (select node * 2 as edge, node as u, node + 1 as v from n where node % 20 < 19 union all select node * 2 + 1, node, node + 20 from n where node < 180)
+  select edge, u, v, a.lon as lon1, a.lat as lat1, b.lon as lon2, b.lat as lat2 from e join n a on e.u = a.node join n b on e.v = b.node"""
+FENCES_SQL = """select n_nationkey as fence, -79.95e0 + (n_nationkey % 20) * 1e-3 as lon, -2.2e0 + (n_nationkey // 3) * 1e-3 as lat,
+  case when n_nationkey % 2 = 0 then 150e0 + 10e0 * n_nationkey end as radius, 2e-3 + 1e-4 * n_nationkey as half from nation"""
+
+
+def road_nodes(spark: SparkSession) -> DataFrame:
+    """A grid of 20 by 10 junctions."""
+    return spark.range(200).select(F.col("id").alias("node"), (F.lit(-79.95) + (F.col("id") % 20) * F.lit(1e-3)).alias("lon"), (F.lit(-2.2) + F.expr("id div 20") * F.lit(1e-3)).alias("lat"))
+
+
+def road_edges(spark: SparkSession) -> DataFrame:
+    """Streets east and north of each junction, with both ends' positions."""
+    n = road_nodes(spark)
+    e = n.filter("node % 20 < 19").selectExpr("node * 2 as edge", "node as u", "node + 1 as v").unionByName(n.filter("node < 180").selectExpr("node * 2 + 1 as edge", "node as u", "node + 20 as v"))
+    a, b = n.toDF("u", "lon1", "lat1"), n.toDF("v", "lon2", "lat2")
+    return e.join(a, "u").join(b, "v").select("edge", "u", "v", "lon1", "lat1", "lon2", "lat2")
+
+
+def geofences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circles (radius in metres) for even keys, else squares as closed rings."""
+    k = F.col("n_nationkey")
+    f = load(spark, sf_dir, "nation").select(
+        k.alias("fence"), (F.lit(-79.95) + (k % 20) * F.lit(1e-3)).alias("lon"), (F.lit(-2.2) + F.expr("n_nationkey div 3") * F.lit(1e-3)).alias("lat"),
+        F.when(k % 2 == 0, F.lit(150.0) + F.lit(10.0) * k).alias("radius"), (F.lit(2e-3) + F.lit(1e-4) * k).alias("half"),
+    )
+    corner = lambda x, y: F.struct((F.col("lon") + x * F.col("half")).alias("lon"), (F.col("lat") + y * F.col("half")).alias("lat"))
+    return f.withColumn("ring", F.when(F.col("radius").isNull(), F.array(*[corner(x, y) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])))

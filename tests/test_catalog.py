@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.01"
 def test_same_as_sql(spark, name):
     got = catalog.queries()[name](spark, SF).toPandas()
     con = duckdb.connect()
-    for t in ("events", "orders", "customer"):
+    for t in ("events", "orders", "customer", "nation", "part"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(catalog.oracle_sql()[name]).df()
     assert set(got.columns) == set(want.columns)
