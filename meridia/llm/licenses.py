@@ -25,12 +25,42 @@ TEMPLATES = {
     "gpl": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "general public license"),
     "cc-by": ("this work is licensed under a creative commons attribution international license", "creative commons attribution"),
 }
+# fixed values: short notices and names, each with its label and the phrase it must hold
+NAMES = {
+    "mit": ["mit license"],
+    "apache-2.0": ["apache license version 2 0", "apache license 2 0"],
+    "bsd": ["bsd license", "bsd 2 clause license", "bsd 3 clause license", "2 clause bsd license", "3 clause bsd license"],
+    "mpl-2.0": ["mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0"],
+    "gpl": ["gnu general public license", "gnu gpl"],
+    "lgpl": ["gnu lesser general public license", "gnu library general public license", "gnu lgpl"],
+    "agpl": ["gnu affero general public license", "gnu agpl"],
+    "isc": ["isc license"],
+    "epl-2.0": ["eclipse public license version 2 0", "eclipse public license v 2 0", "eclipse public license 2 0"],
+    "unlicense": ["the unlicense"],
+    "cc0-1.0": ["cc0 1 0", "cc0 1 0 universal"],
+    "cc-by": ["cc by", "creative commons attribution"],
+    "cc-by-sa": ["cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"],
+    "cc-by-nc": ["cc by nc", "creative commons attribution noncommercial", "creative commons attribution non commercial"],
+    "cc-by-nd": ["cc by nd", "creative commons attribution noderivatives", "creative commons attribution no derivatives"],
+    "cc-by-nc-sa": ["cc by nc sa", "creative commons attribution noncommercial sharealike"],
+    "cc-by-nc-nd": ["cc by nc nd", "creative commons attribution noncommercial noderivatives"],
+}
+SPDX = {"mit": ["mit"], "apache-2.0": ["apache 2 0"], "bsd": ["bsd 2 clause", "bsd 3 clause"], "mpl-2.0": ["mpl 2 0"], "gpl": ["gpl 2 0", "gpl 3 0"], "lgpl": ["lgpl 2 1", "lgpl 3 0"], "agpl": ["agpl 3 0"], "isc": ["isc"], "epl-2.0": ["epl 2 0"], "unlicense": ["unlicense"], "cc0-1.0": ["cc0 1 0"]}
+OPENINGS = [
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "affero general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
+]
+FORMS = [(k, t, p) for k, (t, p) in TEMPLATES.items()] + OPENINGS
+FORMS += [(k, n, n) for k, ns in NAMES.items() for n in ns] + [(k, f"spdx license identifier {n}", f"identifier {n}") for k, ns in SPDX.items() for n in ns]
 LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 
 
 def word_counts(docs: DataFrame) -> dict[str, int]:
     """In how many rows each word of the templates stands, over all rows; the vocabulary is that of the templates."""
-    vocab = sorted({w for t, _ in TEMPLATES.values() for w in t.split()})
+    vocab = sorted({w for _, t, _ in FORMS for w in t.split()})
     ws = F.split(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), WORD.pattern.replace("[^", "["))
     hit = F.array_intersect(ws, F.array(*[F.lit(w) for w in vocab]))
     return {r["w"]: r["n"] for r in docs.select(F.explode(hit).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
@@ -41,13 +71,14 @@ def license_table(docs: DataFrame, rarest: int = 6, least: float = 0.6) -> DataF
 
     A file's rarest template words, by document frequency in docs, look up (template, position); the
     relative positions are counted and the best one is scored by the share of the template's words that
-    stand there. A label needs its key phrase within that place. Null text is empty and gets no label;
+    stand there. A template is an opening sentence, a short notice or a name, each of its own length. A label
+    needs its key phrase within that place. Null text is empty and gets no label;
     ties go to the first template; repeated rows give repeated results; an empty table gives none.
     """
     df = word_counts(docs)
-    templates = {k: (t.split(), p.split()) for k, (t, p) in TEMPLATES.items()}
+    templates = [(lab, t.split(), p.split()) for lab, t, p in FORMS]
     where = defaultdict(list)
-    for k, (ws, _) in templates.items():
+    for k, (_, ws, _) in enumerate(templates):
         for i, w in enumerate(ws):
             where[w].append((k, i))
     base = [(p.split(), lab) for p, lab in PHRASES.items()]
@@ -67,11 +98,11 @@ def license_table(docs: DataFrame, rarest: int = 6, least: float = 0.6) -> DataF
                 for (k, off), n in votes.items():
                     if n < 2:
                         continue
-                    tw, key = templates[k]
+                    lab, tw, key = templates[k]
                     part = ws[max(0, off) : max(0, off) + len(tw) + len(key)]
                     s = sum(0 <= off + j < len(ws) and ws[off + j] == w for j, w in enumerate(tw)) / len(tw)
                     if s >= least and any(part[i : i + len(key)] == key for i in range(len(part))):
-                        own.add(k)
+                        own.add(lab)
                         score = max(score, s)
                 labels = {lab for _, lab in places}
                 first = [i for i, _ in places]

@@ -131,3 +131,15 @@ def test_pages(spark):
     df = spark.createDataFrame([(1, "http://h/1", page), (2, None, None), (3, "http://k/1", bare.format(1)), (4, "http://k/2", bare.format(2))], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in pages.page_table(df).collect()}
     assert got[1] == "T&a\na\nb c" and got[2] == "" and "own 2" in (got[3], got[4]) or "own 1" in (got[3], got[4])
+
+
+def test_license_lines(spark):
+    lines = {
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl", "SPDX-License-Identifier: ISC": "isc",
+        "Under the Eclipse Public License 2.0": "epl-2.0", "See the Apache server, version 2.0, and mit": "",
+    }
+    df = spark.createDataFrame(list(enumerate("some prose. " + x + "\nmore" for x in lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_table(df).collect()}
+    assert [got[i]["labels"] for i in range(len(lines))] == list(lines.values())
+    assert all((r["score"] > 0) == (r["labels"] != "") for r in got.values())
