@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,21 +66,24 @@ def word_counts(docs: DataFrame) -> dict[str, int]:
     return {r["w"]: r["n"] for r in docs.select(F.explode(hit).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
-def license_table(docs: DataFrame, rarest: int = 6, least: float = 0.6) -> DataFrame:
+def license_table(docs: DataFrame, least: float = 0.6) -> DataFrame:
     """doc_id, n_words, places of the base phrases, labels and score of each whole text.
 
-    A file's rarest template words, by document frequency in docs, look up (template, position); the
-    relative positions are counted and the best one is scored by the share of the template's words that
-    stand there. A template is an opening sentence, a short notice or a name, each of its own length. A label
-    needs its key phrase within that place. Null text is empty and gets no label;
-    ties go to the first template; repeated rows give repeated results; an empty table gives none.
+    The rarest words of each template, by document frequency in docs, look up its places: as many of them as
+    cannot all be missing where the share `least` of its words stands, so that no place is lost. Each place
+    with the key phrase is scored by the share of the template's words that stand there. A template is an
+    opening sentence, a short notice or a name, each of its own length. A label needs its key phrase within
+    that place. Null text is empty and gets no label; the best score counts; repeated rows give repeated
+    results; an empty table gives none.
     """
     df = word_counts(docs)
-    templates = [(lab, t.split(), p.split()) for lab, t, p in FORMS]
-    where = defaultdict(list)
-    for k, (_, ws, _) in enumerate(templates):
-        for i, w in enumerate(ws):
-            where[w].append((k, i))
+    templates, where = [], set()
+    for lab, t, p in FORMS:
+        tw, key = t.split(), p.split()
+        need = next(k for k in range(len(tw) + 1) if k / len(tw) >= least)
+        rare = sorted(range(len(tw)), key=lambda j: (df.get(tw[j], 0), tw[j], j))[: len(tw) - need + 1]
+        templates.append((lab, tw, key, rare))
+        where.update(tw)
     base = [(p.split(), lab) for p, lab in PHRASES.items()]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,17 +96,21 @@ def license_table(docs: DataFrame, rarest: int = 6, least: float = 0.6) -> DataF
                     if w in where or w in ("cc", "by", "all", "rights", "reserved"):
                         at[w].append(i)
                 places = [(i, lab) for p, lab in base for i in at.get(p[0], ()) if ws[i : i + len(p)] == p]
-                votes = Counter((k, i - j) for w in sorted((w for w in at if w in where), key=lambda w: (df.get(w, 0), w))[:rarest] for i in at[w] for k, j in where[w])
+                keys: dict[tuple, list[int]] = {}
                 score, own = 0.0, set()
-                for (k, off), n in votes.items():
-                    if n < 2:
+                for lab, tw, key, rare in templates:
+                    if (k := tuple(key)) not in keys:
+                        keys[k] = [i for i in at.get(key[0], ()) if ws[i : i + len(key)] == key]
+                    if not keys[k]:
                         continue
-                    lab, tw, key = templates[k]
-                    part = ws[max(0, off) : max(0, off) + len(tw) + len(key)]
-                    s = sum(0 <= off + j < len(ws) and ws[off + j] == w for j, w in enumerate(tw)) / len(tw)
-                    if s >= least and any(part[i : i + len(key)] == key for i in range(len(part))):
-                        own.add(lab)
-                        score = max(score, s)
+                    for off in {i - j for j in rare for i in at.get(tw[j], ())}:
+                        start = max(0, off)
+                        n = bisect_left(keys[k], start)
+                        if n < len(keys[k]) and keys[k][n] <= start + len(tw):
+                            s = sum(0 <= off + j < len(ws) and ws[off + j] == w for j, w in enumerate(tw)) / len(tw)
+                            if s >= least:
+                                own.add(lab)
+                                score = max(score, s)
                 labels = {lab for _, lab in places}
                 first = [i for i, _ in places]
                 rows.append((len(ws), len(places), min(first) if first else None, max(first) if first else None, ",".join(sorted(labels)), ",".join(sorted(labels | own)), score))

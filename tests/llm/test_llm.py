@@ -143,3 +143,11 @@ def test_license_lines(spark):
     got = {r["doc_id"]: r for r in licenses.license_table(df).collect()}
     assert [got[i]["labels"] for i in range(len(lines))] == list(lines.values())
     assert all((r["score"] > 0) == (r["labels"] != "") for r in got.values())
+
+
+def test_license_beside_others(spark):
+    mit, apache, gpl = (licenses.TEMPLATES[k][0] for k in ("mit", "apache-2.0", "gpl"))
+    prose = " ".join(["hereby granted charge obtaining associated documentation redistribution materials"] + ["the of and to is in you may under"] * 400)
+    rows = [(1, f"{mit} . {apache} . {gpl}"), (2, f"{prose} {apache} {prose}"), (3, f"{gpl} {mit}"), (4, apache[len("licensed under the ") :])]
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "apache-2.0,gpl,mit", 2: "apache-2.0", 3: "gpl,mit", 4: "apache-2.0"}
