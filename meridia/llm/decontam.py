@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,47 +35,70 @@ def align(doc: list[str], item: list[str]) -> tuple[int, int, int]:
     return best, at[0], at[1]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 4, common: int = 20, least: float = 0.5) -> DataFrame:
-    """doc_id, item_id, score, ratio, end_word: the documents that hold a copy of an item, edited ones too.
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with two 64-bit hashes of the text: a row is known by its doc_id, null or not, and its text."""
+    return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("text"), F.col("text"))})
 
-    Seeds are the items' n-word shingles that at most `common` items share; an item of fewer words is one
-    seed of its own length and needs that exact run. A seed that meets a document gives a passage around it,
-    as wide as the item on both sides; passages of one item that touch are one. The alignment's score over
-    the full score (2 per word of the item) must reach `least`. Case of A-Z is ignored. Null texts have no
-    words and match nothing; null ids are kept as they are; repeated rows give one result per doc_id;
-    empty tables give an empty result. Sides are broadcast only where the session's size threshold allows it.
-    """
-    items = benchmark.select("item_id", words(ascii_lower(F.col("text"))).alias("iw")).filter(F.size("iw") > 0)
+
+def findings(docs: DataFrame, benchmark: DataFrame, n: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, t1, t2, item, score, end_word, ratio of each passage that reaches `least`; and the items' ids by item."""
+    named = staged(benchmark.select("item_id", words(ascii_lower(F.col("text"))).alias("iw")).filter(F.size("iw") > 0).distinct())
+    items = staged(named.select("iw").distinct().select(F.monotonically_increasing_id().alias("item"), "iw"))
+    names = named.join(items, "iw").select("item_id", "item")
     seed = lambda w, k: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
-    long_ = items.filter(F.size("iw") >= n).select("item_id", F.posexplode(seed(F.col("iw"), n)).alias("ipos", "h"))
-    rare = long_.groupBy("h").agg(F.countDistinct("item_id").alias("c")).filter(F.col("c") <= common).select("h")
-    seeds = staged(long_.join(rare, "h").select("item_id", "ipos", "h"))
-    d = docs.select("doc_id", words(ascii_lower(F.col("text"))).alias("w"))
+    seeds = staged(items.filter(F.size("iw") >= n).select("item", F.explode(seed(F.col("iw"), n)).alias("h")).distinct())
+    d = keyed(docs.select("doc_id", "text")).select("doc_id", "t1", "t2", words(ascii_lower(F.col("text"))).alias("w"))
+    row = ["doc_id", "t1", "t2"]
     sizes = [r[0] for r in items.filter(F.size("iw") < n).select(F.size("iw").alias("k")).distinct().collect()]  # fewer than n
-    hits = d.filter(F.size("w") >= n).select("doc_id", F.posexplode(seed(F.col("w"), n)).alias("pos", "h")).join(seeds, "h").select("doc_id", "item_id", F.col("pos").cast("int").alias("pos"))
+    hits = d.filter(F.size("w") >= n).select(*row, F.posexplode(seed(F.col("w"), n)).alias("pos", "h")).join(seeds, "h").select(*row, "item", F.col("pos").cast("int").alias("pos"))
     for k in sizes:
-        short = items.filter(F.size("iw") == k).select("item_id", seed(F.col("iw"), k)[0].alias("h"))
-        hits = hits.unionByName(d.filter(F.size("w") >= k).select("doc_id", F.posexplode(seed(F.col("w"), k)).alias("pos", "h")).join(short, "h").select("doc_id", "item_id", F.col("pos").cast("int").alias("pos")))
+        short = items.filter(F.size("iw") == k).select("item", seed(F.col("iw"), k)[0].alias("h"))
+        hits = hits.unionByName(d.filter(F.size("w") >= k).select(*row, F.posexplode(seed(F.col("w"), k)).alias("pos", "h")).join(short, "h").select(*row, "item", F.col("pos").cast("int").alias("pos")))
     hits = staged(hits.distinct())
-    sized = hits.join(items.select("item_id", F.size("iw").alias("k")), "item_id").withColumn("gap", F.col("pos") - F.lag("pos").over(Window.partitionBy("doc_id", "item_id").orderBy("pos")))
-    run = sized.withColumn("run", F.sum(F.when(F.col("gap") > 2 * F.col("k"), 1).otherwise(0)).over(Window.partitionBy("doc_id", "item_id").orderBy("pos")))
-    spans = staged(run.groupBy("doc_id", "item_id", "run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.first("k").alias("k")))
+    pair = Window.partitionBy(*row, "item").orderBy("pos")
+    sized = hits.join(items.select("item", F.size("iw").alias("k")), "item").withColumn("gap", F.col("pos") - F.lag("pos").over(pair))
+    run = sized.withColumn("run", F.sum(F.when(F.col("gap") > 2 * F.col("k"), 1).otherwise(0)).over(pair))
+    spans = staged(run.groupBy(*row, "item", "run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.first("k").alias("k")))
     passage = F.slice("w", F.greatest(F.col("lo") - F.col("k"), F.lit(0)) + 1, F.col("hi") - F.col("lo") + 2 * F.col("k") + n)
-    cut = spans.join(d, "doc_id").select("doc_id", "item_id", F.greatest(F.col("lo") - F.col("k"), F.lit(0)).alias("from"), passage.alias("p")).join(items, "item_id")
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.t1") == F.col("s.t1")) & (F.col("d.t2") == F.col("s.t2"))
+    cut = spans.alias("s").join(d.alias("d"), same).select("s.doc_id", "s.t1", "s.t2", "item", F.greatest(F.col("lo") - F.col("k"), F.lit(0)).alias("from"), passage.alias("p")).join(items, "item")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            # twice the words in common bounds the score: a passage below that needs no alignment
+            may = [sum((Counter(p) & Counter(i)).values()) >= least * len(i) for p, i in zip(b["p"], b["iw"])]
+            b = b[may]
             got = [align(list(p), list(i)) for p, i in zip(b["p"], b["iw"])]
             full = b["iw"].map(len) * MATCH
-            out = pd.DataFrame({"doc_id": b["doc_id"], "item_id": b["item_id"], "score": [g[0] for g in got], "end_word": b["from"] + [g[1] for g in got]})
+            out = b[["doc_id", "t1", "t2", "item"]].assign(score=pd.Series([g[0] for g in got], b.index, "int64"), end_word=b["from"] + pd.Series([g[1] for g in got], b.index, "int64"))
+            out["doc_id"] = b["doc_id"].astype("Int64")
             yield out.assign(ratio=out["score"] / full)
 
-    found = cut.repartition("doc_id", "item_id", "from").mapInPandas(score, "doc_id long, item_id long, score long, end_word long, ratio double")
-    best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "end_word")
-    return found.filter(F.col("ratio") >= least).withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n")
+    found = cut.repartition("doc_id", "t1", "t2", "item", "from").mapInPandas(score, "doc_id long, t1 long, t2 long, item long, score long, end_word long, ratio double")
+    return found.filter(F.col("ratio") >= least), names
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5) -> DataFrame:
+    """doc_id, item_id, score, ratio, end_word: the documents that hold a copy of an item, edited ones too.
+
+    Seeds are all n-word shingles of the items; items of equal words are sought once and reported under each
+    id; an item of fewer words is one seed of its own length and needs that exact run. A seed that meets a
+    document gives a passage around it, as wide as the item on both sides; passages of one item that touch are
+    one. The alignment's score over the full score (2 per word of the item) must reach `least`. Case of A-Z is
+    ignored. Null texts have no words and match nothing; null ids are kept as they are, and as they name
+    nothing, each of their texts has its own result; repeated rows give one result per doc_id; empty tables
+    give an empty result. Sides are broadcast only where the session's size threshold allows it.
+    """
+    found, names = findings(docs, benchmark, n, least)
+    named = found.join(names, "item")
+    unnamed = [F.when(F.col("doc_id").isNull(), F.col(c)) for c in ("t1", "t2")] + [F.when(F.col("item_id").isNull(), F.col("item"))]
+    best = Window.partitionBy("doc_id", "item_id", *unnamed).orderBy(F.desc("score"), "end_word")
+    return named.withColumn("n", F.row_number().over(best)).filter("n = 1").select("doc_id", "item_id", "score", "end_word", "ratio")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows that hold no item."""
-    bad = staged(contamination(docs, benchmark).select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5) -> DataFrame:
+    """The rows that hold no item, whatever their ids."""
+    found, _ = findings(docs, benchmark, n, least)
+    bad = staged(found.select(F.col("doc_id").alias("i"), F.col("t1").alias("a"), F.col("t2").alias("b")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("a")) & (F.xxhash64(F.lit("text"), F.col("text")) == F.col("b"))
+    return docs.join(bad, same, "left_anti").select(*docs.columns)

@@ -151,3 +151,14 @@ def test_license_beside_others(spark):
     rows = [(1, f"{mit} . {apache} . {gpl}"), (2, f"{prose} {apache} {prose}"), (3, f"{gpl} {mit}"), (4, apache[len("licensed under the ") :])]
     got = {r["doc_id"]: r["labels"] for r in licenses.license_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "apache-2.0,gpl,mit", 2: "apache-2.0", 3: "gpl,mit", 4: "apache-2.0"}
+
+
+def test_decontamination_of_common_items_and_null_ids(spark):
+    item, asked = "alpha beta gamma delta epsilon zeta eta theta iota kappa", "which of the following words is the right answer"
+    bench = spark.createDataFrame([(i, item) for i in range(30)] + [(100 + i, asked) for i in range(25)] + [(200 + i, f"{asked} {i}") for i in range(25)] + [(None, "one two three four five six")], "item_id long, text string")
+    rows = [(1, item), (2, asked + " 7"), (None, "q one two three four five six r"), (None, "clean text of no item"), (None, "x " + item), (3, "clean"), (4, "one two three four five six")]
+    docs = spark.createDataFrame([(i, t, "", "", 0, 0) for i, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["item_id"]) for r in decontam.contamination(docs, bench).collect()]
+    ids = list(range(100, 125)) + list(range(200, 225))
+    assert Counter(got) == Counter([(d, i) for d in (1, None) for i in range(30)] + [(2, i) for i in ids] + [(None, None), (4, None)])
+    assert {(r["doc_id"], r["text"]) for r in decontam.clean_documents(docs, bench).collect()} == {rows[3], rows[5]}
