@@ -1,19 +1,23 @@
-"""Substring dedup: repeated passages, confirmed by segment and window, and cut from every text."""
+"""Substring dedup: repeated passages are confirmed, and located in every text by sharded Aho-Corasick automata."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, staged
 
 GRAM = 6
+SHARD = 1 << 21  # bytes of words in a shard, above which it is closed
+NO_ID = -(2**63)
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -65,70 +69,142 @@ def segments(h: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
 
 
 def _packed(docs: DataFrame, n: int) -> DataFrame:
-    """A numbered row per text: the text compressed, and its segments."""
+    """A row per shard, some documents of one task: their ids, their words compressed, and all their segments with the document's place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, pack = WordHashes(), zstandard.ZstdCompressor(3)
-        for b in batches:
-            raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in b["text"]]
-            seg = [segments(hashed(t.split(), seen), n) for t in raw]
-            out = {"rid": b["rid"], "doc_id": b["doc_id"].array, "z": [pack.compress(t) for t in raw]}
-            yield pd.DataFrame(out | {k: [s[i] for s in seg] for i, k in enumerate("gslh")})
+        seen, pack, part = WordHashes(), zstandard.ZstdCompressor(3), TaskContext.get().partitionId()
+        ids, lines, segs, size, k = [], [], [], 0, 0
+
+        def shard() -> pd.DataFrame:
+            g, s, lo, hi = (np.concatenate(x) for x in zip(*segs))
+            at = np.repeat(np.arange(len(segs)), [len(x[0]) for x in segs])
+            return pd.DataFrame({"shard": [(part << 32) + k], "ids": [ids], "z": [pack.compress(b"\n".join(lines))], "g": [g], "s": [s], "doc": [at], "lo": [lo], "hi": [hi]})
 
-    rows = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
-    return staged(rows.mapInPandas(run, "rid long, doc_id long, z binary, g array<long>, s array<long>, l array<int>, h array<int>"))
+        for b in batches:
+            for i, t in zip(b["doc_id"], b["text"]):
+                w = t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else []
+                ids.append(i)
+                lines.append(b" ".join(w))
+                segs.append(segments(hashed(w, seen), n))
+                size += len(lines[-1])
+                if size >= SHARD or len(ids) >= SHARD >> 7:
+                    yield shard()
+                    ids, lines, segs, size, k = [], [], [], 0, k + 1
+        if ids:
+            yield shard()
+
+    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), "text")
+    return staged(rows.mapInPandas(run, "shard long, ids array<long>, z binary, g array<long>, s array<long>, doc array<int>, lo array<int>, hi array<int>"))
+
+
+class Automaton:
+    """Aho-Corasick over words: a word is a run of digits with an alphabet for each place, so that matches start at words."""
+
+    DIGITS = 64
+
+    def __init__(self, phrases: set[tuple[bytes, ...]]) -> None:
+        import ahocorasick
+
+        words = sorted({w for p in phrases for w in p})
+        self.width = 1
+        while self.DIGITS**self.width <= len(words):
+            self.width += 1
+        self.codes = {w: self.code(i + 1) for i, w in enumerate(words)}
+        self.other = self.code(0)
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in phrases:
+            self.found.add_word("".join(map(self.codes.__getitem__, p)))
+        self.found.make_automaton()
+
+    def code(self, i: int) -> str:
+        out = []
+        for place in range(self.width):
+            i, digit = divmod(i, self.DIGITS)
+            out.append(chr(1 + place * self.DIGITS + digit))
+        return "".join(out)
+
+    def places(self, ws: list[bytes]) -> np.ndarray:
+        """First word and the word after the last of every occurrence of every phrase."""
+        get, other = self.codes.get, self.other
+        hits = [(end + 1, size) for end, size in self.found.iter("".join([get(w, other) for w in ws]))]
+        ends = np.array(hits, np.int64).reshape(-1, 2) // self.width
+        return np.column_stack([ends[:, 0] - ends[:, 1], ends[:, 0]])
 
 
 def removed(docs: DataFrame, n: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row: words in a window of n words that starts elsewhere too are gone.
 
-    Equal windows choose equal anchors: the least-hashed run of GRAM words inside. The windows in a row that
-    choose one anchor make a segment. A segment found twice or more repeats as a whole. Where an anchor has
-    several different segments, the windows of one copy of each are compared: a window in two of them repeats
-    as well. Anchor and segment or window are compared by 64 bits of hash each. Rows are numbered in a written
-    table, so repeated rows count as other places; texts travel compressed. Null text and texts under n words
-    lose nothing; an empty table gives none; a null doc_id is kept.
+    1. Equal windows choose equal anchors: the least-hashed run of GRAM words inside. The windows in a row that
+       choose one anchor make a segment; anchors that stand once are left out.
+    2. A segment found twice or more is confirmed as a passage. Where an anchor has several different segments, the
+       windows of one copy of each are compared; runs of windows found again in a segment that stands once are
+       passages as well. Anchor and segment or window are compared by 64 bits of hash each.
+    3. Documents lie in shards of a bounded size. For each shard the confirmed passages that stand in it make an
+       Aho-Corasick automaton; all documents of the shard stream through it, and every occurrence is cut.
+    An automaton holds no more than its own shard's words, and each document is read by one automaton, so work is
+    in proportion to the input. Repeated rows count as other places. Null text and texts under n words lose
+    nothing; an empty table gives none; a null doc_id is kept; other columns are not read.
     """
     packed = _packed(docs, n)
-    each = packed.select("rid", F.inline(F.arrays_zip("g", "s", F.col("l").alias("lo"), F.col("h").alias("hi"))).alias("g", "s", "lo", "hi"))
-    kinds = staged(each.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("m")))
-    whole = each.join(kinds.filter("n > 1").select("g", "s"), ["g", "s"]).select("rid", "lo", "hi")
+    each = packed.select("shard", F.posexplode(F.arrays_zip("g", "s")).alias("j", "x")).select("shard", "j", "x.g", "x.s")
+    often = each.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
+    held = staged(each.join(often, "g"))
+    kinds = staged(held.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(F.struct("shard", "j")).alias("m")))
+    whole = held.join(kinds.filter("n > 1").select("g", "s"), ["g", "s"]).groupBy("shard", "g", "s").agg(F.min("j").alias("j"))
     several = kinds.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
-    one = kinds.join(several, "g").select(F.col("m.rid").alias("rid"), F.struct("m.lo", "m.hi", (F.col("n") == 1).alias("once")).alias("r"))
-    asked = one.groupBy("rid").agg(F.collect_list("r").alias("r"))  # bounded by one text's length
+    one = kinds.join(several, "g").select("m.shard", F.struct("m.j", (F.col("n") == 1).alias("once")).alias("r"))
+    asked = one.groupBy("shard").agg(F.collect_list("r").alias("r"))  # bounded by a shard's size
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, un = WordHashes(), zstandard.ZstdDecompressor()
         for b in batches:
-            parts = []
-            for rid, z, runs in zip(b["rid"], b["z"], b["r"]):
-                h = hashed(un.decompress(z).split(), seen)
-                lo, size = np.array([r["lo"] for r in runs]), np.array([r["hi"] - r["lo"] + 1 for r in runs])
-                i = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-                g = rolled(h, GRAM)
-                parts.append((np.full(len(i), rid), i, np.repeat([r["once"] for r in runs], size), g[minimizers(g, n - GRAM + 1)[i]], ranged(h, i, i + n)))
-            yield pd.DataFrame({k: np.concatenate(p) for k, p in zip(("rid", "i", "once", "g", "w"), zip(*parts))})
-
-    shown = staged(packed.select("rid", "z").join(asked, "rid").mapInPandas(windows, "rid long, i int, once boolean, g long, w long"))
+            for shard, z, doc, lo, hi, r in zip(b["shard"], b["z"], b["doc"], b["lo"], b["hi"], b["r"]):
+                lines, parts = un.decompress(z).split(b"\n"), []
+                j, once = np.array([x["j"] for x in r]), np.array([x["once"] for x in r])
+                j, once = j[o := np.argsort(j)], once[o]
+                for d, own in _by(doc[j]):
+                    h = hashed(lines[d].split(), seen)
+                    first, size = lo[j[own]].astype(np.int64), hi[j[own]] - lo[j[own]] + 1
+                    i = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    g = rolled(h, GRAM)
+                    parts.append((np.full(len(i), d), i, np.repeat(once[own], size), g[minimizers(g, n - GRAM + 1)[i]], ranged(h, i, i + n)))
+                yield pd.DataFrame({"shard": shard} | {k: np.concatenate(p) for k, p in zip(("doc", "i", "once", "g", "w"), zip(*parts))})
+
+    shown = staged(packed.select("shard", "z", "doc", "lo", "hi").join(asked, "shard").mapInPandas(windows, "shard long, doc int, i int, once boolean, g long, w long"))
     again = shown.groupBy("g", "w").agg(F.count("*").alias("c")).filter("c > 1").select("g", "w")
-    edge = shown.filter("once").join(again, ["g", "w"]).select("rid", F.col("i").alias("lo"), F.col("i").alias("hi"))
-    cover = whole.unionByName(edge).groupBy("rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))  # as above
+    edges = shown.filter("once").join(again, ["g", "w"]).groupBy("shard").agg(F.collect_list(F.struct("doc", "i")).alias("e"))  # as above
+    marks = whole.groupBy("shard").agg(F.collect_list("j").alias("js"))  # as above
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         un = zstandard.ZstdDecompressor()
         for b in batches:
-            out = []
-            for z, lo, hi in zip(b["z"], b["lo"], b["hi"]):
-                w = un.decompress(z).split()
-                if lo is None:
+            for ids, z, doc, lo, hi, js, e in zip(b["ids"], b["z"], b["doc"], b["lo"], b["hi"], b["js"], b["e"]):
+                lines = [x.split() for x in un.decompress(z).split(b"\n")]
+                cuts = [(doc[j], lo[j], hi[j] + n) for j in (js if js is not None else ())]
+                if e is not None:
+                    at = np.array(sorted((x["doc"], x["i"]) for x in e)).reshape(-1, 2)
+                    new = np.flatnonzero(np.r_[True, (np.diff(at[:, 0]) != 0) | (np.diff(at[:, 1]) != 1)])
+                    cuts += [(at[x, 0], at[x, 1], at[y - 1, 1] + n) for x, y in zip(new, np.r_[new[1:], len(at)])]
+                passages = Automaton({tuple(lines[d][x:y]) for d, x, y in cuts}) if cuts else None
+                out = []
+                for w in lines:
                     keep = np.ones(len(w), bool)
-                else:
-                    size = len(w) + 1
-                    keep = np.cumsum(np.bincount(lo, minlength=size) - np.bincount(hi + n, minlength=size))[:-1] == 0
-                kept = b" ".join(np.array(w, object)[keep]) if w else b""
-                out.append((len(w), int((~keep).sum()), hashlib.sha256(kept).hexdigest()))
-            res = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
-            res.insert(0, "doc_id", b["doc_id"].array)
-            yield res
-
-    return packed.select("rid", "doc_id", "z").join(cover, "rid", "left").select("doc_id", "z", "lo", "hi").mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+                    if passages and len(w) >= n:
+                        found, size = passages.places(w), len(w) + 1
+                        keep = np.cumsum(np.bincount(found[:, 0], minlength=size) - np.bincount(found[:, 1], minlength=size))[:-1] == 0
+                    kept = b" ".join(compress(w, keep))
+                    out.append((len(w), len(w) - int(keep.sum()), hashlib.sha256(kept).hexdigest()))
+                res = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
+                res.insert(0, "doc_id", ids)
+                yield res
+
+    rows = packed.select("shard", "ids", "z", "doc", "lo", "hi").join(marks, "shard", "left").join(edges, "shard", "left")
+    out = rows.select("ids", "z", "doc", "lo", "hi", "js", "e").mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
+def _by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of a sorted key with its places."""
+    cut = np.flatnonzero(np.diff(key)) + 1
+    for own in np.split(np.arange(len(key)), cut):
+        yield int(key[own[0]]), own
