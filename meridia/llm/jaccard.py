@@ -80,7 +80,8 @@ def _sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"cid": b["cid"], "size": b["size"], "s": [shingle_set(t, n, seen) for t in b["text"]]})
 
-    rows = keyed(docs).join(reps, KEY).select("cid", "size", "text").mapInPandas(run, "cid long, size long, s array<long>")
+    # by a shuffle at every size: a plan that changes with the size of reps would make small runs a poor guide to large ones
+    rows = keyed(docs).join(reps.hint("merge"), KEY).select("cid", "size", "text").mapInPandas(run, "cid long, size long, s array<long>")
     return staged(rows.dropDuplicates(["cid"]))
 
 
@@ -225,4 +226,4 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     keep = staged(_named(rows, comp).filter("root is not null").groupBy("root").agg(F.min(order).alias("m")).select("m.doc_id", "m.tkey"))
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     got = docs.filter(~wordless).select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tkey"))
-    return got.join(keep, KEY).dropDuplicates(KEY).select("row.*").unionByName(docs.filter(wordless))
+    return got.join(keep.hint("merge"), KEY).dropDuplicates(KEY).select("row.*").unionByName(docs.filter(wordless))
