@@ -1 +1 @@
-"""Part of the meridia engine."""
+"""Operators as functions from DataFrames to DataFrames."""

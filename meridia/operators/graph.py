@@ -1,55 +1,170 @@
-"""Road graph: degrees, components, cheapest paths."""
+"""Road graph: degrees, components, travel times, junctions of streets, noding, dead ends, snapping."""
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import line_length
+from ..sources.staging import cut
+from ..sources.tables import CONNECTOR, MOTOR_CLASS, STATE
+from . import spatial
+from .traffic import JUNCTION_S, MOTORS, free_flow
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.withColumns({"u": F.col("v"), "v": F.col("u")}))
 
 
+def for_motors() -> Column:
+    return (F.col("cls") <= MOTOR_CLASS) | (F.col("cls") == CONNECTOR)
+
+
 def node_degree(edges: DataFrame) -> DataFrame:
     return both_ways(edges.select("u", "v")).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the shared checkpoint folder; a local one is set only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
+def stars(links: DataFrame) -> DataFrame:
+    """node and root, the least node reachable, for nodes of links (u, v).
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and the least node reachable from it. Labels jump along the label of the label, so rounds grow with the log of the diameter."""
-    e = _cut(both_ways(edges.select("u", "v")))
-    lab = _cut(e.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
+    Large and small stars by turns: each round replaces edges by edges to smaller nodes, so the rounds grow with
+    the log of the diameter, and joins are on nodes with one row on one side, never on a component's label.
+    """
+    e = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     while True:
-        seen = e.join(lab.toDF("v", "l"), "v").groupBy(F.col("u").alias("node")).agg(F.min("l").alias("l"))
-        low = _cut(lab.join(seen, "node").select("node", F.least("label", "l").alias("label"), F.col("label").alias("old")))
-        jump = low.select(F.col("node").alias("label"), F.col("label").alias("via"))
-        new = _cut(low.join(jump, "label", "left").select("node", F.least("label", F.coalesce("via", "label")).alias("label"), "old"))
-        lab = new.select("node", "label")
-        if new.filter("label <> old").isEmpty():
-            return lab.withColumnRenamed("label", "component")
+        b = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = b.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(b.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        j = large.join(low, "u")
+        small = cut(j.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        done = small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty()
+        e = small
+        if done:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, component (its least node, -1 for a node without an edge) and size of the component."""
+    ends = both_ways(edges.select("u", "v")).select(F.col("u").alias("node")).distinct()
+    got = nodes.select("node").join(ends.withColumn("met", F.lit(True)), "node", "left").join(stars(edges), "node", "left")
+    got = got.select("node", F.when(F.col("met").isNull(), F.lit(-1)).otherwise(F.coalesce("root", "node")).alias("component"))
+    sizes = got.groupBy("component").agg(F.count("*").alias("size"))
+    return got.join(sizes, "component").select("node", "component", F.when(F.col("component") >= 0, F.col("size")).otherwise(F.lit(0)).alias("size"))
+
 
+def edge_seconds(edges: DataFrame, profile: str) -> DataFrame:
+    """u, v, seconds and state of each edge that a profile may use, both ways; whole milliseconds, so that sums are exact."""
+    kph = free_flow(profile, F.col("cls"), F.col("flags"))
+    e = edges.withColumn("kph", kph).filter("kph > 0")
+    ms = F.round(line_length(F.col("shape")) / (F.col("kph") / 3.6) * 1000).cast("long")
+    return both_ways(e.select("u", "v", ms.alias("ms"), (F.col("flags").bitwiseAND(STATE) > 0).alias("state")))
 
-def path_costs(edges: DataFrame, start: int, most: float) -> DataFrame:
-    """Least cost from start to each node within `most`, by relaxing the nodes that became cheaper.
 
-    Edges have u, v and an integer cost of metres. Each round is a join on the frontier and a partial aggregate.
+def travel_times(edges: DataFrame, starts: DataFrame, profile: str, most_ms: int | None = None) -> DataFrame:
+    """source, node, ms: the least time from each start to each node it reaches, junction delays included.
+
+    A delay counts where an edge arrives at a junction of three or more roads and is not of the state. All starts
+    are relaxed together: a round joins the nodes that became cheaper with their edges and keeps the least per
+    start and node, so rounds grow with the hops of the farthest path, whatever the number of starts. A bound in
+    ms keeps the reach local.
     """
-    e = _cut(both_ways(edges.select("u", "v", "cost")))
-    best = _cut(e.select(F.col("u").alias("node")).filter(F.col("node") == start).distinct().withColumn("cost", F.lit(0).cast("long")))
+    degree = node_degree(edges).withColumnRenamed("node", "v")
+    e = edge_seconds(edges, profile).join(degree, "v")
+    delay = F.when(~F.col("state") & (F.col("degree") >= 3), JUNCTION_S[profile] * 1000).otherwise(0)
+    e = cut(e.groupBy("u", "v").agg(F.min(F.col("ms") + delay).alias("step")))
+    best = cut(starts.select(F.col("node").alias("source"), F.col("node")).distinct().withColumn("ms", F.lit(0).cast("long")))
     front = best
     while not front.isEmpty():
-        step = front.toDF("u", "c").join(e, "u").select(F.col("v").alias("node"), (F.col("c") + F.col("cost")).alias("cost")).filter(F.col("cost") <= most)
-        step = step.groupBy("node").agg(F.min("cost").alias("cost"))
-        front = _cut(step.join(best.toDF("node", "had"), "node", "left").filter("had is null or cost < had").select("node", "cost"))
-        best = _cut(reduce(DataFrame.unionByName, [best, front]).groupBy("node").agg(F.min("cost").alias("cost")))
+        step = front.withColumnRenamed("node", "u").join(e, "u").select("source", F.col("v").alias("node"), (F.col("ms") + F.col("step")).alias("ms"))
+        step = step if most_ms is None else step.filter(F.col("ms") <= most_ms)
+        step = step.groupBy("source", "node").agg(F.min("ms").alias("ms"))
+        front = cut(step.join(best.withColumnRenamed("ms", "had"), ["source", "node"], "left").filter("had is null or ms < had").select("source", "node", "ms"))
+        best = cut(reduce(DataFrame.unionByName, [best, front]).groupBy("source", "node").agg(F.min("ms").alias("ms")))
     return best
+
+
+def street_junctions(edges: DataFrame) -> DataFrame:
+    """Nodes where two streets of different names meet: first, second (in order), node. Names at a node are few, so pairs are too."""
+    named = both_ways(edges.filter("name is not null").select("u", "v", "name")).select(F.col("u").alias("node"), "name").distinct()
+    a, b = named.withColumnRenamed("name", "first"), named.withColumnRenamed("name", "second")
+    return a.join(b, "node").filter("first < second").select("first", "second", "node")
+
+
+def vertices(lines: DataFrame) -> DataFrame:
+    """line, i, last, key and position of each vertex; keys are micro-degrees."""
+    v = lines.select("line", F.size("shape").alias("n"), F.posexplode("shape").alias("i", "p"))
+    whole = lambda c: F.round(c * 1e6).cast("long")
+    return v.select("line", "i", ((F.col("i") == 0) | (F.col("i") == F.col("n") - 1)).alias("end"), F.concat_ws(":", whole(F.col("p.lon")), whole(F.col("p.lat"))).alias("key"), "p")
+
+
+def split_keys(lines: DataFrame) -> DataFrame:
+    """Keys inside a line that are an end of a line, or stand inside two lines."""
+    k = vertices(lines).groupBy("key").agg(F.max("end").alias("some_end"), F.max(~F.col("end")).alias("inside"), F.min(F.when(~F.col("end"), F.col("line"))).alias("lo"), F.max(F.when(~F.col("end"), F.col("line"))).alias("hi"))
+    return k.filter(F.col("inside") & (F.col("some_end") | (F.col("lo") < F.col("hi")))).select("key")
+
+
+def noded(lines: DataFrame, least: float = 0.1) -> DataFrame:
+    """Lines cut at split keys: line, part, u, v (keys), metres, shape; parts shorter than `least`, and loops under a metre, go."""
+    v = vertices(lines).join(split_keys(lines).withColumn("cut", F.lit(True)), "key", "left")
+    w = Window.partitionBy("line").orderBy("i")
+    v = v.withColumn("part", F.coalesce(F.sum(F.when(F.col("cut").isNotNull() & ~F.col("end"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a vertex where a line is cut ends one part and begins the next
+    again = v.filter(F.col("cut").isNotNull() & ~F.col("end")).withColumn("part", F.col("part") + 1)
+    rows = v.unionByName(again).groupBy("line", "part").agg(F.array_sort(F.collect_list(F.struct("i", "key", "p"))).alias("r"))  # one line's vertices
+    out = rows.select("line", F.col("part").cast("int").alias("part"), F.col("r.key")[0].alias("u"), F.element_at("r.key", -1).alias("v"), F.col("r.p").alias("shape"))
+    out = out.filter(F.size("shape") > 1).withColumn("metres", F.round(line_length(F.col("shape")), 3))
+    return out.filter((F.col("metres") >= least) & ((F.col("u") != F.col("v")) | (F.col("metres") >= 1)))
+
+
+def dead_ends(lines: DataFrame) -> DataFrame:
+    """line and key of ends that no other line shares."""
+    ends = vertices(lines).filter("end")
+    once = ends.groupBy("key").agg(F.count("*").alias("n"), F.min("line").alias("line")).filter("n = 1").select("line", "key")
+    return once.join(split_keys(lines), "key", "left_anti").select("line", "key")
+
+
+def snap_pairs(requests: DataFrame, edges: DataFrame, comp: DataFrame, profile: str, metres: float = 2000.0, most: int = 12) -> DataFrame:
+    """request, from_edge, to_edge, metres: of the nearest edges of origin and destination, the pair in one component that is least far in all.
+
+    A snap's component is that of its edge's first node. requests holds request, lon1, lat1, lon2, lat2.
+    """
+    kph = free_flow(profile, F.col("cls"), F.col("flags"))
+    usable = edges.withColumn("kph", kph).filter("kph > 0").select("edge", "shape", "u")
+    where = usable.join(comp.select(F.col("node").alias("u"), "component"), "u").select("edge", "component")
+
+    def snapped(a: str, b: str, name: str) -> DataFrame:
+        p = requests.select("request", F.col(a).alias("lon"), F.col(b).alias("lat"))
+        s = spatial.nearest_edges(p, usable, "request", metres, most).join(where, "edge")
+        return s.select("request", "component", F.col("edge").alias(name), F.col("metres").alias(f"{name}_m"))
+
+    both = snapped("lon1", "lat1", "from_edge").join(snapped("lon2", "lat2", "to_edge"), ["request", "component"])  # `most` squared per request at most
+    total = F.round(F.col("from_edge_m") + F.col("to_edge_m"), 3)
+    return both.groupBy("request").agg(F.min(F.struct(total.alias("metres"), "from_edge", "to_edge")).alias("m")).select("request", "m.*")
+
+
+def turn_kind(angle: Column) -> Column:
+    """Kind of a turn by its angle, right positive."""
+    size, side = F.abs(angle), F.when(angle > 0, "RIGHT").otherwise("LEFT")
+    name = F.when(size < 45, "SLIGHT_").when(size < 135, "TURN_").otherwise("SHARP_")
+    return F.when(size < 20, "CONTINUE").when(size < 170, F.concat(name, side)).otherwise("UTURN")
+
+
+def turns(edges: DataFrame) -> DataFrame:
+    """Turns at nodes from one edge into another: into, out_of, node, angle and kind. Edges at a node are few, so pairs are too."""
+    from ..functions.geo import bearing, turn
+
+    n = F.size("shape")
+    p = lambda i: F.element_at("shape", i)
+    ways = edges.select("edge", F.col("v").alias("node"), bearing(p(n - 1)["lon"], p(n - 1)["lat"], p(n)["lon"], p(n)["lat"]).alias("b"))
+    ways = ways.unionByName(edges.select("edge", F.col("u").alias("node"), bearing(p(F.lit(2))["lon"], p(F.lit(2))["lat"], p(F.lit(1))["lon"], p(F.lit(1))["lat"]).alias("b")))
+    a = ways.select("node", F.col("edge").alias("out_of"), F.col("b").alias("before"))
+    b = ways.select("node", F.col("edge").alias("into"), F.pmod(F.col("b") + 180.0, F.lit(360.0)).alias("after"))
+    got = a.join(b, "node").filter("out_of <> into").withColumn("angle", F.round(turn(F.col("before"), F.col("after")), 3))
+    return got.select("node", "out_of", "into", "angle", turn_kind(F.col("angle")).alias("kind"))
+
+
+def is_motor(profile: str) -> bool:
+    return profile in MOTORS

@@ -1,36 +1,15 @@
-"""Traffic and track operators over position fixes (trip_id, recorded_at, lon, lat, speed, accuracy, profile)."""
+"""Track operators over position fixes (trip_id, recorded_at, lon, lat)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import grid, haversine
+from ..functions.geo import haversine
 
 ORDER = ("recorded_at", "event_id")
 
 
-def good_fix() -> Column:
-    """Plausible motor speed (m/s) and known accuracy of 50 m or better."""
-    return (F.col("speed") >= 0) & (F.col("speed") < 70) & (F.col("accuracy").isNull() | (F.col("accuracy") <= 50)) & (F.col("profile") <= 2)
-
-
-def traffic_cells(fixes: DataFrame, min_samples: int = 5, min_trips: int = 3) -> DataFrame:
-    """Mean speed per cell; a cell with few samples or trips stays hidden."""
-    cells = fixes.filter(good_fix()).groupBy(grid(F.col("lon"), 3).alias("cell_lon"), grid(F.col("lat"), 3).alias("cell_lat"))
-    return cells.agg(
-        F.count("*").alias("samples"), F.countDistinct("trip_id").alias("trips"),
-        F.round((F.sum(F.col("speed").cast("decimal(18,6)")) * F.lit(3.6).cast("decimal(3,1)")).cast("double") / F.count("*"), 1).alias("kmh"),
-        F.max("recorded_at").alias("latest"),
-    ).filter((F.col("samples") >= min_samples) & (F.col("trips") >= min_trips))
-
-
-def activity_cells(fixes: DataFrame, min_trips: int = 3) -> DataFrame:
-    """Cells where at least min_trips different trips were."""
-    cells = fixes.groupBy(grid(F.col("lon"), 3).alias("cell_lon"), grid(F.col("lat"), 3).alias("cell_lat"))
-    return cells.agg(F.count("*").alias("samples"), F.countDistinct("trip_id").alias("trips")).filter(F.col("trips") >= min_trips)
-
-
 def track_lengths(fixes: DataFrame) -> DataFrame:
     """Points and length in whole metres of each trip."""
     w = Window.partitionBy("trip_id").orderBy(*ORDER)
@@ -47,12 +26,6 @@ def thinned(fixes: DataFrame, most: int = 10) -> DataFrame:
     return p.filter(keep).select("trip_id", "event_id", F.col("pos").cast("long").alias("pos"), "lon", "lat")
 
 
-def same_day_type(at: str) -> Column:
-    """Fixes of the same kind of day (Monday to Friday, Saturday, Sunday) within an hour of the clock time of `at`."""
-    kind = lambda c: F.greatest(F.expr(f"extract(dow_iso from {c})"), F.lit(5))
-    return (kind("recorded_at") == kind(f"timestamp'{at}'")) & ((F.hour("recorded_at") - F.hour(F.lit(at).cast("timestamp")) + 24) % 24).isin(0, 1, 23)
-
-
 def latest_fix(fixes: DataFrame) -> DataFrame:
     """The last fix of each trip, by a partial aggregate rather than a sort."""
     last = fixes.groupBy("trip_id").agg(F.max(F.struct("recorded_at", "event_id", "lon", "lat")).alias("f"))

@@ -1,116 +1,15 @@
-"""Queries of the geospatial operators, with SQL for each."""
+"""All queries of the engine but those of the text operators, with SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from . import holdings, movement, network, relational
 
-from ..functions.geo import in_box
-from ..operators import feed, graph, ingest, spatial, tracks
-from ..sources.tables import EDGES_SQL, FENCES_SQL, POINTS_SQL, geofences, load, road_edges, trip_points
-
-BOX = (-79.9495, -2.1995, -79.9355, -2.1925)
-P = f"with p as ({POINTS_SQL}) "
-GOOD = "speed >= 0 and speed < 70 and (accuracy is null or accuracy <= 50) and profile <= 2"
-CELL = "cast(round(cast(lon as decimal(18,9)), 3) as double) as cell_lon, cast(round(cast(lat as decimal(18,9)), 3) as double) as cell_lat"
-TRAFFIC = "select {c}, count(*) as samples, count(distinct trip_id) as trips, round(cast(sum(cast(speed as decimal(18,6))) * cast(3.6 as decimal(3,1)) as double) / count(*), 1) as kmh, max(recorded_at) as latest from p where {g} group by 1, 2 having count(*) >= 5 and count(distinct trip_id) >= 3"
-STEP = "2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2), 1.0)))"
-NEAR = f"""with p as (select * from ({POINTS_SQL}) where speed >= 0 and speed < 70 and (accuracy is null or accuracy <= 50) and profile <= 2), e as ({EDGES_SQL}),
-  k as (select event_id, trip_id, speed, recorded_at, edge, (lon - lon1) * cos(radians(lat)) * 111194.9e0 as px, (lat - lat1) * 111194.9e0 as py, (lon2 - lon1) * cos(radians(lat)) * 111194.9e0 as dx, (lat2 - lat1) * 111194.9e0 as dy
-    from p join e on lon between least(lon1, lon2) - 1e-3 and greatest(lon1, lon2) + 1e-3 and lat between least(lat1, lat2) - 1e-3 and greatest(lat1, lat2) + 1e-3),
-  t as (select *, least(greatest((px * dx + py * dy) / (dx * dx + dy * dy), 0e0), 1e0) as t from k),
-  m as (select event_id, trip_id, speed, recorded_at, edge, round(sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)), 3) as metres from t),
-  near as (select * from m where metres <= 25 qualify row_number() over (partition by event_id order by metres, edge) = 1)"""
-MEDIAN = "select edge, count(*) as samples, count(distinct trip_id) as trips, list_sort(list(speed))[count(*) // 2 + 1] as median from near where {w} group by edge having count(distinct trip_id) >= 2"
-HALF = "2024-01-20 00:00:00"
-
-
-def matched(s, d):
-    return spatial.nearest_edge(trip_points(s, d).filter(tracks.good_fix()), road_edges(s))
-
-
-def medians(s, d):
-    m = matched(s, d)
-    return spatial.edge_speed_median(m.filter(F.col("recorded_at") >= F.lit(HALF).cast("timestamp"))), spatial.edge_speed_median(m.filter(F.col("recorded_at") < F.lit(HALF).cast("timestamp")))
-
-
-def costed(s):
-    return road_edges(s).select("u", "v", (F.lit(100) + F.col("edge") % 7).alias("cost"))
-
-
-def batch(s, d):
-    return load(s, d, "events").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("operation"), "event_id", "ts")
-
-
-def held(s, d):
-    return batch(s, d).filter("ts < timestamp'2024-01-10 00:00:00'").select("user_id", "operation").distinct()
-
-
-def places(s, d):
-    k = F.col("c_custkey")
-    return load(s, d, "customer").select(k.alias("place_id"), (F.lit(-79.95) + (k % 20) * F.lit(1e-3)).alias("lon"), (F.lit(-2.2) + (F.expr("c_custkey div 20") % 10) * F.lit(1e-3)).alias("lat"))
-
-
-def versions(s, d):
-    p = load(s, d, "part")
-    return ingest.newer_versions(p.filter("p_size > 5").selectExpr("p_partkey as code", "p_size as held"), p.selectExpr("p_partkey + 1 as code", "p_size as offered"))
+PARTS = (movement, holdings, network, relational)
 
 
 def queries():
-    return {
-        "nearest_edge": lambda s, d: matched(s, d).select("event_id", "edge", "metres"),
-        "edge_speed_median": lambda s, d: spatial.edge_speed_median(matched(s, d)),
-        "traffic_flow": lambda s, d: spatial.traffic_flow(*medians(s, d)),
-        "geofence_check": lambda s, d: spatial.inside_fences(tracks.latest_fix(trip_points(s, d)), geofences(s, d)),
-        "places_nearby": lambda s, d: spatial.places_nearby(places(s, d), -79.9405, -2.1953, 400.0, 50),
-        "tile_of_point": lambda s, d: spatial.tiles(trip_points(s, d), 17),
-        "line_length": lambda s, d: spatial.edge_lengths(road_edges(s)),
-        "node_degree": lambda s, d: graph.node_degree(road_edges(s)),
-        "components": lambda s, d: graph.components(road_edges(s).filter("edge % 3 <> 0")),
-        "shortest_path_costs": lambda s, d: graph.path_costs(costed(s), 0, 1500),
-        "ingest_dedupe": lambda s, d: ingest.insert_ignore(held(s, d), batch(s, d), ["user_id", "operation"], "event_id").select("user_id", "operation", "event_id"),
-        "run_length_steps": lambda s, d: ingest.runs(load(s, d, "events"), "user_id", ["ts", "event_id"], "event_type"),
-        "search_fold_tokens": lambda s, d: ingest.token_postings(load(s, d, "part"), "p_partkey", "p_name"),
-        "version_updates": versions,
-        "traffic_cells": lambda s, d: tracks.traffic_cells(trip_points(s, d)),
-        "traffic_cells_box": lambda s, d: tracks.traffic_cells(trip_points(s, d).filter(in_box(F.col("lon"), F.col("lat"), BOX))),
-        "traffic_typical": lambda s, d: tracks.traffic_cells(trip_points(s, d).filter(tracks.same_day_type("2024-01-17 08:00:00")), 3, 2),
-        "activity_cells": lambda s, d: tracks.activity_cells(trip_points(s, d)),
-        "track_lengths": lambda s, d: tracks.track_lengths(trip_points(s, d)),
-        "track_thinned": lambda s, d: tracks.thinned(trip_points(s, d)),
-        "trip_latest_fix": lambda s, d: tracks.latest_fix(trip_points(s, d)),
-        "feed_page": lambda s, d: feed.change_page(load(s, d, "orders"), ("1995-01-01 00:00:00", 100), 200),
-        "places_favourites": lambda s, d: feed.places_with_favourite(load(s, d, "customer"), 7),
-    }
+    return {name: q for part in PARTS for name, q in part.queries().items()}
 
 
 def oracle_sql():
-    near = "greatest(isodow(recorded_at), 5) = 5 and (hour(recorded_at) - 8 + 24) % 24 in (0, 1, 23)"
-    spot = "round(2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(lat - -2.1953e0) / 2), 2) + cos(radians(-2.1953e0)) * cos(radians(lat)) * pow(sin(radians(lon - -79.9405e0) / 2), 2), 1.0))), 1)"
-    away = STEP.replace("plat", "f.lat").replace("plon", "f.lon").replace("radians(lat)", "radians(p.lat)").replace("radians(lat -", "radians(p.lat -").replace("radians(lon -", "radians(p.lon -")
-    ops = "select user_id, cast(json_extract_string(props, '$.k') as bigint) as operation, event_id, ts from events"
-    long_ = STEP.replace("lat - plat", "lat2 - lat1").replace("lon - plon", "lon2 - lon1").replace("plat", "lat1").replace("radians(lat)", "radians(lat2)")
-    return {
-        "nearest_edge": NEAR + " select event_id, edge, metres from near",
-        "edge_speed_median": f"{NEAR} {MEDIAN.format(w='true')}",
-        "traffic_flow": f"{NEAR}, a as ({MEDIAN.format(w=f"recorded_at >= timestamp '{HALF}'")}), b as ({MEDIAN.format(w=f"recorded_at < timestamp '{HALF}'")}) select *, true as live from a union all select *, false from b where edge not in (select edge from a)",
-        "geofence_check": P + f", l as (select * from p qualify row_number() over (partition by trip_id order by recorded_at desc, event_id desc) = 1), f as ({FENCES_SQL}) select trip_id, fence, round(coalesce(pi() * radius * radius, pow(2 * half * 111194.9e0, 2)), 0) as area from l p join f on case when radius is not null then {away} <= radius else abs(p.lon - f.lon) < half and abs(p.lat - f.lat) < half end",
-        "places_nearby": f"with q as (select c_custkey as place_id, -79.95e0 + (c_custkey % 20) * 1e-3 as lon, -2.2e0 + ((c_custkey // 20) % 10) * 1e-3 as lat from customer), r as (select place_id, {spot} as metres from q) select * from r where metres <= 400 order by metres, place_id limit 50",
-        "tile_of_point": P + "select cast(floor((lon + 180) / 360 * 131072) as bigint) as x, cast(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 131072) as bigint) as y, count(*) as points from p group by 1, 2",
-        "line_length": f"select edge, round({long_}, 3) as metres from ({EDGES_SQL})",
-        "node_degree": f"with e as ({EDGES_SQL}) select node, count(*) as degree from (select u as node from e union all select v from e) group by node",
-        "components": f"with recursive e as (select u, v from ({EDGES_SQL}) where edge % 3 <> 0), b as (select u, v from e union all select v, u from e), r as (select u as node, u as c from b union select b.v, r.c from r join b on r.node = b.u) select node, min(c) as component from r group by node",
-        "shortest_path_costs": f"with recursive e as (select u, v, 100 + edge % 7 as cost from ({EDGES_SQL})), b as (select * from e union all select v, u, cost from e), r as (select cast(0 as bigint) as node, cast(0 as bigint) as cost union select b.v, r.cost + b.cost from r join b on r.node = b.u where r.cost + b.cost <= 1500) select node, min(cost) as cost from r group by node",
-        "ingest_dedupe": f"with o as ({ops}) select user_id, operation, event_id from o where not exists (select 1 from o h where h.user_id = o.user_id and h.operation = o.operation and h.ts < timestamp '2024-01-10 00:00:00') qualify row_number() over (partition by user_id, operation order by event_id) = 1",
-        "run_length_steps": "with a as (select *, row_number() over w as pos, case when event_type is distinct from lag(event_type) over w or row_number() over w = 1 then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id)), b as (select *, sum(new) over (partition by user_id order by pos) as run from a) select user_id, cast(run as bigint) as run, event_type, min(pos) as first, count(*) as length from b group by user_id, run, event_type",
-        "search_fold_tokens": "select token, count(*) as entries from (select distinct p_partkey, unnest(string_split(trim(regexp_replace(strip_accents(lower(p_name)), '[^a-z0-9]+', ' ', 'g')), ' ')) as token from part) where token <> '' group by token",
-        "version_updates": "select a.p_partkey as code, a.p_size as held, b.p_size as offered from part a join part b on a.p_partkey = b.p_partkey + 1 where a.p_size > 5 and b.p_size > a.p_size",
-        "traffic_cells": P + TRAFFIC.format(c=CELL, g=GOOD),
-        "traffic_cells_box": P + TRAFFIC.format(c=CELL, g=f"{GOOD} and lon between {BOX[0]} and {BOX[2]} and lat between {BOX[1]} and {BOX[3]}"),
-        "traffic_typical": P + TRAFFIC.format(c=CELL, g=f"{GOOD} and {near}").replace(">= 5 and", ">= 3 and").replace(">= 3 and count(distinct trip_id) >= 3", ">= 3 and count(distinct trip_id) >= 2"),
-        "activity_cells": P + f"select {CELL}, count(*) as samples, count(distinct trip_id) as trips from p group by 1, 2 having count(distinct trip_id) >= 3",
-        "track_lengths": P + f", q as (select *, lag(lon) over w as plon, lag(lat) over w as plat from p window w as (partition by trip_id order by recorded_at, event_id)) select trip_id, count(*) as points, round(coalesce(sum({STEP}), 0.0), 0) as metres from q group by trip_id",
-        "track_thinned": P + ", q as (select *, row_number() over (partition by trip_id order by recorded_at, event_id) - 1 as pos, count(*) over (partition by trip_id) as n from p) select trip_id, event_id, pos, lon, lat from q where n <= 10 or pos = 0 or floor(pos * 9 / greatest(n - 1, 1)) > floor((pos - 1) * 9 / greatest(n - 1, 1))",
-        "trip_latest_fix": P + "select trip_id, recorded_at, event_id, lon, lat from p qualify row_number() over (partition by trip_id order by recorded_at desc, event_id desc) = 1",
-        "feed_page": "select o_orderkey as route_id, o_orderdate as updated_at, o_orderstatus = 'F' as deleted from orders where (o_orderdate, o_orderkey) > (timestamp '1995-01-01 00:00:00', 100) order by o_orderdate, o_orderkey limit 200",
-        "places_favourites": "select c_custkey as place_id, c_mktsegment as category, (c_custkey % 3 = 0 and c_nationkey = 7) as favourite from customer where c_custkey % 10 = 0 or c_nationkey = 7",
-    }
+    return {name: sql for part in PARTS for name, sql in part.oracle_sql().items()}

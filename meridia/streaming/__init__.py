@@ -1 +1 @@
-"""Part of the meridia engine."""
+"""Structured Streaming of position fixes."""
