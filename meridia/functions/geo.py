@@ -15,7 +15,7 @@ MERCATOR_LAT = 85.0511
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))  # not least(): it passes over nulls
 
 
 def lon_gap(a: Column, b: Column) -> Column:

@@ -6,7 +6,8 @@ DEG = "111195.08e0"
 
 
 def great_circle(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
-    return f"2 * 6371008.8e0 * asin(sqrt(least(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2), 1e0)))"
+    h = f"(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))"
+    return f"2 * 6371008.8e0 * asin(sqrt(case when {h} > 1 then 1e0 else {h} end))"
 
 
 def to_segment(lon: str, lat: str, x1: str, y1: str, x2: str, y2: str) -> str:

@@ -104,10 +104,14 @@ def _wkb(data: bytes) -> list | None:
     return one(0)[0]
 
 
-@F.pandas_udf("array<array<struct<lon: double, lat: double>>>")
-def from_wkb(data: pd.Series) -> pd.Series:
+def from_wkb(data: Column) -> Column:
     """Parts of a binary geometry (point, line, polygon and their multiples), rings of all polygons in order."""
-    return data.map(lambda d: None if (g := _wkb(bytes(d) if d is not None else None)) is None else [[{"lon": x, "lat": y} for x, y in p] for p in g])
+
+    def parts(d) -> list | None:
+        g = _wkb(None if d is None else bytes(d))
+        return None if g is None else [[{"lon": x, "lat": y} for x, y in p] for p in g]
+
+    return F.pandas_udf(lambda s: s.map(parts), "array<array<struct<lon: double, lat: double>>>")(data)
 
 
 def _encoded(shape, precision: int) -> str:
