@@ -163,6 +163,8 @@ def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     rows = _fingerprints(docs, n, percent)
     classes = staged(rows.filter("size > 0").groupBy("cid", "size").agg(F.min(F.struct(*KEY)).alias("rep")))
     live = _live(docs, rows, classes, n, percent)
+    slim = staged(rows.select(*KEY, "cid", "size"))
+    dropped(rows)
     groups = live.groupBy("p").agg(F.min("cid").alias("lead"))
     live = staged(live.join(groups, "p").drop("p"))
     inside = live.filter("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
@@ -183,7 +185,7 @@ def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     more = _verified(_rest_pairs(post.unionByName(own).distinct(), live, comp, percent), live, percent)
     if not more.isEmpty():
         comp = components(links.unionByName(more))
-    return rows.select(*KEY, "cid", "size"), comp
+    return slim, comp
 
 
 def _named(rows: DataFrame, comp: DataFrame) -> DataFrame:

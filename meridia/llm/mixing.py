@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, staged, words
+from .common import staged, words
 
 UNIT = 1 << 20  # expected copies are whole multiples of 1/UNIT, so that sums are exact
 WEIGHTS = (5, 2, 1)
@@ -35,22 +35,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return t.select("source", "source_size", "target", units.alias("units"))
 
 
-def systematic_mix(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """Adds size, source_size, target and copies to each row.
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), *more)
+
+
+def _mixed(sizes: DataFrame, seed: int) -> DataFrame:
+    """Adds source_size, target and copies to rows of doc_id, source, size; texts are not among them.
 
     Rows of a source stand in the order of size, then doc_id; their expected copies are prefix-summed
     and a row is emitted once for each whole number its sum, moved by one random offset, passes.
     Rows are range-partitioned, so a hot source spreads; partition sums give each partition its base.
-    Null text has size 0; a null source is a source; an empty table gives an empty table. Equal rows
-    may swap places, which leaves the result as it is. Columns of docs keep their values; those named
-    like an added column are replaced by it.
     """
-    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    return _mixed(row, seed)
-
-
-def _mixed(row: DataFrame, seed: int) -> DataFrame:
-    ranged = row.repartitionByRange(F.col("source"), F.col("size"), F.col("doc_id"))
+    ranged = sizes.repartitionByRange(F.col("source"), F.col("size"), F.col("doc_id"))
     placed = staged(ranged.withColumn("pid", F.spark_partition_id()))
     targets = staged(source_targets(placed.select("source", "size")))
     t = targets.select(F.col("source").alias("s"), "source_size", "target", "units")
@@ -65,13 +61,28 @@ def _mixed(row: DataFrame, seed: int) -> DataFrame:
 
 
 def mix_table(docs: DataFrame, seed: int = 11) -> DataFrame:
-    row = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    return _mixed(row, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    """doc_id, size, source_size, target and taken (words, repeats counted) of each row of docs.
+
+    Null text has size 0; a null source is a source, the last one; a null doc_id stands before others of its
+    size. Equal rows share a place in the order, so which of them is emitted is open, but not how many: ties
+    leave the result as it is. Repeated rows are counted one by one; an empty table gives an empty table; other
+    columns are not read. The words taken of a source differ from its target by less than twice its largest document.
+    """
+    return _mixed(_sized(docs), seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The mix itself: each row as often as its copies say, with the columns of docs."""
-    return systematic_mix(docs, seed).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n")).select("row.*")
+    """The mix itself: each row as often as its copies say, with the columns of docs. Cases as in mix_table.
+
+    A row is known by two hashes of all its columns (maps left out); equal rows sum their copies. Copies are
+    worked out on ids and sizes, and texts are shuffled once, to meet them.
+    """
+    plain = [c for c, t in docs.dtypes if "map<" not in t]
+    key = [F.xxhash64(*plain).alias("__a"), F.xxhash64(F.lit("mix"), *plain).alias("__b")]
+    copies = _mixed(_sized(docs, *key), seed).groupBy("__a", "__b").agg(F.sum("copies").alias("__n")).filter("__n > 0")
+    row = docs.select(F.struct(*docs.columns).alias("__row"), *key)
+    got = row.join(staged(copies).hint("merge"), ["__a", "__b"]).dropDuplicates(["__a", "__b"])
+    return got.select("__row", F.explode(F.sequence(F.lit(1), F.col("__n")))).select("__row.*")
 
 
 ORACLE = f"""
