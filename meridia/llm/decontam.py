@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged, words
+from .common import WordHashes, ascii_lower, staged, words
+from .passages import rolled
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+MARKS = 22
 
 
 def align(doc: list[str], item: list[str]) -> tuple[int, int, int]:
@@ -40,26 +42,76 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("text"), F.col("text"))})
 
 
+def grams(text: str | None, sizes: list[int], seen: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of words of the given sizes, and where they start."""
+    ws = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []  # bytes: A-Z and ASCII blanks only
+    h = np.fromiter(map(seen.__getitem__, ws), np.uint64, len(ws))
+    each = [rolled(h ^ np.uint64(k), k) for k in sizes]
+    return np.concatenate(each), np.concatenate([np.arange(len(x)) for x in each])
+
+
+def item_seeds(items: DataFrame, n: int) -> DataFrame:
+    """item, h: all runs of n words of each item; an item of fewer words is one run of its own length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = WordHashes()
+        for b in batches:
+            hs = [np.unique(grams(t, [min(n, k)], seen)[0]) for t, k in zip(b["text"], b["k"])]
+            yield pd.DataFrame({"item": np.repeat(b["item"].to_numpy(), [len(h) for h in hs]), "h": np.concatenate(hs) if hs else np.zeros(0, np.int64)})
+
+    return items.select("item", F.array_join("iw", " ").alias("text"), F.size("iw").alias("k")).mapInPandas(run, "item long, h long")
+
+
+def marks(seeds: DataFrame) -> np.ndarray:
+    """A bit for each of 2**MARKS buckets of hashes, set where a seed falls in: half a megabyte, whatever the number of seeds."""
+    bits = np.zeros(1 << MARKS, bool)
+    for r in seeds.select(F.expr(f"h & {(1 << MARKS) - 1}").alias("b")).distinct().toLocalIterator():
+        bits[r["b"]] = True
+    return np.packbits(bits)
+
+
+def seed_hits(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, t1, t2, item, pos wherever a document has a seed of an item.
+
+    Runs of words whose bucket no seed falls in are left out where they lie; the others meet the seeds by a join
+    on the hash, so nothing depends on the buckets but the number of rows.
+    """
+    packed = marks(seeds)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, bits = WordHashes(), np.unpackbits(packed).view(bool)
+        for b in batches:
+            if not len(b):
+                continue
+            got = []
+            for t in b["text"]:
+                h, pos = grams(t, sizes, seen)
+                k = bits[h & ((1 << MARKS) - 1)]
+                got.append((h[k], pos[k]))
+            n = [len(x) for x, _ in got]
+            out = b[["doc_id", "t1", "t2"]].loc[b.index.repeat(n)].reset_index(drop=True)
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out.assign(h=np.concatenate([x for x, _ in got]), pos=np.concatenate([x for _, x in got]))
+
+    runs = keyed(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, t1 long, t2 long, h long, pos int")
+    return runs.join(seeds, "h").select("doc_id", "t1", "t2", "item", "pos").distinct()
+
+
 def findings(docs: DataFrame, benchmark: DataFrame, n: int, least: float) -> tuple[DataFrame, DataFrame]:
     """doc_id, t1, t2, item, score, end_word, ratio of each passage that reaches `least`; and the items' ids by item."""
     named = staged(benchmark.select("item_id", words(ascii_lower(F.col("text"))).alias("iw")).filter(F.size("iw") > 0).distinct())
     items = staged(named.select("iw").distinct().select(F.monotonically_increasing_id().alias("item"), "iw"))
     names = named.join(items, "iw").select("item_id", "item")
-    seed = lambda w, k: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
-    seeds = staged(items.filter(F.size("iw") >= n).select("item", F.explode(seed(F.col("iw"), n)).alias("h")).distinct())
-    d = keyed(docs.select("doc_id", "text")).select("doc_id", "t1", "t2", words(ascii_lower(F.col("text"))).alias("w"))
+    seeds = staged(item_seeds(items, n))
+    d = keyed(docs.select("doc_id", "text"))
     row = ["doc_id", "t1", "t2"]
-    sizes = [r[0] for r in items.filter(F.size("iw") < n).select(F.size("iw").alias("k")).distinct().collect()]  # fewer than n
-    hits = d.filter(F.size("w") >= n).select(*row, F.posexplode(seed(F.col("w"), n)).alias("pos", "h")).join(seeds, "h").select(*row, "item", F.col("pos").cast("int").alias("pos"))
-    for k in sizes:
-        short = items.filter(F.size("iw") == k).select("item", seed(F.col("iw"), k)[0].alias("h"))
-        hits = hits.unionByName(d.filter(F.size("w") >= k).select(*row, F.posexplode(seed(F.col("w"), k)).alias("pos", "h")).join(short, "h").select(*row, "item", F.col("pos").cast("int").alias("pos")))
-    hits = staged(hits.distinct())
+    sizes = sorted(r[0] for r in items.select(F.least(F.size("iw"), F.lit(n)).alias("k")).distinct().collect())  # n at most
+    hits = staged(seed_hits(docs, seeds, sizes)) if sizes else staged(seeds.sparkSession.createDataFrame([], "doc_id long, t1 long, t2 long, item long, pos int"))
     pair = Window.partitionBy(*row, "item").orderBy("pos")
     sized = hits.join(items.select("item", F.size("iw").alias("k")), "item").withColumn("gap", F.col("pos") - F.lag("pos").over(pair))
     run = sized.withColumn("run", F.sum(F.when(F.col("gap") > 2 * F.col("k"), 1).otherwise(0)).over(pair))
     spans = staged(run.groupBy(*row, "item", "run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.first("k").alias("k")))
-    passage = F.slice("w", F.greatest(F.col("lo") - F.col("k"), F.lit(0)) + 1, F.col("hi") - F.col("lo") + 2 * F.col("k") + n)
+    passage = F.slice(words(ascii_lower(F.col("text"))), F.greatest(F.col("lo") - F.col("k"), F.lit(0)) + 1, F.col("hi") - F.col("lo") + 2 * F.col("k") + n)
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.t1") == F.col("s.t1")) & (F.col("d.t2") == F.col("s.t2"))
     cut = spans.alias("s").join(d.alias("d"), same).select("s.doc_id", "s.t1", "s.t2", "item", F.greatest(F.col("lo") - F.col("k"), F.lit(0)).alias("from"), passage.alias("p")).join(items, "item")
 
