@@ -4,55 +4,98 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "novel")
+# fixed values: patterns of the base rule
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CONTEXT = re.compile(r"(?:auth|bearer|credential|private|access|key|secret|token|passw(?:or)?d|pwd)[^\n]{0,40}?([A-Za-z0-9+/_=-]{20,})", re.I | re.A)
-IDENTIFIERS = b" ".join(f"{a}_{b}".encode() for a in ("get", "set", "user", "client", "access", "private", "public", "config", "default", "request") for b in ("name", "key", "token", "value", "path", "file", "size", "secret", "password", "id"))
+CONTEXT = re.compile(r"auth|bearer|credential|private|access|secret|token|passw|passphrase|pwd|key|signature|salt|cookie|session", re.I | re.A)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}", re.A)
+TRIM = "._-=~/"
+REACH = 200  # characters before a string in which its context may stand, on its own line or the line before
+NAMES = 4096  # identifiers in the dictionary at most, the most frequent first
+
+
+def identifiers(docs: DataFrame, most: int = NAMES) -> bytes:
+    """The words and identifiers that stand most often in docs, as a compression dictionary; `most` words come to the driver.
+
+    All rows are counted, by partial aggregates. The most frequent stand last, where a compressor reaches them cheapest.
+    """
+    w = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z0-9_]+")).alias("w")).filter("length(w) between 4 and 40")
+    top = w.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()
+    return " ".join(r["w"] for r in reversed(top)).encode()
 
 
 class Novelty:
-    """Marginal compressed bytes of a string after its surroundings, per byte of the string."""
+    """Marginal compressed bytes of a string after a dictionary and its surroundings, per byte of the string."""
 
-    def __init__(self) -> None:
+    def __init__(self, names: bytes) -> None:
         import zstandard as z
 
-        self.c = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(IDENTIFIERS, dict_type=z.DICT_TYPE_RAWCONTENT))
+        prime = z.ZstdCompressionDict(names, dict_type=z.DICT_TYPE_RAWCONTENT) if len(names) >= 8 else None
+        self.c = z.ZstdCompressor(level=3, dict_data=prime)
 
     def __call__(self, around: str, part: str) -> float:
         a, p = around.encode("utf-8", "replace"), part.encode()
-        return (len(self.c.compress(a + p)) - len(self.c.compress(a))) / len(p)
+        return (len(self.c.compress(a + b" " + p)) - len(self.c.compress(a + b" "))) / len(p)
+
 
+def novel(text: str, novelty: Novelty, least: float, around: int) -> list[tuple[int, int]]:
+    """Strings of 16 characters or more with letters and digits, in a sensitive context, that the compressor can't shorten.
 
-def spans(text: str, novelty: Novelty, least: float = 0.7, around: int = 200) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in code points by start, then kind as listed."""
+    Every string of a text is looked at, whatever stands beside it. Its context is a sensitive word in the REACH
+    characters before it, on its line or the line before, outside the string itself. Parts of web and mail addresses do not count.
+    """
+    found, words = [], None
+    for m in CANDIDATE.finditer(text):
+        s, e = m.span()
+        while s < e and text[e - 1] in TRIM:
+            e -= 1
+        while s < e and text[s] in TRIM:
+            s += 1
+        part = text[s:e]
+        if e - s < 16 or text[max(0, s - 3) : s].endswith(("://", ":/", "@")) or "//" in part or part.startswith("www."):
+            continue
+        if not any(c.isdigit() for c in part) or not any(c.isalpha() for c in part):
+            continue
+        if words is None:
+            words = [w.end() for w in CONTEXT.finditer(text)]
+        k = bisect_right(words, s)
+        if not k or words[k - 1] < s - REACH or text.count("\n", words[k - 1], s) > 1:
+            continue
+        if novelty(text[max(0, s - around) : s] + text[e : e + around], part) >= least:
+            found.append((s, e))
+    return found
+
+
+def spans(text: str, novelty: Novelty, least: float = 0.9, around: int = 200) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in code points by start, then kind as listed. A novel string that a base span holds is not listed again."""
     out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8]
     out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    for m in CONTEXT.finditer(text):
-        s, e = m.span(1)
-        mixed = len({"d" if c.isdigit() else "u" if c.isupper() else "l" for c in m.group(1)}) > 1
-        if mixed and novelty(text[max(0, s - around) : s] + text[e : e + around], m.group(1)) >= least:
-            out.append((s, e, "novel"))
+    out += [(s, e, "novel") for s, e in novel(text, novelty, least, around) if not any(a <= s and e <= b for a, b, _ in out)]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
 def secret_table(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, digest of the fixed patterns' spans, and all spans.
 
-    Every whole text is scanned where it lies, without a shuffle. Null text is empty: no spans and the
-    digest of the empty string. Repeated rows give repeated results; an empty table gives none.
-    A base span is the whole match; `novel` spans are the method's own.
+    The dictionary of identifiers comes from docs itself; then every whole text is scanned where it lies. Null
+    text is empty: no spans and the digest of the empty string. A null doc_id is kept; repeated rows give repeated
+    results; an empty table gives none; other columns are not read. A base span is the whole match; `novel` spans
+    are the method's own.
     """
+    names = identifiers(docs)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        novelty = Novelty()
+        novelty = Novelty(names)
         for b in batches:
             rows = []
             for t in b["text"]:
