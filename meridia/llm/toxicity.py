@@ -18,8 +18,8 @@ SAMPLE = 6000  # labelled rows the model is fitted on at most, by hash of doc_id
 
 
 def letters(text: Column) -> Column:
-    """Distinct runs of letters of the whole text, in lower case; signs and digits around a word do not make it another."""
-    return F.filter(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+")), lambda w: w != "")
+    """Distinct runs of letters and digits of the whole text, in lower case; signs around a word do not make it another."""
+    return F.filter(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+")), lambda w: w != "")
 
 
 def features(ws) -> np.ndarray:
@@ -28,8 +28,8 @@ def features(ws) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(p) & ((1 << BITS) - 1) for p in parts), np.int64))
 
 
-def row_weights(rows: list[np.ndarray], bands: int = 10, width: int = 6, alike: float = 0.5) -> np.ndarray:
-    """1 for a row, and a share of 1 for each of several that are near copies: they carry one label, not many.
+def row_weights(rows: list[np.ndarray], labels: np.ndarray, bands: int = 10, width: int = 6, alike: float = 0.8) -> np.ndarray:
+    """1 for a row, and a share of 1 for each of several near copies with one label, which they carry once, not many times.
 
     Min-hash bands name candidates; a row joins the first one of its band whose features it shares by `alike`.
     """
@@ -47,7 +47,7 @@ def row_weights(rows: list[np.ndarray], bands: int = 10, width: int = 6, alike:
         if len(f):
             low = ((f.astype(np.uint64)[None, :] * a + c) & np.uint64(0xFFFFFFFF)).min(1).reshape(bands, width)
             for k, band in enumerate(low):
-                j = first.setdefault((k, *band.tolist()), i)
+                j = first.setdefault((k, bool(labels[i]), *band.tolist()), i)
                 if root(j) != root(i):
                     both = len(np.intersect1d(f, rows[j], assume_unique=True))
                     if both >= alike * (len(f) + len(rows[j]) - both):
@@ -68,12 +68,12 @@ class Ordinal:
         return float((1 / (1 + np.exp(self.theta - z))).sum())
 
     @staticmethod
-    def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, steps: int = 600, l2: float = 1e-4, z_min: float = 4.0) -> Ordinal:
+    def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, steps: int = 600, l2: float = 1e-4, z_min: float = 3.5) -> Ordinal:
         """Words that mark grades above 0 (weight of 3 rows or more, z over z_min) get weights by gradient steps on the ordinal likelihood."""
         y = grade > 0
         if not len(rows) or y.all() or not y.any():
             return Ordinal(np.array([], int), np.array([]), np.full(grades - 1, 6.0))
-        each = row_weights(rows)
+        each = row_weights(rows, y)
         n1, n0 = each[y].sum(), each[~y].sum()
         pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
         for f, t, c in zip(rows, y, each):
@@ -121,7 +121,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordin
 def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, severity (expected grade, 0 to 2), grade and toxic (severity of 0.5 or more) of each whole text.
 
-    Null and empty texts have no features, as have texts without letters; without usable labels all severities
+    Null and empty texts have no features, as have texts without letters and digits; without usable labels all severities
     are near 0. Labels of null, and of ids that docs has not, are passed over; an id labelled twice counts twice.
     Equal z values are all kept or all left. A null doc_id is scored; repeated rows give repeated results; an empty
     table gives none; other columns are not read. The model (kilobytes) travels with the tasks.
