@@ -90,8 +90,9 @@ def _live(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent:
 
     A shingle of one class only is in no intersection. A class with as many such shingles as its prefix is long
     links with nothing. This is tested first on a part of the hash range, which drops most classes, then on all
-    shingles of the classes left. toks are the shared shingles, rare ones first by their true number of classes;
-    u counts the others; the first k of toks end the prefix; sig is a parity bit for each of 512 buckets of toks.
+    shingles of the classes left. toks are the shared shingles, rare ones first: above, their true number of classes
+    in quarters of its binary logarithm, below, 56 bits of hash. u counts the other shingles; the first k of toks end
+    the prefix; sig is a parity bit for each of 512 buckets of toks.
     """
     spread = rows.select("cid", F.explode("part").alias("h")).groupBy("h").agg(F.min("cid").alias("cid"), F.max("cid").alias("hi"))
     alone = staged(spread.filter("cid = hi").groupBy("cid").agg(F.count("*").alias("u")))
@@ -99,8 +100,9 @@ def _live(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent:
     sets = _sets(docs, staged(left), n)
     each = sets.select("cid", F.explode("s").alias("h")).repartition("h")
     times = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    held = each.join(times, "h").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("r"))  # a class's own shingles
-    live = sets.select("cid", "size").join(held, "cid").withColumn("toks", F.col("r.h")).withColumn("u", F.col("size") - F.size("toks"))
+    token = F.expr(f"shiftleft(least(bigint(4 * log2(n)), 127L), 56) | (h & {(1 << 56) - 1}L)")
+    held = each.join(times, "h").groupBy("cid").agg(F.sort_array(F.collect_list(token)).alias("toks"))  # a class's own shingles
+    live = sets.select("cid", "size").join(held, "cid").withColumn("u", F.col("size") - F.size("toks"))
     live = live.withColumn("k", F.expr(f"cast({prefix_size('size', percent)} - u as int)")).filter("k > 0")
     sig = F.expr("transform(sequence(0, 7), i -> aggregate(filter(toks, h -> (shiftright(h, 6) & 7) = i), 0L, (b, h) -> b ^ shiftleft(1L, cast(h & 63 as int))))")
     prefix = F.when(F.col("u") == 0, F.xxhash64(F.slice("toks", 1, F.col("k")), "size")).otherwise(F.col("cid"))
