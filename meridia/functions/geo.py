@@ -207,3 +207,30 @@ def terrarium(height: Column) -> Column:
 
 def from_terrarium(r: Column, g: Column, b: Column) -> Column:
     return r * 256.0 + g + b / 256.0 - 32768.0
+
+
+# fixed values: zone and southern half of the UTM codes in use, and codes of plain degrees
+UTM = {31992: (17, True), 31993: (18, True), 31976: (17, False), 32717: (17, True), 32617: (17, False), 32715: (15, True), 32716: (16, True)}
+DEGREES = (4326, 4674, 4190)
+
+
+def from_utm(x: Column, y: Column, code: int) -> Column:
+    """lon and lat of UTM metres, by the series of the inverse transverse Mercator projection to the third order of n."""
+    if code in DEGREES:
+        return F.struct(x.alias("lon"), y.alias("lat"))
+    zone, south = UTM[code]
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = (y - (10_000_000.0 if south else 0.0)) / radius, (x - 500_000.0) / radius
+    xi1, eta1 = xi, eta
+    for j, b in enumerate(beta, 1):
+        xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    lat = chi
+    for j, d in enumerate(delta, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    return F.struct((F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + (zone * 6 - 183)).alias("lon"), F.degrees(lat).alias("lat"))

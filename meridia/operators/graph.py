@@ -86,6 +86,79 @@ def travel_times(edges: DataFrame, starts: DataFrame, profile: str, most_ms: int
     return best
 
 
+def priced(edges: DataFrame, profile: str) -> DataFrame:
+    """u, v, edge, ms and metres of each step a profile may take, junction delays included."""
+    kph = free_flow(profile, F.col("cls"), F.col("flags"))
+    e = edges.withColumn("kph", kph).filter("kph > 0").withColumn("metres", F.round(line_length(F.col("shape")), 3))
+    e = both_ways(e.select("u", "v", "edge", "metres", F.round(F.col("metres") / (F.col("kph") / 3.6) * 1000).cast("long").alias("ms"), (F.col("flags").bitwiseAND(STATE) > 0).alias("state")))
+    e = e.join(node_degree(edges).withColumnRenamed("node", "v"), "v")
+    delay = F.when(~F.col("state") & (F.col("degree") >= 3), JUNCTION_S[profile] * 1000).otherwise(0)
+    return e.select("u", "v", "edge", "metres", (F.col("ms") + delay).alias("ms"))
+
+
+def paths(steps: DataFrame, requests: DataFrame, dearer: DataFrame | None = None) -> DataFrame:
+    """request, pos, edge, node, ms, metres: the cheapest path of each request (request, start, goal), by steps from goal back to start.
+
+    All requests are relaxed together as in travel_times, each with its own prices where dearer (request, edge,
+    factor) has some; a node keeps the step it is reached by. What cannot beat the best way to the goal so far is
+    not followed. Ties go to the least node before. A request without a path has no rows.
+    """
+    first = requests.select("request", F.col("start").alias("node"), F.lit(0).cast("long").alias("price"), F.lit(-1).cast("long").alias("back"), F.lit(-1).cast("long").alias("edge"))
+    best = front = cut(first)
+    while not front.isEmpty():
+        s = front.select("request", F.col("node").alias("u"), F.col("price").alias("had")).join(steps, "u")
+        if dearer is not None:
+            s = s.join(dearer, ["request", "edge"], "left").withColumn("ms", F.round(F.col("ms") * F.coalesce("factor", F.lit(1.0))).cast("long"))
+        s = s.select("request", F.col("v").alias("node"), (F.col("had") + F.col("ms")).alias("price"), F.col("u").alias("back"), "edge")
+        s = s.groupBy("request", "node").agg(F.min(F.struct("price", "back", "edge")).alias("m")).select("request", "node", "m.*")
+        goal = best.join(requests.select("request", F.col("goal").alias("node")), ["request", "node"]).select("request", F.col("price").alias("most"))
+        s = s.join(best.select("request", "node", F.col("price").alias("old")), ["request", "node"], "left").join(goal, "request", "left")
+        front = cut(s.filter("(old is null or price < old) and (most is null or price < most)").select("request", "node", "price", "back", "edge"))
+        best = cut(best.unionByName(front).groupBy("request", "node").agg(F.min(F.struct("price", "back", "edge")).alias("m")).select("request", "node", "m.*"))
+    own = steps.select(F.col("u").alias("back"), F.col("v").alias("node"), "edge", "ms", "metres")
+    at = cut(best.join(requests.select("request", F.col("goal").alias("node")), ["request", "node"]))
+    rows, pos = None, 0
+    while not at.isEmpty():
+        step = at.filter("edge >= 0").join(own, ["back", "node", "edge"]).select("request", F.lit(pos).alias("pos"), "edge", "node", "ms", "metres", "back")
+        step = cut(step)
+        rows = step.drop("back") if rows is None else rows.unionByName(step.drop("back"))
+        at = cut(step.select("request", F.col("back").alias("node")).join(best, ["request", "node"]).filter("edge >= 0"))
+        pos += 1
+    return rows
+
+
+def routes(edges: DataFrame, requests: DataFrame, profile: str, alternatives: int = 0) -> DataFrame:
+    """request, rank, pos, edge, node, ms, metres: the quickest path (rank 0) and other ways by the penalty method.
+
+    Each attempt makes the edges of all accepted paths dearer by 1.6 once more; a way that takes over 1.45 times
+    the quickest ends the search for its request, one that shares over 70 % of its metres with an accepted way is
+    passed over. Requests are searched together, attempt by attempt.
+    """
+    steps = cut(priced(edges, profile))
+    quickest = cut(paths(steps, requests).withColumn("rank", F.lit(0)))
+    base = quickest.groupBy("request").agg(F.sum("ms").alias("base"))
+    accepted, dearer, open_ = quickest, None, requests
+    for _ in range(alternatives + 2 if alternatives else 0):
+        once = accepted.groupBy("request", "edge").agg(F.count("*").alias("n"))
+        factor = F.pow(F.lit(1.6), F.col("n"))
+        dearer = cut(once.select("request", "edge", factor.alias("factor")) if dearer is None else dearer.join(once, ["request", "edge"], "full").select("request", "edge", (F.coalesce("factor", F.lit(1.0)) * F.coalesce(factor, F.lit(1.0))).alias("factor")))
+        found = paths(steps, open_, dearer)
+        if found is None:
+            break
+        found = cut(found)
+        whole = found.groupBy("request").agg(F.sum("ms").alias("ms"), F.sum("metres").alias("all")).join(base, "request").filter("ms <= 1.45 * base")
+        shared = found.join(accepted.select("request", "edge", F.col("rank").alias("of")).distinct(), ["request", "edge"]).groupBy("request", "of").agg(F.sum("metres").alias("m"))
+        shared = shared.groupBy("request").agg(F.max("m").alias("m"))
+        fresh = whole.join(shared, "request", "left").filter(F.coalesce("m", F.lit(0.0)) <= 0.7 * F.col("all"))
+        rank = accepted.groupBy("request").agg((F.max("rank") + 1).alias("rank"))
+        accepted = cut(accepted.unionByName(found.join(fresh.select("request"), "request").join(rank, "request").select(*accepted.columns)))
+        full = accepted.groupBy("request").agg(F.max("rank").alias("r")).filter(F.col("r") >= alternatives).select("request")
+        open_ = cut(open_.join(whole.select("request"), "request", "left_semi").join(full, "request", "left_anti"))
+        if open_.isEmpty():
+            break
+    return accepted
+
+
 def street_junctions(edges: DataFrame) -> DataFrame:
     """Nodes where two streets of different names meet: first, second (in order), node. Names at a node are few, so pairs are too."""
     named = both_ways(edges.filter("name is not null").select("u", "v", "name")).select(F.col("u").alias("node"), "name").distinct()
