@@ -149,7 +149,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: floa
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5) -> DataFrame:
-    """The rows that hold no item, whatever their ids."""
+    """The rows of docs that hold no item, with all their columns. Cases as in contamination.
+
+    A row is known by its doc_id, null or not, and two hashes of its text, so repeated rows share their fate and
+    rows of one id with other texts do not. Null texts stay; without a benchmark all rows stay.
+    """
     found, _ = findings(docs, benchmark, n, least)
     bad = staged(found.select(F.col("doc_id").alias("i"), F.col("t1").alias("a"), F.col("t2").alias("b")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("a")) & (F.xxhash64(F.lit("text"), F.col("text")) == F.col("b"))

@@ -133,12 +133,17 @@ def judge(stats: DataFrame, key: list[str], limit: float = 80.0) -> DataFrame:
 
 
 def quality_table(docs: DataFrame) -> DataFrame:
+    """doc_id, base statistics, base_failed, distance and kept of each row of docs; cases as in with_stats and judge.
+
+    A null doc_id is kept; null lang and source form groups; rows with equal distances share a verdict; other
+    columns are not read.
+    """
     stats = staged(with_stats(docs.select("doc_id", "lang", "source", "text")).drop("text"))
     return judge(stats, ["lang", "source"]).select("doc_id", *STATS, "base_failed", "distance", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows that pass, with the columns of docs."""
+    """The rows of docs that pass, with all their columns, whatever these are named. Cases as in judge; repeated rows pass or go together."""
     inner = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"), F.col("lang"), F.col("source"))
     stats = staged(with_stats(inner).drop("text"))
     return judge(stats, ["lang", "source"]).filter("kept").select("row.*")
