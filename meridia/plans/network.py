@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import catalogue, classify, graph, search, tiles
+from ..operators import catalogue, classify, graph, search, tagged, tiles
 from ..sources.tables import EDGES_SQL, ENTRIES_SQL, NODES_SQL, NAMES_SQL, load, point, road_edges, road_nodes, search_entries, trip_points
 from .sqltext import folded, great_circle, to_segment
 
@@ -103,6 +103,24 @@ def pixels(s, d):
     return e.select("tile", (F.col("i") % 16).cast("long").alias("x"), F.floor(F.col("i") / 16).alias("y"), F.round(F.col("value").cast("decimal(20,6)"), 6).cast("double").alias("value"), F.when(F.col("i") % 5 == 0, 0.0).otherwise(1.0).alias("weight"))
 
 
+TAGS = (("amenity", "Hospital "), ("amenity", "fast_food"), ("shop", "vacant"), ("shop", "kiosk"), ("shop", "bakery"), ("aeroway", "aerodrome"), ("natural", "water"), ("natural", "wood"), ("waterway", "brook"), ("waterway", "dock"), ("landuse", "basin"), ("leisure", "park"), ("tourism", "zoo"), ("healthcare", "lab"), ("amenity", "parking"), ("none", ""))
+
+
+def tagged_rows(s, d):
+    """A tag by key, and a second one for some."""
+    k = F.col("p_partkey")
+    at = lambda i: F.element_at(F.array(*[F.lit(t[i]) for t in TAGS]), (k % len(TAGS) + 1).cast("int"))
+    return load(s, d, "part").select(k.alias("id"), F.map_concat(F.create_map(at(0), at(1)), F.when(k % 3 == 0, F.create_map(F.lit("covered"), F.lit("yes"), F.lit("iata"), F.lit("X"), F.lit("parking"), F.lit("rooftop"))).otherwise(F.create_map(F.lit("name"), F.lit("n")))).alias("tags"))
+
+
+def borders(s, d):
+    k = F.col("o_orderkey")
+    ways = load(s, d, "orders").select(k.alias("way"), F.create_map(F.lit("boundary"), F.when(k % 5 == 0, "disputed").otherwise("administrative"), F.lit("admin_level"), (k % 13).cast("string"), F.lit("maritime"), F.when(k % 4 == 0, "yes").otherwise("no")).alias("tags"))
+    members = load(s, d, "lineitem").filter("l_linenumber < 3").select(F.col("l_orderkey").alias("way"), (F.col("l_suppkey") % 40).alias("relation"))
+    relations = s.range(30).select(F.col("id").alias("relation"), (F.col("id") % 9 + 2).cast("int").alias("level"), (F.col("id") % 7 == 0).alias("disputed"), (F.col("id") % 11 == 0).alias("maritime"))
+    return tagged.boundaries(ways.filter(k % 2 == 0), members, relations)
+
+
 def queries():
     return {
         "node_degree": lambda s, d: graph.node_degree(road_edges(s)),
@@ -128,6 +146,8 @@ def queries():
         "poi_classify": lambda s, d: poi_names(s, d).withColumn("c", classify.poi_class(F.col("name"), F.col("category"))).select("id", "c.class", "c.subclass", "c.rank"),
         "place_class": lambda s, d: cells(s, d).withColumn("c", classify.place_class(F.element_at(F.array(*[F.lit(x) for x in ("country", "region", "city", "town", "village", "suburb", "farm", "other")]), (F.col("cell") % 8 + 1).cast("int")), F.col("people") * 40000)).select("cell", "c.class", "c.rank", "c.zoom").fillna(0, ["rank", "zoom"]),
         "area_class": lambda s, d: cells(s, d).withColumn("c", classify.area_class(F.element_at(F.array(F.lit("CAPITAL PROVINCIAL"), F.lit("CABECERA CANTONAL"), F.lit("CABECERA PARROQUIAL"), F.lit("X")), (F.col("cell") % 4 + 1).cast("int")), F.col("people") * 40000)).select("cell", "c.class", "c.rank", "c.place_rank"),
+        "tag_classes": lambda s, d: tagged_rows(s, d).withColumn("p", tagged.poi_of_tags(F.col("tags"))).select("id", "p.class", "p.subclass", F.coalesce("p.zoom", F.lit(-1)).alias("zoom"), F.coalesce("p.rank", F.lit(-1)).alias("rank"), tagged.landuse_of_tags(F.col("tags")).alias("landuse"), tagged.water_of_tags(F.col("tags")).alias("water"), tagged.waterway_of_tags(F.col("tags")).alias("waterway")),
+        "boundaries": borders,
         "tile_of_point": lambda s, d: tiles.tiled(trip_points(s, d), 17).select("x", "y", "points", F.round("west", 6).alias("west"), F.round("north", 6).alias("north")),
         "tile_parents": lambda s, d: tiles.parents(tiles.tiled(trip_points(s, d), 17), 2),
         "tile_zoom_explode": lambda s, d: tiles.road_features(roads(s, d)),
@@ -184,6 +204,13 @@ def oracle_sql():
           select id, case when c <> '' then c when f = 0 then 'park' when f = 1 then 'place_of_worship' else 'building' end as class, case when c <> '' then s when f = 0 then 'park' when f = 1 then 'place_of_worship' else 'landmark' end as subclass, case when c <> '' then r when f = 0 then 18 when f = 1 then 20 else 24 end as rank from k""",
         "place_class": "select c_custkey as cell, ['country', 'state', 'city', 'town', 'village', 'suburb', 'locality', null][k + 1] as class, [1, 2, 3, 4, 5, 6, 8, 0][k + 1] as rank, case k when 0 then 2 when 1 then 4 when 2 then case when p >= 1000000 then 4 when p >= 250000 then 5 else 6 end when 3 then case when p >= 50000 then 7 else 8 end when 4 then 11 when 5 then 11 when 6 then 14 else 0 end as zoom from (select c_custkey, c_custkey % 8 as k, c_custkey % 40 * 40000 as p from customer)",
         "area_class": "select c_custkey as cell, ['city', 'town', 'village', 'hamlet'][k + 1] as class, [88, 80, 66, 56][k + 1] + case when p >= 200000 then 6 else 0 end as rank, case k when 0 then case when p > 1000000 then 1 else 2 end else k + 2 end as place_rank from (select c_custkey, c_custkey % 4 as k, c_custkey % 40 * 40000 as p from customer)",
+        "tag_classes": """with t as (select p_partkey as id, p_partkey % 16 as k, p_partkey % 3 = 0 as more from part),
+          p as (select * from (values (0, 'hospital', 'hospital', 12, 5), (1, 'food', 'fast_food', 14, 30), (3, 'shop', 'kiosk', 14, 40), (4, 'grocery', 'bakery', 14, 30), (5, 'airport', 'aerodrome', 11, 1), (11, 'park', 'park', 12, 15), (12, 'attraction', 'zoo', 13, 10), (13, 'health', 'lab', 14, 20), (14, 'parking', 'parking', 14, 40)) v(k, class, subclass, zoom, rank))
+          select id, class, subclass, case when k = 5 and more then 9 else coalesce(zoom, -1) end as zoom, coalesce(rank, -1) as rank, case k when 0 then 'hospital' when 5 then 'aerodrome' when 7 then 'forest' when 11 then 'park' when 14 then case when not more then 'parking' end end as landuse,
+            case when not more then case k when 6 then 'lake' when 9 then 'dock' when 10 then 'basin' end end as water, case k when 8 then 'stream' end as waterway from t left join p using (k)""",
+        "boundaries": """with w as (select o_orderkey as way from orders where o_orderkey % 2 = 0), m as (select l_orderkey as way, min(r % 9 + 2) as level, bool_or(r % 7 = 0) as d, bool_or(r % 11 = 0) as mar from (select l_orderkey, l_suppkey % 40 as r from lineitem where l_linenumber < 3) where r < 30 group by 1),
+          j as (select way, coalesce(level, case when way % 5 <> 0 and way % 13 between 2 and 10 then way % 13 end) as level, way % 5 = 0 or coalesce(d, false) as disputed, way % 4 = 0 or coalesce(mar, false) as maritime from w left join m using (way))
+          select way, cast(level as int) as level, disputed, maritime, case when level <= 2 then 0 when level <= 4 then 4 when level <= 6 then 8 else 10 end as zoom from j where level is not null""",
         "tile_of_point": f"with p as (select -79.95e0 + (event_id % 20) * 0.001e0 + 0.0004e0 as lon, -2.2e0 + ((event_id // 20) % 10) * 0.001e0 + 0.00005e0 as lat from events), t as (select cast(floor((lon + 180) / 360 * 131072) as bigint) as x, cast(floor({merc(131072)}) as bigint) as y, count(*) as points from p group by 1, 2) select x, y, points, round(x / 131072 * 360 - 180, 6) as west, round(degrees(atan(sinh(pi() * (1 - 2 * y / 131072)))), 6) as north from t",
         "tile_parents": f"with p as (select -79.95e0 + (event_id % 20) * 0.001e0 + 0.0004e0 as lon, -2.2e0 + ((event_id // 20) % 10) * 0.001e0 + 0.00005e0 as lat from events), t as (select cast(floor((lon + 180) / 360 * 131072) as bigint) as x, cast(floor({merc(131072)}) as bigint) as y, count(*) as points from p group by 1, 2) select x // 4 as x, y // 4 as y, cast(sum(points) as bigint) as points, count(*) as children from t group by 1, 2",
         "tile_zoom_explode": f"""with r as (select p_partkey as road, {pick("['motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'street', 'footway', 'path']", 8)} as class, case when p_partkey % 3 > 0 then p_name end as name, case when p_partkey % 5 = 0 then 'E' || (p_partkey % 40) end as ref, case when p_partkey % 11 = 0 and p_partkey % 8 < 3 then 'overview' end as scope from part),
