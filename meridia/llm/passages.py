@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, staged
+from .common import WordHashes, bucketed, staged
 
 GRAM = 6
 SHARD = 1 << 21  # bytes of words in a shard, above which it is closed
@@ -94,41 +94,38 @@ def _packed(docs: DataFrame, n: int) -> DataFrame:
             yield shard()
 
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return staged(rows.mapInPandas(run, "shard long, ids array<long>, z binary, g array<long>, s array<long>, doc array<int>, lo array<int>, hi array<int>"))
+    return bucketed(rows.mapInPandas(run, "shard long, ids array<long>, z binary, g array<long>, s array<long>, doc array<int>, lo array<int>, hi array<int>"), "shard")
 
 
-class Automaton:
-    """Aho-Corasick over words: a word is a run of digits with an alphabet for each place, so that matches start at words."""
+class Words(dict):
+    """Code of each word of a shard: a run of digits with an alphabet for each place, so that matches start at words."""
+
+    DIGITS, WIDTH = 128, 3  # two million words, more than a shard can hold unless one text is larger than it
+
+    def __missing__(self, w: bytes) -> str:
+        i, out = len(self), []
+        for place in range(self.WIDTH):
+            i, digit = divmod(i, self.DIGITS)
+            out.append(chr(1 + place * self.DIGITS + digit + (i * self.DIGITS * self.WIDTH if place == self.WIDTH - 1 else 0)))
+        self[w] = code = "".join(out)
+        return code
 
-    DIGITS = 64
 
-    def __init__(self, phrases: set[tuple[bytes, ...]]) -> None:
+class Automaton:
+    """Aho-Corasick over texts whose words are coded by Words."""
+
+    def __init__(self, phrases: set[str]) -> None:
         import ahocorasick
 
-        words = sorted({w for p in phrases for w in p})
-        self.width = 1
-        while self.DIGITS**self.width <= len(words):
-            self.width += 1
-        self.codes = {w: self.code(i + 1) for i, w in enumerate(words)}
-        self.other = self.code(0)
         self.found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for p in phrases:
-            self.found.add_word("".join(map(self.codes.__getitem__, p)))
+            self.found.add_word(p)
         self.found.make_automaton()
 
-    def code(self, i: int) -> str:
-        out = []
-        for place in range(self.width):
-            i, digit = divmod(i, self.DIGITS)
-            out.append(chr(1 + place * self.DIGITS + digit))
-        return "".join(out)
-
-    def places(self, ws: list[bytes]) -> np.ndarray:
+    def places(self, coded: str) -> np.ndarray:
         """First word and the word after the last of every occurrence of every phrase."""
-        get, other = self.codes.get, self.other
-        hits = [(end + 1, size) for end, size in self.found.iter("".join([get(w, other) for w in ws]))]
-        ends = np.array(hits, np.int64).reshape(-1, 2) // self.width
-        return np.column_stack([ends[:, 0] - ends[:, 1], ends[:, 0]])
+        hits = np.array([(end + 1, size) for end, size in self.found.iter(coded)], np.int64).reshape(-1, 2) // Words.WIDTH
+        return np.column_stack([hits[:, 0] - hits[:, 1], hits[:, 0]])
 
 
 def removed(docs: DataFrame, n: int = 35) -> DataFrame:
@@ -185,12 +182,14 @@ def removed(docs: DataFrame, n: int = 35) -> DataFrame:
                     at = np.array(sorted((x["doc"], x["i"]) for x in e)).reshape(-1, 2)
                     new = np.flatnonzero(np.r_[True, (np.diff(at[:, 0]) != 0) | (np.diff(at[:, 1]) != 1)])
                     cuts += [(at[x, 0], at[x, 1], at[y - 1, 1] + n) for x, y in zip(new, np.r_[new[1:], len(at)])]
-                passages = Automaton({tuple(lines[d][x:y]) for d, x, y in cuts}) if cuts else None
+                code = Words()
+                coded = [[code[w] for w in x] if cuts and len(x) >= n else None for x in lines]
+                passages = Automaton({"".join(coded[d][x:y]) for d, x, y in cuts}) if cuts else None
                 out = []
-                for w in lines:
+                for w, c in zip(lines, coded):
                     keep = np.ones(len(w), bool)
-                    if passages and len(w) >= n:
-                        found, size = passages.places(w), len(w) + 1
+                    if c is not None:
+                        found, size = passages.places("".join(c)), len(w) + 1
                         keep = np.cumsum(np.bincount(found[:, 0], minlength=size) - np.bincount(found[:, 1], minlength=size))[:-1] == 0
                     kept = b" ".join(compress(w, keep))
                     out.append((len(w), len(w) - int(keep.sum()), hashlib.sha256(kept).hexdigest()))

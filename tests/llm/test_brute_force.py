@@ -208,8 +208,13 @@ def test_passages_in_shards(spark, monkeypatch):
 
 
 def test_automaton_finds_phrases_at_words_only():
-    a = passages.Automaton({(b"a", b"b"), (b"b", b"c", b"a")})
-    assert sorted(map(tuple, a.places([b"a", b"b", b"c", b"a", b"b", b"x", b"ab"]).tolist())) == [(0, 2), (1, 4), (3, 5)]
+    code = passages.Words()
+    of = lambda *ws: "".join(code[w] for w in ws)
+    a = passages.Automaton({of("a", "b"), of("b", "c", "a")})
+    assert sorted(map(tuple, a.places(of("a", "b", "c", "a", "b", "x", "ab")).tolist())) == [(0, 2), (1, 4), (3, 5)]
+    for i in range(300_000):
+        code[i]
+    assert len(set(code.values())) == len(code) and {len(c) for c in code.values()} == {3}
 
 
 def page(host, i, body):
