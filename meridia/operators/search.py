@@ -131,7 +131,8 @@ def reverse(points: DataFrame, entries: DataFrame, edges: DataFrame, key: str) -
     """key, kind, name, road: a point of interest within 25 m, else a named street within 60 m, else a place within 3 km, else nothing."""
     poi = spatial.nearest_points(points, entries.filter("kind = 'poi'"), key, "entry", 25.0).select(key, F.col("entry").alias("poi"))
     road = spatial.nearest_edges(points.select(key, "lon", "lat"), edges.filter("name is not null and cls <> 11"), key, 60.0).join(edges.select("edge", F.col("name").alias("road")), "edge").select(key, "road")
-    place = spatial.nearest_points(points, entries.filter("kind = 'place'"), key, "entry", 3000.0).select(key, F.col("entry").alias("place"))
+    rest = points.join(poi.select(key), key, "left_anti").join(road.select(key), key, "left_anti")
+    place = spatial.nearest_points(rest, entries.filter("kind = 'place'"), key, "entry", 3000.0).select(key, F.col("entry").alias("place"))
     got = points.select(key).join(poi, key, "left").join(road, key, "left").join(place, key, "left")
     neither = F.col("poi").isNull() & F.col("road").isNull()
     pick = F.coalesce("poi", F.when(neither, F.col("place")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE_M, haversine, in_polygon, locate, lon_gap, on_ring, ring_area, segment_metres, sides, square_metres
+from ..sources.staging import cut
 
 CELL = 1e-3
 BOX = ("west", "south", "east", "north")
@@ -96,16 +97,26 @@ def first_area(points: DataFrame, areas: DataFrame, key: str) -> DataFrame:
     return hit.groupBy(key).agg(F.min("area").alias("area"))
 
 
-def nearest_points(points: DataFrame, others: DataFrame, key: str, other: str, metres: float) -> DataFrame:
-    """Each point with the nearest of others within `metres`; ties go to the least key."""
-    pad = metres * 1.001 / DEGREE_M
-    side = F.lit(pad) / F.cos(F.radians(F.least(F.abs("olat") + pad, F.lit(89.9))))
-    o = others.select(F.col(other), F.col("lon").alias("olon"), F.col("lat").alias("olat"))
-    o = o.withColumns({"west": F.col("olon") - side, "south": F.col("olat") - pad, "east": F.col("olon") + side, "north": F.col("olat") + pad})
-    kx = F.cos(F.radians("lat"))
-    d = F.round(F.sqrt(F.pow((F.col("olon") - F.col("lon")) * kx, 2) + F.pow(F.col("olat") - F.col("lat"), 2)) * DEGREE_M, 3)
-    near = cell_join(points.select(key, "lon", "lat"), o).withColumn("metres", d).filter(F.col("metres") <= metres)
-    return near.groupBy(key).agg(F.min(F.struct("metres", other)).alias("m")).select(key, f"m.{other}", "m.metres")
+def nearest_points(points: DataFrame, others: DataFrame, key: str, other: str, metres: float, shares: tuple[float, ...] = (1 / 64, 1 / 8, 1)) -> DataFrame:
+    """Each point with the nearest of others within `metres`; ties go to the least key.
+
+    Others at one position count as their least. The radius widens by shares, and a point that has found one leaves,
+    so that in dense places no point meets all others of the full radius.
+    """
+    o = others.groupBy(F.col("lon").alias("olon"), F.col("lat").alias("olat")).agg(F.min(other).alias(other)).filter("olon is not null and olat is not null")
+    left, found = points.select(key, "lon", "lat"), None
+    for share in shares:
+        r = metres * share
+        pad = r * 1.001 / DEGREE_M
+        side = F.lit(pad) / F.cos(F.radians(F.least(F.abs("olat") + pad, F.lit(89.9))))
+        boxes = o.withColumns({"west": F.col("olon") - side, "south": F.col("olat") - pad, "east": F.col("olon") + side, "north": F.col("olat") + pad})
+        kx = F.cos(F.radians("lat"))
+        d = F.round(F.sqrt(F.pow((F.col("olon") - F.col("lon")) * kx, 2) + F.pow(F.col("olat") - F.col("lat"), 2)) * DEGREE_M, 3)
+        near = cell_join(left, boxes).withColumn("metres", d).filter(F.col("metres") <= r)
+        got = cut(near.groupBy(key).agg(F.min(F.struct("metres", other)).alias("m")).select(key, f"m.{other}", "m.metres"))
+        found = got if found is None else found.unionByName(got)
+        left = left.join(got.select(key), key, "left_anti")
+    return found
 
 
 def within(df: DataFrame, lon: float, lat: float, metres: float) -> DataFrame:
