@@ -183,6 +183,10 @@ def oracle_sql():
         "shortest_path_costs": f"with recursive {e}, d as (select u as node, count(*) as degree from (select u from e union all select v from e) group by u), k as (select u, v, cast(round({length} / ({kph} / 3.6) * 1000) as bigint) as ms, flags & 1 > 0 as state from e where {kph} > 0), b as (select u, v, ms + case when not state and dv.degree >= 3 then 3000 else 0 end as ms from (select u, v, ms, state from k union all select v, u, ms, state from k) q join d dv on dv.node = q.v), r using key (source, node) as (select s as source, s as node, cast(0 as bigint) as ms from (values (0), (105), (201)) t(s) union select source, v, min(c) as ms from (select r.source, b.v, r.ms + b.ms as c, old.ms as had from r join b on r.node = b.u left join recurring.r old on old.source = r.source and old.node = b.v) where had is null or c < had group by all) select cast(source as bigint) as source, cast(node as bigint) as node, ms from r",
         "street_intersections": f"with {e}, k as (select distinct u as node, name from e union select distinct v, name from e) select a.name as first, b.name as second, a.node from k a join k b on a.node = b.node and a.name < b.name",
         "noding": f"with v as ({VERTEX_SQL}), g as (select line, x, y, row_number() over (partition by line order by x + y) as i, count(*) over (partition by line) as n from v), c as (select x, y from g group by all having bool_or(i > 1 and i < n) and (bool_or(i = 1 or i = n) or count(distinct case when i > 1 and i < n then line end) > 1)), s as (select g.*, lead(x) over w as nx, lead(y) over w as ny, coalesce(sum(case when c.x is not null and i > 1 and i < n then 1 else 0 end) over (partition by line order by i), 0) as part from g left join c using (x, y) window w as (partition by line order by i)) select line, cast(part as int) as part, round(sum({great_circle('(-79.95e0 + x * 1e-3)', '(-2.2e0 + y * 1e-3)', '(-79.95e0 + nx * 1e-3)', '(-2.2e0 + ny * 1e-3)')}), 3) as metres from s where nx is not null group by line, part",
+        "turns": f"""with {e}, k as (select edge, u, v, shape[1].lon as x1, shape[1].lat as y1, shape[2].lon as x2, shape[2].lat as y2 from e where edge % 3 <> 0),
+          g as (select *, degrees(atan2((x2 - x1) * cos(radians((y1 + y2) / 2)), y2 - y1)) as b from k), w as (select edge, v as node, b from g union all select edge, u, b + 180 from g),
+          t as (select p.node, p.edge as out_of, q.edge as "into", q.b + 180 - p.b + 720 as raw from w p join w q on p.node = q.node and p.edge <> q.edge), a as (select *, case when raw % 360 > 180 then raw % 360 - 360 else raw % 360 end as d from t)
+          select node, out_of, "into", case when round(abs(d), 3) < 20 then 'CONTINUE' when round(abs(d), 3) >= 170 then 'UTURN' else case when round(abs(d), 3) < 45 then 'SLIGHT_' when round(abs(d), 3) < 135 then 'TURN_' else 'SHARP_' end || case when d > 0 then 'RIGHT' else 'LEFT' end end as kind from a""",
         "dead_ends": "select line, cast(-79931000 as varchar) || ':' || cast(-2200000 + line * 1000 as bigint) as key from range(10) t(line) union all select line, cast(-79950000 + (line * 1000 - 14500) as bigint) || ':' || cast(-2196500 as varchar) from range(20, 25) t(line)",
         "snap_pairs": f"with {e}, {seg}, q as (select i as request, -79.9503e0 + i * 1.1e-3 as px, -2.1985e0 as py, -79.9317e0 - i * 0.9e-3 as qx, -2.1928e0 as qy from range(20) t(i)), d as (select request, round(min({to_segment('px', 'py', 'x1', 'y1', 'x2', 'y2')}), 3) as a, round(min({to_segment('qx', 'qy', 'x1', 'y1', 'x2', 'y2')}), 3) as b from q, s where cls < 8 group by request) select request, round(a + b, 3) as metres from d where a <= 90 and b <= 90",
         "line_length": f"with {e} select edge, round({length}, 3) as metres from e",
