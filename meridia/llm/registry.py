@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, licenses, mixing, pages, passages, quality, secrets, tokens, toxicity
+from . import decontam, jaccard, licenses, mixing, pages, passages, periods, quality, secrets, tokens, toxicity
 from .common import table
 
 
@@ -21,6 +21,7 @@ def queries():
         "op8_licenses": lambda s, d: licenses.license_table(docs(s, d)),
         "op10_pages": lambda s, d: pages.page_table(table(s, d, "pages")),
         "op9_token_ids": lambda s, d: tokens.token_table(docs(s, d)),
+        "op11_periodic_runs": lambda s, d: periods.run_table(docs(s, d)),
         "pipeline": corpus_pipeline.run,
     }
 
