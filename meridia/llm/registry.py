@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, licenses, mixing, pages, passages, periods, quality, secrets, tokens, toxicity
+from . import codes, decontam, jaccard, licenses, mixing, pages, passages, periods, pivots, quality, secrets, tokens, toxicity
 from .common import table
 
 
@@ -22,6 +22,8 @@ def queries():
         "op10_pages": lambda s, d: pages.page_table(table(s, d, "pages")),
         "op9_token_ids": lambda s, d: tokens.token_table(docs(s, d)),
         "op11_periodic_runs": lambda s, d: periods.run_table(docs(s, d)),
+        "op12_pivot_index": lambda s, d: pivots.near_copies(table(s, d, "embeddings")),
+        "op13_vector_codes": lambda s, d: codes.code_table(table(s, d, "embeddings")),
         "pipeline": corpus_pipeline.run,
     }
 
