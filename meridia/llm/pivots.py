@@ -17,7 +17,7 @@ from .jaccard import components
 SAMPLE = 4096  # vectors that pivots are chosen from
 PIVOTS = 512  # reference points at most
 NEAR = 5  # nearest pivots that describe a vector
-APART = 0.7  # pivots are less alike than this: among many near copies one pivot stands, so their order is stable
+APART = (0.7, 0.8, 0.9, 0.95)  # pivots are less alike than the first that gives enough of them: among many near copies one pivot stands, so their order is stable
 BLOCK = 2048  # members of a list that meet in one task; a longer list is cut into blocks, each pair of blocks on its own
 BITS = 64  # random planes of the sketch that screens the members of a list
 PAIRS = 1 << 20  # pairs that are looked at together
@@ -42,20 +42,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def pivots_of(classes: DataFrame, most: int) -> np.ndarray:
-    """Up to `most` unit vectors out of SAMPLE ones taken by hash, each less alike than APART to those before it."""
+    """Up to `most` unit vectors out of SAMPLE ones taken by hash, each less alike than APART says to those before it."""
     got = classes.select("h1", "h2", "vec").orderBy(F.xxhash64("h1"), "h2").limit(SAMPLE).select("vec").toArrow()
     if not got.num_rows:
         return np.zeros((0, 1))
     x = _unit(_rows(got.column("vec")))
     chosen: list[int] = []
-    for i in range(len(x)):
-        if len(chosen) < most and (not chosen or (x[chosen] @ x[i]).max() < APART):
-            chosen.append(i)
+    like = np.full(len(x), -1.0)  # to the pivot most alike so far
+    for apart in APART:
+        for i in range(len(x)):
+            if len(chosen) < most and like[i] < apart:
+                chosen.append(i)
+                like = np.maximum(like, x @ x[i])
     return x[chosen]
 
 
 def described(classes: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
-    """cid, label, size, n, the numbers of the nearest pivots in ascending order, and a sketch of signs, of each class."""
+    """cid, label, size, the numbers of the nearest pivots in ascending order, and a sketch of signs, of each class.
+
+    Where there are fewer pivots than `near`, numbers that all classes share stand for the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -66,7 +72,7 @@ def described(classes: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
                 planes[d] = np.random.default_rng(BITS).standard_normal((d, BITS))
             far = -(x[:, : pivots.shape[1]] @ pivots.T)
             order = np.argsort(far, axis=1, kind="stable")[:, :k]
-            order = np.sort(np.pad(order, ((0, 0), (0, near - k)), constant_values=-1), axis=1)
+            order = np.sort(np.hstack([order, np.tile(np.arange(k, near) - k + len(pivots), (len(order), 1))]), axis=1)
             sketch = np.packbits(x @ planes[d] > 0, axis=1).reshape(-1).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("label"), b.column("size"), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32())), pa.array(sketch)], ["cid", "label", "size", "near", "sketch"])
 
@@ -115,7 +121,6 @@ def _candidates(t: pa.Table, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray
     key, bp, blk, size, label, sketch, a, b = (col(c) for c in ("list", "bp", "blk", "size", "label", "sketch", "a", "b"))
     near = np.asarray(t.column("near").combine_chunks().flatten()).reshape(t.num_rows, -1)
     rest = np.where((near < b[:, None]) & (near != a[:, None]), near, -1 - np.arange(near.shape[1]))  # pivots that would come before
-    rest[near < 0] = -100
     n = t.num_rows
     new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bp[1:] != bp[:-1])]))
     last = np.repeat(np.append(new[1:], n), np.diff(np.append(new, n)))
@@ -129,7 +134,7 @@ def _candidates(t: pa.Table, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray
         i = np.repeat(np.arange(at, upto), times[at:upto])
         j = np.arange(len(i)) - np.repeat(total[at:upto] - total[at], times[at:upto]) + i + 1
         at = upto
-        ok = np.bitwise_count(sketch[i] ^ sketch[j]) <= bits
+        ok = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)) <= bits  # of a signed number it would count the magnitude
         i, j = i[ok], j[ok]
         ok = (size[i] == size[j]) & (label[i] == label[j]) & (a[i] == a[j]) & (b[i] == b[j]) & (~mixed[i] | (blk[i] != blk[j]))
         for x in range(near.shape[1]):
