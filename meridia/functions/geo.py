@@ -125,11 +125,18 @@ def square_metres(area: Column, lat: Column) -> Column:
     return F.abs(area) * DEGREE_M * DEGREE_M * F.cos(F.radians(lat))
 
 
+def segment_part(lon: Column, lat: Column, lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """How far along a segment the place nearest to a point is, 0 to 1, in the plane at the point's latitude; 0 on a segment without length."""
+    kx = F.cos(F.radians(lat)) * DEGREE_M
+    px, py, dx, dy = (lon - lon1) * kx, (lat - lat1) * DEGREE_M, (lon2 - lon1) * kx, (lat2 - lat1) * DEGREE_M
+    return F.coalesce(F.least(F.greatest((px * dx + py * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+
+
 def segment_metres(lon: Column, lat: Column, lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Distance of a point to a segment in the plane at the point's latitude; a segment without length is a point."""
     kx = F.cos(F.radians(lat)) * DEGREE_M
     px, py, dx, dy = (lon - lon1) * kx, (lat - lat1) * DEGREE_M, (lon2 - lon1) * kx, (lat2 - lat1) * DEGREE_M
-    t = F.coalesce(F.least(F.greatest((px * dx + py * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    t = segment_part(lon, lat, lon1, lat1, lon2, lat2)
     return F.sqrt(F.pow(px - t * dx, 2) + F.pow(py - t * dy, 2))
 
 

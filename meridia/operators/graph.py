@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import line_length
-from ..sources.staging import cut
+from ..sources.staging import cut, forgotten
 from ..sources.tables import CONNECTOR, MOTOR_CLASS, STATE
+from . import paths as paths_
 from . import spatial
 from .traffic import JUNCTION_S, MOTORS, free_flow
 
+# fixed values: what an accepted way's edges are dearer by, the slowest and the most alike that another way may be
+DEARER, SLOWEST, SHARED = 1.6, 1.45, 0.7
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.withColumns({"u": F.col("v"), "v": F.col("u")}))
@@ -33,17 +35,21 @@ def stars(links: DataFrame) -> DataFrame:
     the log of the diameter, and joins are on nodes with one row on one side, never on a component's label.
     """
     e = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    seen = None
     while True:
+        # a round that changes nothing leaves the same edges: their number and a sum of their hashes tell
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if now == seen:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        seen = now
         b = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = b.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = cut(b.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         j = large.join(low, "u")
         small = cut(j.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        done = small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty()
+        forgotten(e, large)
         e = small
-        if done:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,76 +61,60 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return got.join(sizes, "component").select("node", "component", F.when(F.col("component") >= 0, F.col("size")).otherwise(F.lit(0)).alias("size"))
 
 
-def edge_seconds(edges: DataFrame, profile: str) -> DataFrame:
-    """u, v, seconds and state of each edge that a profile may use, both ways; whole milliseconds, so that sums are exact."""
+def priced(edges: DataFrame, profile: str) -> DataFrame:
+    """u, v, edge, ms, metres and blocks of each step a profile may take, both ways, junction delays included.
+
+    A delay counts where an edge arrives at a junction of three or more roads and is not of the state. Whole
+    milliseconds, so that sums are exact; one at least.
+    """
     kph = free_flow(profile, F.col("cls"), F.col("flags"))
-    e = edges.withColumn("kph", kph).filter("kph > 0")
-    ms = F.round(line_length(F.col("shape")) / (F.col("kph") / 3.6) * 1000).cast("long")
-    return both_ways(e.select("u", "v", ms.alias("ms"), (F.col("flags").bitwiseAND(STATE) > 0).alias("state")))
+    first, last = F.element_at("shape", 1), F.element_at("shape", -1)
+    e = edges.withColumn("kph", kph).filter("kph > 0").withColumns({
+        "metres": F.round(line_length(F.col("shape")), 3), "long": line_length(F.col("shape")), "state": F.col("flags").bitwiseAND(STATE) > 0,
+        "ublock": paths_.block_of(first["lon"], first["lat"]), "vblock": paths_.block_of(last["lon"], last["lat"])})
+    e = e.withColumn("ms", F.greatest(F.round(F.col("long") / (F.col("kph") / 3.6) * 1000).cast("long"), F.lit(1)))
+    e = e.select("u", "v", "edge", "metres", "ms", "state", "ublock", "vblock")
+    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "edge", "metres", "ms", "state", F.col("vblock").alias("ublock"), F.col("ublock").alias("vblock")))
+    e = e.join(node_degree(edges).withColumnRenamed("node", "v"), "v")
+    delay = F.when(~F.col("state") & (F.col("degree") >= 3), JUNCTION_S[profile] * 1000).otherwise(0)
+    return e.select("u", "v", "edge", "metres", (F.col("ms") + delay).alias("ms"), "ublock", "vblock")
+
+
+def node_blocks(steps: DataFrame) -> DataFrame:
+    return steps.groupBy(F.col("u").alias("node")).agg(F.min("ublock").alias("block"))
 
 
 def travel_times(edges: DataFrame, starts: DataFrame, profile: str, most_ms: int | None = None) -> DataFrame:
     """source, node, ms: the least time from each start to each node it reaches, junction delays included.
 
-    A delay counts where an edge arrives at a junction of three or more roads and is not of the state. All starts
-    are relaxed together: a round joins the nodes that became cheaper with their edges and keeps the least per
-    start and node, so rounds grow with the hops of the farthest path, whatever the number of starts. A bound in
-    ms keeps the reach local.
+    All starts are searched together, block by block; see paths.searched. A bound in ms keeps the reach local.
     """
-    degree = node_degree(edges).withColumnRenamed("node", "v")
-    e = edge_seconds(edges, profile).join(degree, "v")
-    delay = F.when(~F.col("state") & (F.col("degree") >= 3), JUNCTION_S[profile] * 1000).otherwise(0)
-    e = cut(e.groupBy("u", "v").agg(F.min(F.col("ms") + delay).alias("step")))
-    best = cut(starts.select(F.col("node").alias("source"), F.col("node")).distinct().withColumn("ms", F.lit(0).cast("long")))
-    front = best
-    while not front.isEmpty():
-        step = front.withColumnRenamed("node", "u").join(e, "u").select("source", F.col("v").alias("node"), (F.col("ms") + F.col("step")).alias("ms"))
-        step = step if most_ms is None else step.filter(F.col("ms") <= most_ms)
-        step = step.groupBy("source", "node").agg(F.min("ms").alias("ms"))
-        front = cut(step.join(best.withColumnRenamed("ms", "had"), ["source", "node"], "left").filter("had is null or ms < had").select("source", "node", "ms"))
-        best = cut(reduce(DataFrame.unionByName, [best, front]).groupBy("source", "node").agg(F.min("ms").alias("ms")))
-    return best
-
-
-def priced(edges: DataFrame, profile: str) -> DataFrame:
-    """u, v, edge, ms and metres of each step a profile may take, junction delays included."""
-    kph = free_flow(profile, F.col("cls"), F.col("flags"))
-    e = edges.withColumn("kph", kph).filter("kph > 0").withColumn("metres", F.round(line_length(F.col("shape")), 3))
-    e = both_ways(e.select("u", "v", "edge", "metres", F.round(F.col("metres") / (F.col("kph") / 3.6) * 1000).cast("long").alias("ms"), (F.col("flags").bitwiseAND(STATE) > 0).alias("state")))
-    e = e.join(node_degree(edges).withColumnRenamed("node", "v"), "v")
-    delay = F.when(~F.col("state") & (F.col("degree") >= 3), JUNCTION_S[profile] * 1000).otherwise(0)
-    return e.select("u", "v", "edge", "metres", (F.col("ms") + delay).alias("ms"))
+    steps = cut(priced(edges, profile))
+    asked = starts.select("node").distinct()
+    seeds = asked.join(node_blocks(steps), "node").select(F.col("node").alias("request"), "node", "block", F.lit(0).cast("long").alias("price"), F.lit(-1).cast("long").alias("edge"), F.lit(most_ms).cast("long").alias("most"))
+    state = paths_.searched(paths_.packed(steps.withColumnRenamed("ms", "price")), seeds)
+    got = paths_.labels(state).select(F.col("request").alias("source"), "node", F.col("price").alias("ms"))
+    alone = asked.join(node_blocks(steps), "node", "left_anti").select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("ms"))
+    return got.unionByName(alone)
 
 
-def paths(steps: DataFrame, requests: DataFrame, dearer: DataFrame | None = None) -> DataFrame:
+def paths(steps: DataFrame, requests: DataFrame, dearer: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """request, pos, edge, node, ms, metres: the cheapest path of each request (request, start, goal), by steps from goal back to start.
 
-    All requests are relaxed together as in travel_times, each with its own prices where dearer (request, edge,
-    factor) has some; a node keeps the step it is reached by. What cannot beat the best way to the goal so far is
-    not followed. Ties go to the least node before. A request without a path has no rows.
+    All requests are searched together, block by block, each with its own prices where dearer (request, edge, factor)
+    has some; what cannot beat the best way to the goal so far is not followed. Ties go to the least node before.
+    A request without a path, or whose start is its goal, has no rows.
     """
-    first = requests.select("request", F.col("start").alias("node"), F.lit(0).cast("long").alias("price"), F.lit(-1).cast("long").alias("back"), F.lit(-1).cast("long").alias("edge"))
-    best = front = cut(first)
-    while not front.isEmpty():
-        s = front.select("request", F.col("node").alias("u"), F.col("price").alias("had")).join(steps, "u")
-        if dearer is not None:
-            s = s.join(dearer, ["request", "edge"], "left").withColumn("ms", F.round(F.col("ms") * F.coalesce("factor", F.lit(1.0))).cast("long"))
-        s = s.select("request", F.col("v").alias("node"), (F.col("had") + F.col("ms")).alias("price"), F.col("u").alias("back"), "edge")
-        s = s.groupBy("request", "node").agg(F.min(F.struct("price", "back", "edge")).alias("m")).select("request", "node", "m.*")
-        goal = best.join(requests.select("request", F.col("goal").alias("node")), ["request", "node"]).select("request", F.col("price").alias("most"))
-        s = s.join(best.select("request", "node", F.col("price").alias("old")), ["request", "node"], "left").join(goal, "request", "left")
-        front = cut(s.filter("(old is null or price < old) and (most is null or price < most)").select("request", "node", "price", "back", "edge"))
-        best = cut(best.unionByName(front).groupBy("request", "node").agg(F.min(F.struct("price", "back", "edge")).alias("m")).select("request", "node", "m.*"))
+    at = node_blocks(steps)
+    r = requests.join(at.toDF("start", "block"), "start").join(at.toDF("goal", "gblock"), "goal").withColumn("most", F.lit(None).cast("long"))
+    r = cut(r.select("request", "start", "goal", "block", "gblock", "most"))
+    seeds = r.select("request", F.col("start").alias("node"), "block", F.lit(0).cast("long").alias("price"), F.lit(-1).cast("long").alias("edge"), "most")
+    blocks = paths_.packed(steps.withColumnRenamed("ms", "price")) if blocks is None else blocks
+    state = paths_.searched(blocks, seeds, r.select("request", F.col("goal").alias("node"), F.lit(0).cast("long").alias("tail")), dearer)
+    ends = paths_.labels(state).join(r.select("request", F.col("goal").alias("node"), F.col("gblock").alias("block")), ["request", "node", "block"]).select("request", "node", "block")
+    walk, _ = paths_.traced(state, ends)
     own = steps.select(F.col("u").alias("back"), F.col("v").alias("node"), "edge", "ms", "metres")
-    at = cut(best.join(requests.select("request", F.col("goal").alias("node")), ["request", "node"]))
-    rows, pos = None, 0
-    while not at.isEmpty():
-        step = at.filter("edge >= 0").join(own, ["back", "node", "edge"]).select("request", F.lit(pos).alias("pos"), "edge", "node", "ms", "metres", "back")
-        step = cut(step)
-        rows = step.drop("back") if rows is None else rows.unionByName(step.drop("back"))
-        at = cut(step.select("request", F.col("back").alias("node")).join(best, ["request", "node"]).filter("edge >= 0"))
-        pos += 1
-    return rows
+    return walk.join(own, ["back", "node", "edge"]).select("request", "pos", "edge", "node", "ms", "metres")
 
 
 def routes(edges: DataFrame, requests: DataFrame, profile: str, alternatives: int = 0) -> DataFrame:
@@ -135,21 +125,19 @@ def routes(edges: DataFrame, requests: DataFrame, profile: str, alternatives: in
     passed over. Requests are searched together, attempt by attempt.
     """
     steps = cut(priced(edges, profile))
-    quickest = cut(paths(steps, requests).withColumn("rank", F.lit(0)))
+    blocks = paths_.packed(steps.withColumnRenamed("ms", "price"))
+    quickest = cut(paths(steps, requests, None, blocks).withColumn("rank", F.lit(0)))
     base = quickest.groupBy("request").agg(F.sum("ms").alias("base"))
     accepted, dearer, open_ = quickest, None, requests
     for _ in range(alternatives + 2 if alternatives else 0):
         once = accepted.groupBy("request", "edge").agg(F.count("*").alias("n"))
-        factor = F.pow(F.lit(1.6), F.col("n"))
+        factor = F.pow(F.lit(DEARER), F.col("n"))
         dearer = cut(once.select("request", "edge", factor.alias("factor")) if dearer is None else dearer.join(once, ["request", "edge"], "full").select("request", "edge", (F.coalesce("factor", F.lit(1.0)) * F.coalesce(factor, F.lit(1.0))).alias("factor")))
-        found = paths(steps, open_, dearer)
-        if found is None:
-            break
-        found = cut(found)
-        whole = found.groupBy("request").agg(F.sum("ms").alias("ms"), F.sum("metres").alias("all")).join(base, "request").filter("ms <= 1.45 * base")
+        found = cut(paths(steps, open_, dearer, blocks))
+        whole = found.groupBy("request").agg(F.sum("ms").alias("ms"), F.sum("metres").alias("all")).join(base, "request").filter(F.col("ms") <= SLOWEST * F.col("base"))
         shared = found.join(accepted.select("request", "edge", F.col("rank").alias("of")).distinct(), ["request", "edge"]).groupBy("request", "of").agg(F.sum("metres").alias("m"))
         shared = shared.groupBy("request").agg(F.max("m").alias("m"))
-        fresh = whole.join(shared, "request", "left").filter(F.coalesce("m", F.lit(0.0)) <= 0.7 * F.col("all"))
+        fresh = whole.join(shared, "request", "left").filter(F.coalesce("m", F.lit(0.0)) <= SHARED * F.col("all"))
         rank = accepted.groupBy("request").agg((F.max("rank") + 1).alias("rank"))
         accepted = cut(accepted.unionByName(found.join(fresh.select("request"), "request").join(rank, "request").select(*accepted.columns)))
         full = accepted.groupBy("request").agg(F.max("rank").alias("r")).filter(F.col("r") >= alternatives).select("request")

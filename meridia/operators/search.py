@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE_M
 from ..functions.text import SOFT_WORDS, fold, fold_world, meaningful, tokens, variants
+from ..sources.staging import cut
 from . import spatial
 
 # fixed values: bonus of a place or division named exactly as asked, and the types that proximity hardly moves
@@ -128,14 +129,19 @@ def world_search(places: DataFrame, queries: DataFrame, most: int = 10) -> DataF
 
 
 def reverse(points: DataFrame, entries: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """key, kind, name, road: a point of interest within 25 m, else a named street within 60 m, else a place within 3 km, else nothing."""
-    poi = spatial.nearest_points(points, entries.filter("kind = 'poi'"), key, "entry", 25.0).select(key, F.col("entry").alias("poi"))
-    road = spatial.nearest_edges(points.select(key, "lon", "lat"), edges.filter("name is not null and cls <> 11"), key, 60.0).join(edges.select("edge", F.col("name").alias("road")), "edge").select(key, "road")
-    rest = points.join(poi.select(key), key, "left_anti").join(road.select(key), key, "left_anti")
+    """key, kind, name, road: a point of interest within 25 m, else a named street within 60 m, else a place within 3 km, else nothing.
+
+    Each position is looked up once, however many rows stand there.
+    """
+    spots = cut(points.filter("lon is not null and lat is not null").groupBy("lon", "lat").agg(F.min(key).alias(key)))
+    poi = spatial.nearest_points(spots, entries.filter("kind = 'poi'"), key, "entry", 25.0).select(key, F.col("entry").alias("poi"))
+    road = cut(spatial.nearest_edges(spots.select(key, "lon", "lat"), edges.filter("name is not null and cls <> 11"), key, 60.0).join(edges.select("edge", F.col("name").alias("road")), "edge").select(key, "road"))
+    rest = spots.join(poi.select(key), key, "left_anti").join(road.select(key), key, "left_anti")
     place = spatial.nearest_points(rest, entries.filter("kind = 'place'"), key, "entry", 3000.0).select(key, F.col("entry").alias("place"))
-    got = points.select(key).join(poi, key, "left").join(road, key, "left").join(place, key, "left")
+    got = spots.join(poi, key, "left").join(road, key, "left").join(place, key, "left")
     neither = F.col("poi").isNull() & F.col("road").isNull()
     pick = F.coalesce("poi", F.when(neither, F.col("place")))
     got = got.withColumn("entry", pick).join(entries.select("entry", "name"), "entry", "left")
     kind = F.when(F.col("poi").isNotNull(), "poi").when(F.col("road").isNotNull(), "street").when(F.col("place").isNotNull(), "place")
-    return got.select(key, kind.alias("kind"), F.coalesce("name", "road").alias("name"), "road")
+    named = got.select("lon", "lat", kind.alias("kind"), F.coalesce("name", "road").alias("name"), "road")
+    return points.select(key, "lon", "lat").join(named, ["lon", "lat"], "left").select(key, "kind", "name", "road")

@@ -38,15 +38,20 @@ def cell_join(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return probed(points, f).join(f, ["level", "cx", "cy"]).filter(F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))).drop("level", "cx", "cy")
 
 
-def segments(edges: DataFrame, metres: float) -> DataFrame:
-    """edge and its segments, with boxes widened by a distance; a degree of longitude is as short as at the box's far side."""
-    s = edges.select("edge", F.explode(sides(F.col("shape"))).alias("s")).select("edge", F.col("s.a.lon").alias("x1"), F.col("s.a.lat").alias("y1"), F.col("s.b.lon").alias("x2"), F.col("s.b.lat").alias("y2"))
+def padded(s: DataFrame, metres: float) -> DataFrame:
+    """Segments x1, y1, x2, y2 with boxes widened by a distance; a degree of longitude is as short as at the box's far side."""
     pad = metres * 1.001 / DEGREE_M
     far = F.least(F.greatest(F.abs("y1"), F.abs("y2")) + pad, F.lit(89.9))
     side = F.lit(pad) / F.cos(F.radians(far))
     return s.withColumns({"west": F.least("x1", "x2") - side, "south": F.least("y1", "y2") - pad, "east": F.greatest("x1", "x2") + side, "north": F.greatest("y1", "y2") + pad})
 
 
+def segments(edges: DataFrame, metres: float) -> DataFrame:
+    """edge and its segments, with padded boxes."""
+    s = edges.select("edge", F.explode(sides(F.col("shape"))).alias("s")).select("edge", F.col("s.a.lon").alias("x1"), F.col("s.a.lat").alias("y1"), F.col("s.b.lon").alias("x2"), F.col("s.b.lat").alias("y2"))
+    return padded(s, metres)
+
+
 def nearest_edges(points: DataFrame, edges: DataFrame, key: str, metres: float = 25.0, most: int = 1) -> DataFrame:
     """Columns of points with edge, metres, fraction along the edge and position: the `most` nearest edges of each point within `metres`.
 

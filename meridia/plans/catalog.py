@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import holdings, movement, network, relational
+from . import holdings, mending, movement, network, relational
 
-PARTS = (movement, holdings, network, relational)
+PARTS = (movement, holdings, network, mending, relational)
 
 
 def queries():

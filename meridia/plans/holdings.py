@@ -54,7 +54,7 @@ def queries():
         "places_text": lambda s, d: found(s, d, text="m_1", most=40, offset=5).select("place_id", "name", "category", "address", "favourite", "alias"),
         "places_favourites": lambda s, d: found(s, d, favourites_only=True, most=100000).select("place_id", "category", "alias"),
         "geofence_check": lambda s, d: spatial.inside_fences(tracks.latest_fix(trip_points(s, d)), geofences(s, d), "trip_id"),
-        "region_locate": lambda s, d: places.located_regions(trip_points(s, d).filter("event_id % 20 < 12"), regions(s, d), "event_id"),
+        "region_locate": lambda s, d: places.located_regions(trip_points(s, d), regions(s, d), "event_id"),
         "regions_outermost": lambda s, d: places.outermost(regions(s, d).unionByName(regions(s, d).filter("code = 'r0'").withColumns({"code": F.lit("z"), "west": F.col("west") + 10, "east": F.col("east") + 10}))).select("code"),
         "version_updates": lambda s, d: places.version_updates(regions(s, d), held_versions(s, d)),
         "region_registry": lambda s, d: places.registered(regions(s, d).select("code", F.lit("old").alias("checksum")), manifests(s, d)),
@@ -95,7 +95,7 @@ def oracle_sql():
         "places_text": f"with {pl} select place_id, name, category, address, favourite, alias from v where contains(lower(name), 'm_1') or contains(lower(coalesce(address, '')), 'm_1') or contains(lower(category), 'm_1') order by created_at desc, place_id limit 40 offset 5",
         "places_favourites": f"with {pl} select place_id, category, alias from v where favourite",
         "geofence_check": f"with p as ({POINTS_SQL}), l as (select * from p qualify row_number() over (partition by trip_id order by recorded_at desc, event_id desc) = 1), f as ({FENCES_SQL}) select trip_id, fence, round(coalesce(pi() * radius * radius, (pow(2 * half, 2) - pow(half / 2, 2)) * {DEG} * {DEG} * cos(radians(f.lat))), 0) as area from l join f on case when radius is not null then {away} <= radius else {half} end",
-        "region_locate": f"with p as ({POINTS_SQL}), r as ({REGIONS_SQL}) select event_id, code, cast(row_number() over (partition by event_id order by (east - west) * (north - south), code) as int) as place from p join r on enabled and lon > west and lon < east and lat > south and lat < north where event_id % 20 < 12",
+        "region_locate": f"with p as ({POINTS_SQL}), r as ({REGIONS_SQL}) select event_id, code, cast(row_number() over (partition by event_id order by (east - west) * (north - south), code) as int) as place from p join r on enabled and lon > west and lon < east and lat > south and lat < north",
         "regions_outermost": f"with a as (select code, west, south, east, north from ({REGIONS_SQL}) union all select 'z', west + 10, south, east + 10, north from ({REGIONS_SQL}) where code = 'r0') select code from a where not exists (select 1 from a b where b.code <> a.code and b.west <= a.west and b.south <= a.south and b.east >= a.east and b.north >= a.north)",
         "version_updates": f"with j as (select code, device, nullif(trim(h.version), '') as held, r.version as latest from ({HELD_SQL}) h join ({REGIONS_SQL}) r using (code) where enabled) select *, coalesce(nullif({diff(1)}, 0), nullif({diff(2)}, 0), nullif({diff(3)}, 0), {diff(4)}) > 0 as update from j",
         "region_registry": "select * from (values ('r0', 'unchanged', 'old'), ('r1', 'disabled', 'old'), ('r2', 'updated', 'new'), ('r3', 'unchanged', 'old'), ('r4', 'error', 'old'), ('r9', 'registered', 'x')) t(code, outcome, checksum)",

@@ -20,28 +20,28 @@ def good(s, d):
     return traffic.good_fixes(trip_points(s, d), trips(s, d))
 
 
-def edges(s):
-    return road_edges(s)
+def edges(s, d):
+    return road_edges(s, d)
 
 
-def routes(s):
-    """Streets of the grid as routes: those of the first rows, with a length and a duration."""
-    e = road_edges(s).filter("cls = 2")
+def routes(s, d):
+    """Avenues of the towns as routes, with a length and a duration."""
+    e = road_edges(s, d).filter("cls = 2")
     from ..functions.geo import line_length
 
     return e.select(F.col("edge").alias("route_id"), "shape", F.round(line_length(F.col("shape")), 3).alias("metres"), F.lit(8).alias("seconds"))
 
 
-def zones(s):
-    """Climate zones: squares of five hundredths of a degree side by side, one with a hole."""
-    k = F.col("id")
-    west, south, side = F.lit(-79.9513) + k * 0.005, F.lit(-2.2013), F.lit(0.005)
+def zones(s, d):
+    """Climate zones: squares of five hundredths of a degree, four side by side in each of the first towns, one of four with a hole."""
+    k, i = F.col("n_nationkey"), F.col("n_nationkey") % 4
+    west, south, side = F.lit(-79.9513) + i * 0.005 + F.expr("n_nationkey div 4") * 0.027, F.lit(-2.2013), F.lit(0.005)
     ring = lambda x, y, h: F.array(*[F.struct((x + a * h).alias("lon"), (y + b * h).alias("lat")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
-    text = F.concat((k * 250 + 500).cast("string"), F.lit(",5 - "), (k * 500 + 750).cast("string"), F.lit(" mm"))
-    return s.range(4).select(k.alias("zone"), F.when(k == 3, "Sin rango").otherwise(text).alias("range"), F.when(k == 1, F.array(ring(west, south, side), ring(west + 0.001, south + 0.001, F.lit(0.002)))).otherwise(F.array(ring(west, south, side))).alias("rings"))
+    text = F.concat((i * 250 + 500).cast("string"), F.lit(",5 - "), (i * 500 + 750).cast("string"), F.lit(" mm"))
+    return load(s, d, "nation").select(k.alias("zone"), F.when(i == 3, "Sin rango").otherwise(text).alias("range"), F.when(i == 1, F.array(ring(west, south, side), ring(west + 0.001, south + 0.001, F.lit(0.002)))).otherwise(F.array(ring(west, south, side))).alias("rings"))
 
 
-ZONES_SQL = "select k as zone, case when k = 3 then 'Sin rango' else (k * 250 + 500) || ',5 - ' || (k * 500 + 750) || ' mm' end as range, -79.9513e0 + k * 0.005e0 as west, -2.2013e0 as south, k = 1 as hole from range(4) t(k)"
+ZONES_SQL = "select k as zone, case when k % 4 = 3 then 'Sin rango' else (k % 4 * 250 + 500) || ',5 - ' || (k % 4 * 500 + 750) || ' mm' end as range, -79.9513e0 + k % 4 * 0.005e0 + k // 4 * 0.027e0 as west, -2.2013e0 as south, k % 4 = 1 as hole from (select n_nationkey as k from nation)"
 
 
 def queries():
@@ -52,11 +52,11 @@ def queries():
         "activity_cells": lambda s, d: traffic.activity_cells(p(s, d), WIDE, AS_OF, 24 * 8),
         "live_fix_filter": lambda s, d: good(s, d).filter(traffic.since("recorded_at", AS_OF, HALF, "minutes")).select("event_id", "trip_id", "profile", "speed"),
         "typical_fixes": lambda s, d: traffic.typical_fixes(good(s, d), NOON, ZONE, 28).select("event_id", "recorded_at"),
-        "nearest_edge": lambda s, d: traffic.matched(good(s, d), edges(s)).select("event_id", "edge", "metres", "fraction"),
-        "edge_speed_median": lambda s, d: traffic.edge_speeds(traffic.matched(good(s, d), edges(s)), ["edge"], 3, 2),
-        "traffic_flow": lambda s, d: traffic.traffic_flow(p(s, d), t(s, d), edges(s), WIDE, NOON, ZONE, 24 * 60 * 4),
-        "route_traffic": lambda s, d: traffic.route_traffic(p(s, d), routes(s), AS_OF, HALF),
-        "route_climate": lambda s, d: traffic.route_climate(routes(s), zones(s)),
+        "nearest_edge": lambda s, d: traffic.matched(good(s, d), edges(s, d)).select("event_id", "edge", "metres", "fraction"),
+        "edge_speed_median": lambda s, d: traffic.edge_speeds(traffic.matched(good(s, d), edges(s, d)), ["edge"], 3, 2),
+        "traffic_flow": lambda s, d: traffic.traffic_flow(p(s, d), t(s, d), edges(s, d), WIDE, NOON, ZONE, 24 * 60 * 4),
+        "route_traffic": lambda s, d: traffic.route_traffic(p(s, d), routes(s, d), AS_OF, HALF),
+        "route_climate": lambda s, d: traffic.route_climate(routes(s, d), zones(s, d)),
         "track_lengths": lambda s, d: tracks.track_lengths(p(s, d)),
         "track_thinned": lambda s, d: tracks.thinned(p(s, d)),
         "trip_latest_fix": lambda s, d: tracks.latest_fix(p(s, d)),

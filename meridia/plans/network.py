@@ -12,25 +12,35 @@ from .sqltext import folded, great_circle, to_segment
 ASKED = [(1, "malecon", -79.94, -2.195), (2, "Ambato", -79.945, -2.199), (3, "plaza integracion", -79.935, -2.2), (4, "hospitales rio ", -79.94, -2.19), (5, "calle nan", -79.932, -2.196)]
 
 
-def lines(s):
-    """Streets as they were drawn: rows of the grid whole, columns whole, and some stubs."""
-    k = F.col("id")
-    at = lambda x, y: point(F.lit(-79.95) + x * F.lit(1e-3), F.lit(-2.2) + y * F.lit(1e-3))
-    rows = s.range(10).select(k.alias("line"), F.transform(F.sequence(F.lit(0), F.lit(19)), lambda x: at(x, k)).alias("shape"))
-    cols = s.range(10, 20).select(k.alias("line"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda y: at(k - 10, y)).alias("shape"))
-    stubs = s.range(20, 25).select(k.alias("line"), F.array(at(k - 15, F.lit(3)), at(k - F.lit(14.5), F.lit(3.5))).alias("shape"))
-    return rows.unionByName(cols).unionByName(stubs)
+def lines(s, d):
+    """Streets as they were drawn, per town: rows of the grid whole, columns whole, and some stubs."""
+    k = F.col("node") % 200
+    n = road_nodes(s, d).filter(k < 25).select((F.col("town") * 25 + k).alias("line"), k.alias("k"), (F.lit(-79.95) + (F.col("town") % 200) * F.lit(2.7e-2)).alias("lon"), (F.lit(-2.2) + F.expr("town div 200") * F.lit(2e-2)).alias("lat"))
+    at = lambda x, y: point(F.col("lon") + x * F.lit(1e-3), F.col("lat") + y * F.lit(1e-3))
+    row = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda x: at(x, F.col("k")))
+    column = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda y: at(F.col("k") - 10, y))
+    stub = F.array(at(F.col("k") - 15, F.lit(3)), at(F.col("k") - F.lit(14.5), F.lit(3.5)))
+    return n.select("line", F.when(F.col("k") < 10, row).when(F.col("k") < 20, column).otherwise(stub).alias("shape"))
 
 
-VERTEX_SQL = """select line, x, y, first, last from (select line, unnest(range(20)) * 1.0 as x, line * 1.0 as y, 0.0 as first, 19.0 as last from range(10) t(line)) union all
-  select line, line - 10.0, y * 1.0, 0.0, 9.0 from (select line, unnest(range(10)) as y from range(10, 20) t(line)) union all
-  select line, case when e = 0 then line - 15.0 else line - 14.5 end, case when e = 0 then 3.0 else 3.5 end, 0.0, 1.0 from (select line, unnest([0, 1]) as e from range(20, 25) t(line))"""
+VERTEX_SQL = """select t * 25 + k as line, t, x, y from (select p_partkey // 200 as t, p_partkey % 200 as k from part where p_partkey % 200 < 25) l,
+  (select 'r' as c, unnest(range(20)) * 1.0 as i union all select 'c', unnest(range(10)) * 1.0 union all select 's', unnest([0.0, 0.5])) v,
+  lateral (select case when c = 'r' then i when c = 'c' then k - 10.0 else k - 15.0 + i end as x, case when c = 'r' then k * 1.0 when c = 'c' then i else 3.0 + i end as y)
+  where c = case when k < 10 then 'r' when k < 20 then 'c' else 's' end"""
+TOWN_LON, TOWN_LAT = "(-79.95e0 + t % 200 * 2.7e-2 + {} * 1e-3)", "(-2.2e0 + t // 200 * 2e-2 + {} * 1e-3)"
 
 
 def asked(s):
     return s.createDataFrame(ASKED, "query long, text string, lon double, lat double")
 
 
+def trips_asked(s, d):
+    """Requests from one end of a town to the other, a dozen in each."""
+    i, t = F.col("s_suppkey") % 20, F.expr("s_suppkey div 20")
+    shift = (t % 200) * F.lit(2.7e-2)
+    return load(s, d, "supplier").select(F.col("s_suppkey").alias("request"), (F.lit(-79.9503) + shift + i * 1.1e-3).alias("lon1"), (F.lit(-2.1985) + F.expr("s_suppkey div 4000") * 2e-2).alias("lat1"), (F.lit(-79.9317) + shift - i * 0.9e-3).alias("lon2"), (F.lit(-2.1928) + F.expr("s_suppkey div 4000") * 2e-2).alias("lat2"))
+
+
 def streets(s, d):
     """Street segments from orders: a label, a parish, a kind, a name with an alias, and a bent shape."""
     o, k = load(s, d, "orders"), F.col("o_orderkey")
@@ -82,7 +92,7 @@ def cells(s, d):
 def world(s, d):
     k = F.col("c_custkey")
     names = ("Lima", "Madrid", "Perú", "São Paulo", "New York", "Lima Norte", "Guayaquil")
-    return load(s, d, "customer").filter("c_custkey <= 700").select(
+    return load(s, d, "customer").select(
         k.alias("id"), F.element_at(F.array(*[F.lit(v) for v in names]), (k % 7 + 1).cast("int")).alias("name"), F.when(k % 7 == 4, "Nueva York").alias("name_es"), F.when(k % 7 == 2, "country").otherwise("city").alias("type"),
         F.element_at(F.array(F.lit("Peru"), F.lit("Spain"), F.lit("Brazil")), (k % 3 + 1).cast("int")).alias("country"), F.lit(None).cast("string").alias("country_es"), F.lit("XX").alias("country_code"), F.col("c_mktsegment").alias("admin1"),
         F.when(k % 5 == 0, "2").when(k % 5 == 1, "4").alias("capital"), (k * 7919 % 3000000).alias("population"))
@@ -116,28 +126,29 @@ def tagged_rows(s, d):
 def borders(s, d):
     k = F.col("o_orderkey")
     ways = load(s, d, "orders").select(k.alias("way"), F.create_map(F.lit("boundary"), F.when(k % 5 == 0, "disputed").otherwise("administrative"), F.lit("admin_level"), (k % 13).cast("string"), F.lit("maritime"), F.when(k % 4 == 0, "yes").otherwise("no")).alias("tags"))
-    members = load(s, d, "lineitem").filter("l_linenumber < 3").select(F.col("l_orderkey").alias("way"), (F.col("l_suppkey") % 40).alias("relation"))
-    relations = s.range(30).select(F.col("id").alias("relation"), (F.col("id") % 9 + 2).cast("int").alias("level"), (F.col("id") % 7 == 0).alias("disputed"), (F.col("id") % 11 == 0).alias("maritime"))
-    return tagged.boundaries(ways.filter(k % 2 == 0), members, relations)
+    members = load(s, d, "lineitem").select(F.col("l_orderkey").alias("way"), F.col("l_suppkey").alias("relation"))
+    r = F.col("s_suppkey")
+    relations = load(s, d, "supplier").filter(r % 8 == 3).select(r.alias("relation"), (r % 9 + 2).cast("int").alias("level"), (r % 7 == 0).alias("disputed"), (r % 11 == 0).alias("maritime"))  # the other members' relations are no borders
+    return tagged.boundaries(ways, members, relations)
 
 
 def queries():
     return {
-        "node_degree": lambda s, d: graph.node_degree(road_edges(s)),
-        "components": lambda s, d: graph.components(road_nodes(s), road_edges(s)),
-        "components_motor": lambda s, d: graph.components(road_nodes(s), road_edges(s).filter(graph.for_motors())),
-        "shortest_path_costs": lambda s, d: graph.travel_times(road_edges(s), s.createDataFrame([(0,), (105,), (201,)], "node long"), "CAR"),
-        "street_intersections": lambda s, d: graph.street_junctions(road_edges(s)),
-        "turns": lambda s, d: graph.turns(road_edges(s).filter("edge % 3 <> 0")).select("node", "out_of", "into", "kind"),
-        "noding": lambda s, d: graph.noded(lines(s)).select("line", "part", "metres"),
-        "dead_ends": lambda s, d: graph.dead_ends(lines(s)),
-        "snap_pairs": lambda s, d: graph.snap_pairs(s.range(20).select(F.col("id").alias("request"), (F.lit(-79.9503) + F.col("id") * 1.1e-3).alias("lon1"), F.lit(-2.1985).alias("lat1"), (F.lit(-79.9317) - F.col("id") * 0.9e-3).alias("lon2"), F.lit(-2.1928).alias("lat2")), road_edges(s), graph.components(road_nodes(s), road_edges(s)), "CAR", 90.0, 3).select("request", "metres"),
-        "line_length": lambda s, d: road_edges(s).select("edge", F.round(geo.line_length(F.col("shape")), 3).alias("metres")),
+        "node_degree": lambda s, d: graph.node_degree(road_edges(s, d)),
+        "components": lambda s, d: graph.components(road_nodes(s, d), road_edges(s, d)),
+        "components_motor": lambda s, d: graph.components(road_nodes(s, d), road_edges(s, d).filter(graph.for_motors())),
+        "shortest_path_costs": lambda s, d: graph.travel_times(road_edges(s, d), road_nodes(s, d).filter("node % 1000 in (105, 580)").select("node"), "CAR"),
+        "street_intersections": lambda s, d: graph.street_junctions(road_edges(s, d)),
+        "turns": lambda s, d: graph.turns(road_edges(s, d)).select("node", "out_of", "into", "kind"),
+        "noding": lambda s, d: graph.noded(lines(s, d)).select("line", "part", "metres"),
+        "dead_ends": lambda s, d: graph.dead_ends(lines(s, d)),
+        "snap_pairs": lambda s, d: graph.snap_pairs(trips_asked(s, d), road_edges(s, d), graph.components(road_nodes(s, d), road_edges(s, d)), "CAR", 90.0, 3).select("request", "metres"),
+        "line_length": lambda s, d: road_edges(s, d).select("edge", F.round(geo.line_length(F.col("shape")), 3).alias("metres")),
         "ring_area": lambda s, d: areas(s, d).select("area", F.round(geo.ring_area(F.col("rings")[0]) * 1e6, 6).alias("square"), F.round(geo.ring_centre(F.col("rings")[0])["lon"], 9).alias("lon"), F.round(geo.ring_centre(F.col("rings")[0])["lat"], 9).alias("lat")),
         "search_fold_tokens": lambda s, d: search.token_counts(search_entries(s, d)),
         "search_ranked": lambda s, d: search.search(search_entries(s, d), asked(s)).select("query", "place", "entry", F.round("score", 4).alias("score")),
         "world_search": lambda s, d: search.world_search(world(s, d), s.createDataFrame(WORLD_Q, "query long, text string")),
-        "reverse_geocode": lambda s, d: search.reverse(trip_points(s, d).filter("event_id % 4 = 1"), search_entries(s, d).filter("entry % 40 < 30"), road_edges(s), "event_id"),
+        "reverse_geocode": lambda s, d: search.reverse(trip_points(s, d), search_entries(s, d), road_edges(s, d), "event_id"),
         "street_rollup": lambda s, d: catalogue.street_rollup(streets(s, d)).select("label", "parish", "metres", "rank", "aliases", *[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")]),
         "neighbourhood_groups": lambda s, d: catalogue.neighbourhood_groups(suburbs(s, d)).select("canton", "name", "members", "rank"),
         "alias_resolve": lambda s, d: catalogue.resolved_aliases(search_entries(s, d), s.createDataFrame([("M2000", "malecon simon", None, None), ("TT", "Terminal", "poi", None), ("AN", "ambato norte 7", None, "0001"), ("none", "nowhere", None, None)], "alias string, target string, kind string, prefix string")).fillna(-1, ["entry"]),
@@ -155,14 +166,14 @@ def queries():
         "raster_block_mean": lambda s, d: tiles.halved(pixels(s, d)),
         "raster_pyramid": lambda s, d: tiles.pyramid(pixels(s, d), 2).groupBy("level", "tile").agg(F.count("*").alias("pixels"), F.round(F.sum("weight"), 3).alias("weight")),
         "terrarium_roundtrip": lambda s, d: tiles.encoded(load(s, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 64 - 500).alias("height"))).select("o_orderkey", "r", "g", "b", (F.abs(geo.from_terrarium(F.col("r"), F.col("g"), F.col("b")) - F.col("height")) <= 1 / 512).alias("near")),
-        "tile_curve": lambda s, d: s.range(256).select(F.col("id"), tiles.hilbert(F.col("id") % 16, F.expr("id div 16"), 4).alias("place")),
+        "tile_curve": lambda s, d: road_nodes(s, d).select(geo.tile_x(F.col("lon"), F.lit(16)).alias("x"), geo.tile_y(F.col("lat"), F.lit(16)).alias("y")).distinct().select("x", "y", tiles.hilbert(F.col("x"), F.col("y"), 16).alias("place")),
     }
 
 
 def oracle_sql():
     e = f"e as ({EDGES_SQL})"
     both = "b as (select u, v from e union all select v, u from e)"
-    comp = lambda w: f"with recursive {e}, k as (select * from e where {w}), b as (select u, v from k union all select v, u from k), r as (select u as node, u as c from b union select b.v, r.c from r join b on r.node = b.u), m as (select node, min(c) as c from r group by node), z as (select c, count(*) as size from m group by c) select i as node, coalesce(m.c, -1) as component, coalesce(size, 0) as size from range(203) t(i) left join m on m.node = i left join z using (c)"
+    comp = lambda w: f"with recursive {e}, k as (select * from e where {w}), b as (select u, v from k union all select v, u from k), r using key (node) as (select u as node, min(u) as c from b group by u union select b.v, min(r.c) from r join b on r.node = b.u left join recurring.r old on old.node = b.v where r.c < old.c group by b.v), z as (select c, count(*) as size from r group by c) select p_partkey as node, coalesce(c, -1) as component, coalesce(size, 0) as size from part left join r on r.node = p_partkey left join z using (c)"
     length = f"list_sum(list_transform(range(1, len(shape)), lambda i: {great_circle('shape[i].lon', 'shape[i].lat', 'shape[i + 1].lon', 'shape[i + 1].lat')}))"
     town = "[80, 60, 55, 45, 35, 28, 15, 20, 0, 0, 0, 25]"
     kph = f"(case when flags & 1 > 0 and cls <= 2 then [90, 65, 55][cls + 1] else {town}[cls + 1] end * case when flags & 2 > 0 then 0.6e0 else 1e0 end)"
@@ -180,19 +191,19 @@ def oracle_sql():
         "node_degree": f"with {e}, {both} select u as node, count(*) as degree from b group by u",
         "components": comp("true"),
         "components_motor": comp("cls <= 7 or cls = 11"),
-        "shortest_path_costs": f"with recursive {e}, d as (select u as node, count(*) as degree from (select u from e union all select v from e) group by u), k as (select u, v, cast(round({length} / ({kph} / 3.6) * 1000) as bigint) as ms, flags & 1 > 0 as state from e where {kph} > 0), b as (select u, v, ms + case when not state and dv.degree >= 3 then 3000 else 0 end as ms from (select u, v, ms, state from k union all select v, u, ms, state from k) q join d dv on dv.node = q.v), r using key (source, node) as (select s as source, s as node, cast(0 as bigint) as ms from (values (0), (105), (201)) t(s) union select source, v, min(c) as ms from (select r.source, b.v, r.ms + b.ms as c, old.ms as had from r join b on r.node = b.u left join recurring.r old on old.source = r.source and old.node = b.v) where had is null or c < had group by all) select cast(source as bigint) as source, cast(node as bigint) as node, ms from r",
+        "shortest_path_costs": f"with recursive {e}, d as (select u as node, count(*) as degree from (select u from e union all select v from e) group by u), k as (select u, v, cast(round({length} / ({kph} / 3.6) * 1000) as bigint) as ms, flags & 1 > 0 as state from e where {kph} > 0), b as (select u, v, ms + case when not state and dv.degree >= 3 then 3000 else 0 end as ms from (select u, v, ms, state from k union all select v, u, ms, state from k) q join d dv on dv.node = q.v), r using key (source, node) as (select s as source, s as node, cast(0 as bigint) as ms from (select p_partkey as s from part where p_partkey % 1000 in (105, 580)) union select source, v, min(c) as ms from (select r.source, b.v, r.ms + b.ms as c, old.ms as had from r join b on r.node = b.u left join recurring.r old on old.source = r.source and old.node = b.v) where had is null or c < had group by all) select cast(source as bigint) as source, cast(node as bigint) as node, ms from r",
         "street_intersections": f"with {e}, k as (select distinct u as node, name from e union select distinct v, name from e) select a.name as first, b.name as second, a.node from k a join k b on a.node = b.node and a.name < b.name",
-        "noding": f"with v as ({VERTEX_SQL}), g as (select line, x, y, row_number() over (partition by line order by x + y) as i, count(*) over (partition by line) as n from v), c as (select x, y from g group by all having bool_or(i > 1 and i < n) and (bool_or(i = 1 or i = n) or count(distinct case when i > 1 and i < n then line end) > 1)), s as (select g.*, lead(x) over w as nx, lead(y) over w as ny, coalesce(sum(case when c.x is not null and i > 1 and i < n then 1 else 0 end) over (partition by line order by i), 0) as part from g left join c using (x, y) window w as (partition by line order by i)) select line, cast(part as int) as part, round(sum({great_circle('(-79.95e0 + x * 1e-3)', '(-2.2e0 + y * 1e-3)', '(-79.95e0 + nx * 1e-3)', '(-2.2e0 + ny * 1e-3)')}), 3) as metres from s where nx is not null group by line, part",
-        "turns": f"""with {e}, k as (select edge, u, v, shape[1].lon as x1, shape[1].lat as y1, shape[2].lon as x2, shape[2].lat as y2 from e where edge % 3 <> 0),
-          g as (select *, degrees(atan2((x2 - x1) * cos(radians((y1 + y2) / 2)), y2 - y1)) as b from k), w as (select edge, v as node, b from g union all select edge, u, b + 180 from g),
+        "noding": f"with v as ({VERTEX_SQL}), g as (select line, t, x, y, row_number() over (partition by line order by x + y) as i, count(*) over (partition by line) as n from v), c as (select t, x, y from g group by all having bool_or(i > 1 and i < n) and (bool_or(i = 1 or i = n) or count(distinct case when i > 1 and i < n then line end) > 1)), s as (select g.*, lead(x) over w as nx, lead(y) over w as ny, coalesce(sum(case when c.x is not null and i > 1 and i < n then 1 else 0 end) over (partition by line order by i), 0) as part from g left join c using (t, x, y) window w as (partition by line order by i)) select line, cast(part as int) as part, round(sum({great_circle(TOWN_LON.format('x'), TOWN_LAT.format('y'), TOWN_LON.format('nx'), TOWN_LAT.format('ny'))}), 3) as metres from s where nx is not null group by line, part",
+        "turns": f"""with {e}, k as (select edge, u, v, shape[1].lon as x1, shape[1].lat as y1, shape[2].lon as x2, shape[2].lat as y2, shape[-2].lon as x3, shape[-2].lat as y3, shape[-1].lon as x4, shape[-1].lat as y4 from e),
+          w as (select edge, v as node, degrees(atan2((x4 - x3) * cos(radians((y3 + y4) / 2)), y4 - y3)) as b from k union all select edge, u, degrees(atan2((x1 - x2) * cos(radians((y1 + y2) / 2)), y1 - y2)) from k),
           t as (select p.node, p.edge as out_of, q.edge as "into", q.b + 180 - p.b + 720 as raw from w p join w q on p.node = q.node and p.edge <> q.edge), a as (select *, case when raw % 360 > 180 then raw % 360 - 360 else raw % 360 end as d from t)
           select node, out_of, "into", case when round(abs(d), 3) < 20 then 'CONTINUE' when round(abs(d), 3) >= 170 then 'UTURN' else case when round(abs(d), 3) < 45 then 'SLIGHT_' when round(abs(d), 3) < 135 then 'TURN_' else 'SHARP_' end || case when d > 0 then 'RIGHT' else 'LEFT' end end as kind from a""",
-        "dead_ends": "select line, cast(-79931000 as varchar) || ':' || cast(-2200000 + line * 1000 as bigint) as key from range(10) t(line) union all select line, cast(-79950000 + (line * 1000 - 14500) as bigint) || ':' || cast(-2196500 as varchar) from range(20, 25) t(line)",
-        "snap_pairs": f"with {e}, {seg}, q as (select i as request, -79.9503e0 + i * 1.1e-3 as px, -2.1985e0 as py, -79.9317e0 - i * 0.9e-3 as qx, -2.1928e0 as qy from range(20) t(i)), d as (select request, round(min({to_segment('px', 'py', 'x1', 'y1', 'x2', 'y2')}), 3) as a, round(min({to_segment('qx', 'qy', 'x1', 'y1', 'x2', 'y2')}), 3) as b from q, s where cls < 8 group by request) select request, round(a + b, 3) as metres from d where a <= 90 and b <= 90",
+        "dead_ends": "with l as (select p_partkey // 200 as t, p_partkey % 200 as k from part where p_partkey % 200 < 25) select t * 25 + k as line, (-79931000 + t % 200 * 27000) || ':' || (-2200000 + t // 200 * 20000 + k * 1000) as key from l where k < 10 union all select t * 25 + k, (-79964500 + t % 200 * 27000 + k * 1000) || ':' || (-2196500 + t // 200 * 20000) from l where k >= 20",
+        "snap_pairs": f"with {e}, {seg}, q as (select s_suppkey as request, -79.9503e0 + x + i * 1.1e-3 as px, -2.1985e0 + y as py, -79.9317e0 + x - i * 0.9e-3 as qx, -2.1928e0 + y as qy from (select s_suppkey, s_suppkey % 20 as i, s_suppkey // 20 % 200 * 2.7e-2 as x, s_suppkey // 4000 * 2e-2 as y from supplier)), d as (select request, round(min({to_segment('px', 'py', 'x1', 'y1', 'x2', 'y2')}), 3) as a, round(min({to_segment('qx', 'qy', 'x1', 'y1', 'x2', 'y2')}), 3) as b from q, s where cls <> 8 and abs(x1 - px) < 0.027 group by request) select request, round(a + b, 3) as metres from d where a <= 90 and b <= 90",
         "line_length": f"with {e} select edge, round({length}, 3) as metres from e",
         "ring_area": "select n_nationkey as area, round(pow(2 * (2e-3 + 1e-4 * n_nationkey), 2) * 1e6, 6) as square, round(-79.95e0 + (n_nationkey % 20) * 1e-3, 9) as lon, round(-2.2e0 + (n_nationkey // 3) * 1e-3, 9) as lat from nation where n_nationkey % 2 = 1",
         "search_fold_tokens": f"select token, count(*) as entries from (select distinct entry, unnest(string_split({folded('name')}, ' ')) as token from ({ENTRIES_SQL})) where token <> '' group by token",
-        "reverse_geocode": f"""with {e}, {seg}, p as (select event_id, -79.95e0 + (event_id % 20) * 0.001e0 + 0.0004e0 as lon, -2.2e0 + ((event_id // 20) % 10) * 0.001e0 + 0.00005e0 as lat from events where event_id % 4 = 1), n as (select * from ({ENTRIES_SQL}) where entry % 40 < 30),
+        "reverse_geocode": f"""with {e}, {seg}, p as (select event_id, -79.95e0 + (event_id % 20) * 0.001e0 + 0.0004e0 as lon, -2.2e0 + ((event_id // 20) % 10) * 0.001e0 + 0.00005e0 as lat from events), n as ({ENTRIES_SQL}),
           q as (select distinct lon, lat from p), a as (select p.lon, p.lat, n.name from q p join n on kind = 'poi' and {spot} <= 25 qualify row_number() over (partition by p.lon, p.lat order by round({spot}, 3), entry) = 1),
           b as (select q.lon, q.lat, s.name as road from q join s on s.name is not null and cls <> 11 and abs(q.lon - x1) < 3e-3 and abs(q.lat - y1) < 3e-3 and {to_segment('q.lon', 'q.lat', 'x1', 'y1', 'x2', 'y2')} <= 60 qualify row_number() over (partition by q.lon, q.lat order by round({to_segment('q.lon', 'q.lat', 'x1', 'y1', 'x2', 'y2')}, 3), edge) = 1),
           c as (select p.lon, p.lat, n.name from q p join n on kind = 'place' and {spot} <= 3000 qualify row_number() over (partition by p.lon, p.lat order by round({spot}, 3), entry) = 1)
@@ -212,7 +223,7 @@ def oracle_sql():
           p as (select * from (values (0, 'hospital', 'hospital', 12, 5), (1, 'food', 'fast_food', 14, 30), (3, 'shop', 'kiosk', 14, 40), (4, 'grocery', 'bakery', 14, 30), (5, 'airport', 'aerodrome', 11, 1), (11, 'park', 'park', 12, 15), (12, 'attraction', 'zoo', 13, 10), (13, 'health', 'lab', 14, 20), (14, 'parking', 'parking', 14, 40)) v(k, class, subclass, zoom, rank))
           select id, class, subclass, case when k = 5 and more then 9 else coalesce(zoom, -1) end as zoom, coalesce(rank, -1) as rank, case k when 0 then 'hospital' when 5 then 'aerodrome' when 7 then 'forest' when 11 then 'park' when 14 then case when not more then 'parking' end end as landuse,
             case when not more then case k when 6 then 'lake' when 9 then 'dock' when 10 then 'basin' end end as water, case k when 8 then 'stream' end as waterway from t left join p using (k)""",
-        "boundaries": """with w as (select o_orderkey as way from orders where o_orderkey % 2 = 0), m as (select l_orderkey as way, min(r % 9 + 2) as level, bool_or(r % 7 = 0) as d, bool_or(r % 11 = 0) as mar from (select l_orderkey, l_suppkey % 40 as r from lineitem where l_linenumber < 3) where r < 30 group by 1),
+        "boundaries": """with w as (select o_orderkey as way from orders), m as (select l_orderkey as way, min(r % 9 + 2) as level, bool_or(r % 7 = 0) as d, bool_or(r % 11 = 0) as mar from (select l_orderkey, s_suppkey as r from lineitem join supplier on s_suppkey = l_suppkey and s_suppkey % 8 = 3) group by 1),
           j as (select way, coalesce(level, case when way % 5 <> 0 and way % 13 between 2 and 10 then way % 13 end) as level, way % 5 = 0 or coalesce(d, false) as disputed, way % 4 = 0 or coalesce(mar, false) as maritime from w left join m using (way))
           select way, cast(level as int) as level, disputed, maritime, case when level <= 2 then 0 when level <= 4 then 4 when level <= 6 then 8 else 10 end as zoom from j where level is not null""",
         "tile_of_point": f"with p as (select -79.95e0 + (event_id % 20) * 0.001e0 + 0.0004e0 as lon, -2.2e0 + ((event_id // 20) % 10) * 0.001e0 + 0.00005e0 as lat from events), t as (select cast(floor((lon + 180) / 360 * 131072) as bigint) as x, cast(floor({merc(131072)}) as bigint) as y, count(*) as points from p group by 1, 2) select x, y, points, round(x / 131072 * 360 - 180, 6) as west, round(degrees(atan(sinh(pi() * (1 - 2 * y / 131072)))), 6) as north from t",
@@ -223,5 +234,6 @@ def oracle_sql():
         "label_grid_topn": f"with n as (select entry as id, cast(floor((lon + 180) / 360 * {z14}) as bigint) as gx, cast(floor({merc(z14)}) as bigint) as gy, rank from ({ENTRIES_SQL})) select id, gx, gy, cast(row_number() over (partition by gx, gy order by rank desc, id) as int) as place from n qualify place <= 4",
         "raster_block_mean": f"with {px}, {half} select tile, x, y, round(cast(v as double) / w, 9) as value, cast(w as double) as weight from h",
         "raster_pyramid": f"with {px}, {half}, h2 as (select tile, x // 2 as x, y // 2 as y, sum(w) as w from h group by all) select 0 as level, tile, count(*) as pixels, cast(round(sum(weight), 3) as double) as weight from p group by tile union all select 1, tile, count(*), cast(round(sum(w), 3) as double) from h group by tile union all select 2, tile, count(*), cast(round(sum(w), 3) as double) from h2 group by tile",
+        "tile_curve": f"with recursive t as (select distinct cast(floor((lon + 180) / 360 * 65536) as bigint) as ox, cast(floor({merc(65536)}) as bigint) as oy from ({NODES_SQL})), h as (select ox, oy, ox as x, oy as y, cast(0 as bigint) as d, cast(32768 as bigint) as s from t union all select ox, oy, case when y & s > 0 then x when x & s > 0 then 65535 - y else y end, case when y & s > 0 then y when x & s > 0 then 65535 - x else x end, d + s * s * case when y & s > 0 then case when x & s > 0 then 2 else 1 end when x & s > 0 then 3 else 0 end, s // 2 from h where s > 0) select ox as x, oy as y, d + 1431655765 as place from h where s = 0",
         "terrarium_roundtrip": "with k as (select o_orderkey, cast(round((o_totalprice / 64 - 500 + 32768) * 256) as bigint) as v from orders) select o_orderkey, v >> 16 as r, (v >> 8) & 255 as g, v & 255 as b, true as near from k",
     }

@@ -22,4 +22,15 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", place)
     path = f"{place.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Deletes the files of cut tables that nothing reads any more; other DataFrames are left alone."""
+    for t in tables:
+        if hasattr(t, "_cut"):
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(t._cut)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

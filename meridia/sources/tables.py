@@ -43,38 +43,56 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.withColumn("profile", F.element_at(F.array(*[F.lit(p) for p in PROFILES]), (F.col("trip_id") % 5 + 1).cast("int")))
 
 
-NODES_SQL = "select i as node, -79.95e0 + (i % 20) * 1e-3 as lon, -2.2e0 + (i // 20) * 1e-3 as lat from range(203) t(i)"
+# Towns of 20 by 10 junctions stand side by side, a junction for each part. Some junctions miss a street, some towns have a
+# footpath or a lone junction apart from the rest, and state roads join towns in groups of three.
+NODES_SQL = """select *, -79.95e0 + (town % 200) * 2.7e-2 + x * 1e-3 as lon, -2.2e0 + (town // 200) * 2e-2 + y * 1e-3 as lat
+  from (select p_partkey as node, p_partkey // 200 as town, p_partkey % 20 as x, p_partkey // 20 % 10 as y, p_size as size from part)"""
 EDGES_SQL = f"""with n as ({NODES_SQL}), e as (
-    select node * 2 as edge, node as u, node + 1 as v, 'C. ' || (node // 20 + 1) as name, case when node // 20 % 2 = 0 then 2 else 5 end as cls from n where node < 200 and node % 20 < 19
-    union all select node * 2 + 1, node, node + 20, 'Av. ' || chr((65 + node % 20)::int), 5 from n where node < 180
-    union all select 402, 201, 202, 'Sendero', 8 from n where node = 201)
-  select edge, u, v, name, cls, case when u < 20 and v < 20 then 1 else 0 end + case when edge % 13 = 0 then 2 else 0 end as flags, cast(u % 3 as bigint) as parish,
+    select node * 2 as edge, node as u, node + 1 as v, case when apart then 'Sendero' when node % 17 <> 5 then 'C. ' || (y + 1) end as name, case when y % 2 = 0 then 2 when apart then 8 else 5 end as cls,
+      case when y = 0 then 'E' || (town + 1) end as ref, case when y = 0 then 1 else 0 end + case when node % 200 in (50, 51) then 8 else 0 end as flags from (select *, town % 4 = 1 and node % 200 = 198 as apart from n)
+      where x < 19 and not (town % 4 = 1 and node % 200 = 197) and not (town % 4 = 2 and node % 200 = 180)
+    union all select node * 2 + 1, node, node + 20, 'Av. ' || chr((65 + x)::int), 5, null, 0 from n where y < 9 and size % 7 <> 0 and not (town % 4 = 1 and node % 200 in (178, 179)) and not (town % 4 = 2 and node % 200 = 160)
+    union all select town * 400 + 399, node, node + 181, null, case when town % 3 = 0 then 11 else 1 end, case when town % 3 > 0 then 'E' || (town + 1) end, case when town % 3 > 0 then 1 else 0 end from n where node % 200 = 99 and (town + 1) % 3 > 0)
+  select edge, u, v, name, cast(cls as int) as cls, ref, cast(flags + case when edge % 13 = 0 then 2 else 0 end as int) as flags, cast(u % 3 as bigint) as parish,
     case when edge % 3 = 0 then [{{'lon': a.lon, 'lat': a.lat}}, {{'lon': (a.lon + b.lon) / 2 + 2e-5, 'lat': (a.lat + b.lat) / 2 + 2e-5}}, {{'lon': b.lon, 'lat': b.lat}}]
       else [{{'lon': a.lon, 'lat': a.lat}}, {{'lon': b.lon, 'lat': b.lat}}] end as shape
   from e join n a on e.u = a.node join n b on e.v = b.node"""
 SEGMENTS_SQL = f"select edge, cls, flags, name, i, shape[i].lon as x1, shape[i].lat as y1, shape[i + 1].lon as x2, shape[i + 1].lat as y2 from (select *, unnest(range(1, len(shape))) as i from ({EDGES_SQL}))"
-STATE, UNPAVED, APPROXIMATE = 1, 2, 4  # flags of an edge
+STATE, UNPAVED, APPROXIMATE, ROUNDABOUT = 1, 2, 4, 8  # flags of an edge
 MOTOR_CLASS = 7  # classes up to this one carry motors
 CONNECTOR = 11
 
 
-def road_nodes(spark: SparkSession) -> DataFrame:
-    """A grid of 20 by 10 junctions, two nodes of a path apart from it and one without an edge."""
-    return spark.range(203).select(F.col("id").alias("node"), (F.lit(-79.95) + (F.col("id") % 20) * F.lit(1e-3)).alias("lon"), (F.lit(-2.2) + F.expr("id div 20") * F.lit(1e-3)).alias("lat"))
-
-
-def road_edges(spark: SparkSession) -> DataFrame:
-    """Streets east and north of each junction with class, flags, name and shape; every third one bends."""
-    n = road_nodes(spark)
-    row = F.expr("node div 20")
-    east = n.filter("node < 200 and node % 20 < 19").select((F.col("node") * 2).alias("edge"), F.col("node").alias("u"), (F.col("node") + 1).alias("v"), F.concat(F.lit("C. "), row + 1).alias("name"), F.when(row % 2 == 0, 2).otherwise(5).alias("cls"))
-    north = n.filter("node < 180").select((F.col("node") * 2 + 1).alias("edge"), F.col("node").alias("u"), (F.col("node") + 20).alias("v"), F.concat(F.lit("Av. "), F.char(F.col("node") % 20 + 65)).alias("name"), F.lit(5).alias("cls"))
-    path = n.filter("node = 201").select(F.lit(402).cast("long").alias("edge"), F.col("node").alias("u"), (F.col("node") + 1).alias("v"), F.lit("Sendero").alias("name"), F.lit(8).alias("cls"))
-    e = east.unionByName(north).unionByName(path).join(n.toDF("u", "ax", "ay"), "u").join(n.toDF("v", "bx", "by"), "v")
+def road_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A junction for each part: node, town, place in the town's grid, position."""
+    n = load(spark, sf_dir, "part").selectExpr("p_partkey as node", "p_partkey div 200 as town", "p_partkey % 20 as x", "p_partkey div 20 % 10 as y", "p_size as size")
+    return n.withColumns({
+        "lon": F.lit(-79.95) + (F.col("town") % 200) * F.lit(2.7e-2) + F.col("x") * F.lit(1e-3),
+        "lat": F.lit(-2.2) + F.expr("town div 200") * F.lit(2e-2) + F.col("y") * F.lit(1e-3)})
+
+
+def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets east and north of each junction and state roads between towns, with class, flags, name, number and shape; every third one bends."""
+    n = road_nodes(spark, sf_dir)
+    at, kind = F.col("node") % 200, F.col("town") % 4
+    apart = (kind == 1) & (at == 198)
+    east = n.filter((F.col("x") < 19) & ~((kind == 1) & (at == 197)) & ~((kind == 2) & (at == 180))).select(
+        (F.col("node") * 2).alias("edge"), F.col("node").alias("u"), (F.col("node") + 1).alias("v"), F.when(apart, "Sendero").when(F.col("node") % 17 != 5, F.concat(F.lit("C. "), F.col("y") + 1)).alias("name"),
+        F.when(F.col("y") % 2 == 0, 2).when(apart, 8).otherwise(5).alias("cls"), F.when(F.col("y") == 0, F.concat(F.lit("E"), F.col("town") + 1)).alias("ref"),
+        (F.when(F.col("y") == 0, STATE).otherwise(0) + F.when(at.isin(50, 51), ROUNDABOUT).otherwise(0)).alias("flags"))
+    north = n.filter((F.col("y") < 9) & (F.col("size") % 7 != 0) & ~((kind == 1) & at.isin(178, 179)) & ~((kind == 2) & (at == 160))).select(
+        (F.col("node") * 2 + 1).alias("edge"), F.col("node").alias("u"), (F.col("node") + 20).alias("v"), F.concat(F.lit("Av. "), F.char(F.col("x") + 65)).alias("name"),
+        F.lit(5).alias("cls"), F.lit(None).cast("string").alias("ref"), F.lit(0).alias("flags"))
+    linked = F.col("town") % 3 > 0
+    between = n.filter((at == 99) & ((F.col("town") + 1) % 3 > 0)).select(
+        (F.col("town") * 400 + 399).alias("edge"), F.col("node").alias("u"), (F.col("node") + 181).alias("v"), F.lit(None).cast("string").alias("name"),
+        F.when(linked, 1).otherwise(CONNECTOR).alias("cls"), F.when(linked, F.concat(F.lit("E"), F.col("town") + 1)).alias("ref"), F.when(linked, STATE).otherwise(0).alias("flags"))
+    ends = n.select("node", "lon", "lat")
+    e = east.unionByName(north).unionByName(between).join(ends.toDF("u", "ax", "ay"), "u").join(ends.toDF("v", "bx", "by"), "v")
     a, b = point(F.col("ax"), F.col("ay")), point(F.col("bx"), F.col("by"))
     mid = point((F.col("ax") + F.col("bx")) / 2 + F.lit(2e-5), (F.col("ay") + F.col("by")) / 2 + F.lit(2e-5))
-    flags = F.when((F.col("u") < 20) & (F.col("v") < 20), STATE).otherwise(0) + F.when(F.col("edge") % 13 == 0, UNPAVED).otherwise(0)
-    return e.select("edge", "u", "v", "name", "cls", flags.alias("flags"), (F.col("u") % 3).alias("parish"), F.when(F.col("edge") % 3 == 0, F.array(a, mid, b)).otherwise(F.array(a, b)).alias("shape"))
+    flags = F.col("flags") + F.when(F.col("edge") % 13 == 0, UNPAVED).otherwise(0)
+    return e.select("edge", "u", "v", "name", "cls", "ref", flags.alias("flags"), (F.col("u") % 3).alias("parish"), F.when(F.col("edge") % 3 == 0, F.array(a, mid, b)).otherwise(F.array(a, b)).alias("shape"))
 
 
 FENCES_SQL = """select n_nationkey as fence, -79.95e0 + (n_nationkey % 20) * 1e-3 as lon, -2.2e0 + (n_nationkey // 3) * 1e-3 as lat,

@@ -10,9 +10,12 @@ from meridia.operators import conflate, graph
 from meridia.sources.tables import road_edges
 
 
+SF = "/root/testdata/sf0.01"
+
+
 def corner(spark):
-    """Six by three junctions of the grid, and the path apart from it."""
-    return road_edges(spark).filter("u > 200 or u % 20 < 6 and v % 20 < 6 and u < 60 and v < 60")
+    """Six by three junctions of the first town, and a path apart from it in the second."""
+    return road_edges(spark, SF).filter("u = 398 or u % 20 < 6 and v % 20 < 6 and u < 60 and v < 60")
 
 
 def test_paths_against_a_heap(spark):
@@ -21,7 +24,7 @@ def test_paths_against_a_heap(spark):
     near = {}
     for u, v, ms, e in steps:
         near.setdefault(u, []).append((v, ms, e))
-    asked = [(1, 0, 45), (2, 25, 42), (3, 0, 201), (4, 4, 4)]
+    asked = [(1, 0, 45), (2, 25, 42), (3, 0, 399), (4, 4, 4)]
     requests = spark.createDataFrame(asked, "request long, start long, goal long")
     got = {}
     for r in graph.paths(graph.priced(edges, "CAR"), requests).collect():
