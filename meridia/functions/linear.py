@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geo import DEGREE_M, haversine, line_length, sides
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def point_at(shape: Column, pos: Column) -> Column:
     """The point at a position; the last one beyond the end."""
-    v, f = F.floor(pos).cast("int"), pos - F.floor(pos)
-    a, b = F.get(shape, v), F.get(shape, v + 1)
-    between = F.struct((a["lon"] + (b["lon"] - a["lon"]) * f).alias("lon"), (a["lat"] + (b["lat"] - a["lat"]) * f).alias("lat"))
-    return F.when((f == 0) | (v >= F.size(shape) - 1), F.get(shape, F.least(v, F.size(shape) - 1))).otherwise(between)
+
+    def at(g: Column) -> Column:
+        a, b, f = F.get(shape, g["v"]), F.get(shape, g["v"] + 1), g["f"]
+        between_ = F.struct((a["lon"] + (b["lon"] - a["lon"]) * f).alias("lon"), (a["lat"] + (b["lat"] - a["lat"]) * f).alias("lat"))
+        return F.when((f == 0) | (g["v"] >= F.size(shape) - 1), F.get(shape, F.least(g["v"], F.size(shape) - 1))).otherwise(between_)
+
+    return let(pos, lambda p: let(F.struct(F.floor(p).cast("int").alias("v"), (p - F.floor(p)).alias("f")), at))
 
 
 def position(shape: Column, lon: Column, lat: Column, after: Column) -> Column:
@@ -21,32 +31,38 @@ def position(shape: Column, lon: Column, lat: Column, after: Column) -> Column:
 
     On the segment of `after` only what lies behind it counts, so that a shape can be followed forwards.
     """
-    first = F.floor(after).cast("int")
-    kx = F.cos(F.radians(lat))
 
-    def place(s: Column, i: Column) -> Column:
-        ax, ay = (s["a"]["lon"] - lon) * kx, s["a"]["lat"] - lat
-        dx, dy = (s["b"]["lon"] - lon) * kx - ax, s["b"]["lat"] - lat - ay
-        least = F.when(i == first, after - F.floor(after)).otherwise(0.0)
-        t = F.greatest(F.least(F.coalesce(-(ax * dx + ay * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), least)
-        return F.struct((F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2)).alias("d"), i.alias("i"), t.alias("t"))
+    def place(s: Column, i: Column, o: Column) -> Column:
+        x, y = (lambda p: (p["lon"] - lon) * F.cos(F.radians(lat))), (lambda p: p["lat"] - lat)
+        side = F.struct(x(s["a"]).alias("ax"), y(s["a"]).alias("ay"), (x(s["b"]) - x(s["a"])).alias("dx"), (y(s["b"]) - y(s["a"])).alias("dy"))
+        least = F.when(i == F.floor(o), o - F.floor(o)).otherwise(0.0)
+        part = lambda g: F.greatest(F.least(F.coalesce(-(g["ax"] * g["dx"] + g["ay"] * g["dy"]) / F.nullif(g["dx"] * g["dx"] + g["dy"] * g["dy"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), least)
+        away = lambda g, t: F.pow(g["ax"] + t * g["dx"], 2) + F.pow(g["ay"] + t * g["dy"], 2)
+        return let(side, lambda g: let(part(g), lambda t: F.struct(away(g, t).alias("d"), i.alias("i"), t.alias("t"))))
+
+    def nearest(o: Column) -> Column:
+        ahead = F.filter(F.transform(sides(shape), lambda s, i: F.when(i >= F.floor(o), place(s, i, o))), lambda p: p.isNotNull())
+        found = let(F.array_min(ahead), lambda m: m["i"] + m["t"])
+        return F.when((F.size(shape) == 1) | (o >= F.size(shape) - 1), o).otherwise(found)
 
-    ahead = F.filter(F.transform(sides(shape), place), lambda p: p["i"] >= first)
-    best = F.array_min(ahead)
-    return F.when((F.size(shape) == 1) | (first >= F.size(shape) - 1), after).otherwise(best["i"] + best["t"])
+    return let(after, nearest)
 
 
 def metres_at(shape: Column, pos: Column, lon: Column, lat: Column) -> Column:
     """Distance of a point to the point at a position."""
-    p = point_at(shape, pos)
-    return haversine(p["lon"], p["lat"], lon, lat)
+    return let(point_at(shape, pos), lambda p: haversine(p["lon"], p["lat"], lon, lat))
 
 
 def between(shape: Column, start: Column, end: Column) -> Column:
     """The part of a shape from one position to a later one, both included."""
-    v, w = F.floor(start).cast("int"), F.ceil(end).cast("int")  # vertices v + 1 to w - 1 lie inside
-    inner = F.slice(shape, v + 2, F.greatest(w - v - 1, F.lit(0)))
-    return F.concat(F.array(point_at(shape, start)), inner, F.when(end != start, F.array(point_at(shape, end))).otherwise(F.array().cast("array<struct<lon: double, lat: double>>")))
+    none = F.array().cast("array<struct<lon: double, lat: double>>")
+
+    def part(g: Column) -> Column:
+        v, w = F.floor(g["a"]).cast("int"), F.ceil(g["b"]).cast("int")  # vertices v + 1 to w - 1 lie inside
+        inner = F.slice(shape, v + 2, F.greatest(w - v - 1, F.lit(0)))
+        return F.concat(F.array(point_at(shape, g["a"])), inner, F.when(g["a"] != g["b"], F.array(point_at(shape, g["b"]))).otherwise(none))
+
+    return let(F.struct(start.alias("a"), end.alias("b")), part)
 
 
 def _rounded(p: Column) -> Column:
@@ -65,27 +81,30 @@ def cut_by_share(shape: Column, start: Column, end: Column) -> Column:
         long_ = F.sqrt(F.pow((s["b"]["lon"] - s["a"]["lon"]) * kx, 2) + F.pow((s["b"]["lat"] - s["a"]["lat"]) * DEGREE_M, 2))
         return F.concat(acc, F.array(F.element_at(acc, -1) + long_))
 
-    lengths = F.aggregate(sides(shape), F.array(F.lit(0.0)), grown)
-    whole = F.coalesce(F.nullif(F.element_at(lengths, -1), F.lit(0.0)), F.lit(1.0))
-    low, high = F.least(start, end), F.greatest(start, end)
-
-    def at(share: Column) -> Column:
-        want = share * whole
+    def at(want: Column, lengths: Column) -> Column:
         i = F.array_min(F.filter(F.transform(lengths, lambda x, k: F.when((k > 0) & (x >= want), k)), lambda k: k.isNotNull()))
-        span = F.coalesce(F.nullif(F.get(lengths, i) - F.get(lengths, i - 1), F.lit(0.0)), F.lit(1.0))
-        return F.coalesce(point_at(shape, i - 1 + F.least((want - F.get(lengths, i - 1)) / span, F.lit(1.0))), F.element_at(shape, -1))
+        span = lambda k: F.coalesce(F.nullif(F.get(lengths, k) - F.get(lengths, k - 1), F.lit(0.0)), F.lit(1.0))
+        return let(i, lambda k: F.coalesce(point_at(shape, k - 1 + F.least((want - F.get(lengths, k - 1)) / span(k), F.lit(1.0))), F.element_at(shape, -1)))
 
-    inner = F.filter(shape, lambda p, k: (k > 0) & (k < F.size(shape) - 1) & (F.get(lengths, k) / whole > low) & (F.get(lengths, k) / whole < high))
-    got = F.transform(F.concat(F.array(at(low)), inner, F.array(at(high))), _rounded)
-    return F.when(start > end, F.reverse(got)).otherwise(got)
+    def part(g: Column) -> Column:
+        n, whole = g["lengths"], F.coalesce(F.nullif(F.element_at(g["lengths"], -1), F.lit(0.0)), F.lit(1.0))
+        inner = F.filter(shape, lambda p, k: (k > 0) & (k < F.size(shape) - 1) & (F.get(n, k) / whole > g["low"]) & (F.get(n, k) / whole < g["high"]))
+        return F.transform(F.concat(F.array(let(g["low"] * whole, lambda x: at(x, n))), inner, F.array(let(g["high"] * whole, lambda x: at(x, n)))), _rounded)
+
+    bound = F.struct(F.aggregate(sides(shape), F.array(F.lit(0.0)), grown).alias("lengths"), F.least(start, end).alias("low"), F.greatest(start, end).alias("high"))
+    return let(let(bound, part), lambda got: F.when(start > end, F.reverse(got)).otherwise(got))
 
 
 def joined(shapes: Column) -> Column:
     """Shapes one after another as one; a corner that repeats the one before it counts once."""
-    flat = F.flatten(shapes)
-    return F.filter(flat, lambda p, i: (i == 0) | (p != F.get(flat, i - 1)))
+    return let(F.flatten(shapes), lambda flat: F.filter(flat, lambda p, i: (i == 0) | (p != F.get(flat, i - 1))))
+
+
+def length(shape: Column) -> Column:
+    """line_length of a shape that is an expression of its own."""
+    return let(shape, line_length)
 
 
 def share(shape: Column, start: Column, end: Column) -> Column:
     """Length between two positions as a share of the whole, 1 at most; 0 for a shape without length."""
-    return F.coalesce(F.least(line_length(between(shape, start, end)) / F.nullif(line_length(shape), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return let(shape, lambda s: F.coalesce(F.least(length(between(s, start, end)) / F.nullif(line_length(s), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)))

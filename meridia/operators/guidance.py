@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE_M, sides, turn
 from ..functions.linear import cut_by_share, joined
+from ..sources.staging import cut
 from ..sources.tables import APPROXIMATE, CONNECTOR, ROUNDABOUT, STATE
 from . import graph
 
@@ -76,7 +77,7 @@ def road_runs(pieces: DataFrame, edges: DataFrame) -> DataFrame:
     key = F.when(flag(APPROXIMATE), "approximate").when(flag(ROUNDABOUT), "roundabout").when(c("name").isNotNull(), F.concat(F.lit("n"), "name")).when(c("ref").isNotNull(), F.concat(F.lit("r"), "ref")).when(c("cls") != CONNECTOR, F.concat(F.lit("c"), "cls"))
     e = edges.select("edge", "u", "v", "cls", "flags", "shape", "name", "ref", key.alias("key"), road_label(c("name"), c("ref"), flag(STATE)).alias("label"), flag(ROUNDABOUT).alias("roundabout"))
     p = pieces.join(e, "edge").withColumn("node", F.when(c("reverse"), c("u")).otherwise(c("v"))).join(graph.node_degree(edges), "node", "left")
-    p = p.withColumns({"points": cut_by_share(c("shape"), c("a"), c("b")), "exit": (c("roundabout") & (F.coalesce("degree", F.lit(0)) >= EXIT_DEGREE)).cast("int")})
+    p = cut(p.withColumns({"points": cut_by_share(c("shape"), c("a"), c("b")), "exit": (c("roundabout") & (F.coalesce("degree", F.lit(0)) >= EXIT_DEGREE)).cast("int")}))
     w = Window.partitionBy("request").orderBy("seq")
     p = p.withColumn("road", F.coalesce(F.last("key", True).over(w), F.concat(F.lit("c"), F.first("cls").over(w))))
     p = p.withColumn("new", (~c("road").eqNullSafe(F.lag("road").over(w))).cast("int")).withColumn("run", F.sum("new").over(w))
@@ -112,7 +113,7 @@ def _text(t: dict, name: str, **parts: Column) -> Column:
 
 
 def _distance(metres: Column, decimal: str) -> Column:
-    return F.when(metres >= 1000, F.concat(F.replace(F.format_number(metres / 1000, "0.0"), F.lit("."), F.lit(decimal)), F.lit(" km"))).otherwise(F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" m")))
+    return F.when(metres >= 1000, F.concat(F.replace(F.round(metres / 1000, 1).cast("decimal(20,1)").cast("string"), F.lit("."), F.lit(decimal)), F.lit(" km"))).otherwise(F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" m")))
 
 
 def steps(pieces: DataFrame, edges: DataFrame, legs: DataFrame, language: str = "es") -> DataFrame:
@@ -121,7 +122,7 @@ def steps(pieces: DataFrame, edges: DataFrame, legs: DataFrame, language: str =
     legs hold trip, leg (from 0) and request. first and last number the corners of the whole route's shape.
     """
     t = TEXTS[language]
-    runs = road_runs(pieces, edges).join(legs.select("trip", "leg", "request"), "request")
+    runs = cut(road_runs(pieces, edges)).join(legs.select("trip", "leg", "request"), "request")
     inside = F.aggregate("runs", F.lit(0), lambda acc, r: acc + F.size(r["points"]) - 1)
     w = Window.partitionBy("trip").orderBy("leg")
     runs = runs.withColumn("inside", inside).withColumns({"start": F.coalesce(F.sum("inside").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"), "legs": F.count("*").over(Window.partitionBy("trip"))})

@@ -16,9 +16,9 @@ from .traffic import JUNCTION_S, free_flow
 def _usable(edges: DataFrame, profile: str) -> DataFrame:
     """edge, u, v, metres and ms (no delays) of the edges a profile may use, with the blocks of their ends."""
     first, last = F.element_at("shape", 1), F.element_at("shape", -1)
-    e = edges.withColumn("kph", free_flow(profile, F.col("cls"), F.col("flags"))).filter("kph > 0").withColumn("metres", F.round(line_length(F.col("shape")), 3))
+    e = edges.withColumn("kph", free_flow(profile, F.col("cls"), F.col("flags"))).filter("kph > 0").withColumn("long", line_length(F.col("shape")))
     return e.select(
-        "edge", "u", "v", "metres", F.greatest(F.round(F.col("metres") / (F.col("kph") / 3.6) * 1000).cast("long"), F.lit(1)).alias("ms"), (F.col("flags").bitwiseAND(STATE) > 0).alias("state"),
+        "edge", "u", "v", F.round("long", 3).alias("metres"), F.greatest(F.round(F.col("long") / (F.col("kph") / 3.6) * 1000).cast("long"), F.lit(1)).alias("ms"), (F.col("flags").bitwiseAND(STATE) > 0).alias("state"),
         paths.block_of(first["lon"], first["lat"]).alias("ublock"), paths.block_of(last["lon"], last["lat"]).alias("vblock"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.display import distance
 from ..functions.geo import bounds, line_length
-from ..functions.linear import between, metres_at, position, share
+from ..functions.linear import between, let, metres_at, position, share
+from ..sources.staging import cut
 from . import spatial
 
 # fixed values: reach of a stored route in metres, metres of a degree in its box test, other routes offered, metres that count as arrived
@@ -42,12 +43,11 @@ def covered(requests: DataFrame, routes: DataFrame, metres: float = REACH_M) ->
     j = j.withColumn("start", position(s, F.col("lon1"), F.col("lat1"), F.lit(0.0))).withColumn("off1", metres_at(s, F.col("start"), F.col("lon1"), F.col("lat1"))).filter(F.col("off1") <= metres)
 
     def onward(acc: Column, p: Column) -> Column:
-        pos = position(s, p["lon"], p["lat"], acc["pos"])
-        return F.struct(pos.alias("pos"), (acc["ok"] & (metres_at(s, pos, p["lon"], p["lat"]) <= metres)).alias("ok"))
+        return let(position(s, p["lon"], p["lat"], acc["pos"]), lambda pos: F.struct(pos.alias("pos"), (acc["ok"] & (metres_at(s, pos, p["lon"], p["lat"]) <= metres)).alias("ok")))
 
     j = j.withColumn("reached", F.aggregate(stops, F.struct(F.col("start").alias("pos"), F.lit(True).alias("ok")), onward)).filter("reached.ok")
     j = j.withColumn("end", position(s, F.col("lon2"), F.col("lat2"), F.col("reached.pos"))).withColumn("off2", metres_at(s, F.col("end"), F.col("lon2"), F.col("lat2")))
-    return j.filter((F.col("off2") <= metres) & (F.col("end") > F.col("start"))).drop("box", "reached")
+    return cut(j.filter((F.col("off2") <= metres) & (F.col("end") > F.col("start"))).drop("box", "reached"))
 
 
 def _trimmed(start: Column, end: Column, shape: Column, steps: Column, part: Column, off: Column) -> Column:
@@ -59,11 +59,11 @@ def _trimmed(start: Column, end: Column, shape: Column, steps: Column, part: Col
         passed, short = t["first"] < start, t["last"] > end
         a, b = F.when(passed, start).otherwise(t["first"].cast("double")), F.when(short, end).otherwise(t["last"].cast("double"))
         whole = F.slice(shape, t["first"] + 1, t["last"] - t["first"] + 1)
-        k = F.when(passed | short, share(whole, a - t["first"], b - t["first"])).otherwise(1.0)
+        part_ = F.when(passed | short, share(whole, a - t["first"], b - t["first"])).otherwise(1.0)
         on = F.when(F.size(t["names"]) > 0, F.concat(F.lit("Continúe por "), F.get(t["names"], F.lit(0)), F.lit("."))).otherwise("Continúe por la ruta guardada.")
-        return F.struct(
+        return let(part_, lambda k: F.struct(
             F.when(passed, on).otherwise(t["text"]).alias("text"), (t["metres"] * k).alias("metres"), (t["seconds"] * k).alias("seconds"), F.when(passed, DEPART).otherwise(t["maneuver"]).alias("maneuver"),
-            F.when(passed, 0).otherwise(anew(t["first"])).alias("first"), F.when(short, last).otherwise(anew(t["last"])).alias("last"))
+            F.when(passed, 0).otherwise(anew(t["first"])).alias("first"), F.when(short, last).otherwise(anew(t["last"])).alias("last")))
 
     inside = F.filter(steps, lambda t: (t["maneuver"] != ARRIVE) & (F.greatest(t["first"].cast("double"), start) < F.least(t["last"].cast("double"), end)))
     own = F.element_at(F.filter(steps, lambda t: t["maneuver"] == ARRIVE), -1)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import holdings, mending, movement, network, relational
+from . import guiding, holdings, mending, movement, network, relational
 
-PARTS = (movement, holdings, network, mending, relational)
+PARTS = (movement, holdings, network, mending, guiding, relational)
 
 
 def queries():
