@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import guiding, holdings, mending, movement, network, relational
+from . import guiding, holdings, mending, movement, network, outlines, relational
 
-PARTS = (movement, holdings, network, mending, guiding, relational)
+PARTS = (movement, holdings, network, mending, guiding, outlines, relational)
 
 
 def queries():
