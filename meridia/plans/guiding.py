@@ -9,24 +9,21 @@ from ..operators import graph, guidance, legs, stored
 from ..sources.tables import EDGES_SQL, NODES_SQL, load, point, road_edges, road_nodes
 from .sqltext import great_circle
 
-K = F.col("s_suppkey")
-
-
 def requests(s, d):
     """A request per supplier from its town to a town of the same group."""
-    town = F.expr("s_suppkey div 10")
-    return load(s, d, "supplier").select(K.alias("request"), (town * 200 + K * 37 % 200).alias("start"), ((F.floor(town / 3) * 3 + K % 3) * 200 + (K * 53 + 11) % 200).alias("goal"))
+    k, town = F.col("s_suppkey"), F.expr("s_suppkey div 10")
+    return load(s, d, "supplier").select(k.alias("request"), (town * 200 + k * 37 % 200).alias("start"), ((F.floor(town / 3) * 3 + k % 3) * 200 + (k * 53 + 11) % 200).alias("goal"))
 
 
 def stops(s, d):
     """Three places on streets per supplier: edges and parts of their length."""
-    town = F.expr("s_suppkey div 10")
-    row = lambda t, a, b: (t * 200 + (K * a % 10) * 20 + K * b % 19) * 2
-    near = F.floor(town / 3) * 3 + K % 3
+    k, town = F.col("s_suppkey"), F.expr("s_suppkey div 10")
+    row = lambda t, a, b: (t * 200 + (k * a % 10) * 20 + k * b % 19) * 2
+    near = F.floor(town / 3) * 3 + k % 3
     first = row(town, 7, 13)
     return load(s, d, "supplier").select(
-        K.alias("trip"), first.alias("e0"), ((K % 7 + 1) * F.lit(0.125)).alias("p0"), F.when(K % 10 == 0, first).otherwise(row(near, 3, 11)).alias("e1"), ((K * 5 % 7 + 1) * F.lit(0.125)).alias("p1"),
-        row(near, 9, 5).alias("e2"), ((K * 3 % 7 + 1) * F.lit(0.125)).alias("p2"))
+        k.alias("trip"), first.alias("e0"), ((k % 7 + 1) * F.lit(0.125)).alias("p0"), F.when(k % 10 == 0, first).otherwise(row(near, 3, 11)).alias("e1"), ((k * 5 % 7 + 1) * F.lit(0.125)).alias("p1"),
+        row(near, 9, 5).alias("e2"), ((k * 3 % 7 + 1) * F.lit(0.125)).alias("p2"))
 
 
 def leg_list(s, d):
