@@ -38,7 +38,8 @@ def percent(share: Column) -> Column:
 
 def elapsed(seconds: Column) -> Column:
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    return F.concat_ws(":", F.greatest(two(F.floor(seconds / 3600)), F.lit("")), two(F.floor(seconds / 60) % 60), two(F.floor(seconds % 60)))
+    hours = F.floor(seconds / 3600)  # may have more digits than two
+    return F.concat_ws(":", F.when(hours < 100, two(hours)).otherwise(hours.cast("string")), two(F.floor(seconds / 60) % 60), two(F.floor(seconds % 60)))
 
 
 def since(moment: Column, now: Column) -> Column:
@@ -59,10 +60,13 @@ def cache_key(*values: Column) -> Column:
     return F.sha1(F.to_json(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])))
 
 
+# fixed value: two streets and what stands between them
+CROSSING = "(?i)^(.+?)\\s+(?:y|e|&|esq\\.?|esquina|con|interseccion|intersección)\\s+(.+)$"
+
+
 def crossing(text: Column) -> Column:
     """The two streets of a text such as "Amazonas y Colón"; null where it names no crossing."""
-    p = "(?i)^(.+?)\\s+(?:y|e|&|esq\\.?|esquina|con|interseccion|intersección)\\s+(.+)$"
-    return F.when(text.rlike(p), F.struct(F.regexp_extract(text, p, 1).alias("first"), F.regexp_extract(text, p, 2).alias("second")))
+    return F.when(text.rlike(CROSSING), F.struct(F.regexp_extract(text, CROSSING, 1).alias("first"), F.regexp_extract(text, CROSSING, 2).alias("second")))
 
 
 def address(context: Column) -> Column:

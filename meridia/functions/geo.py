@@ -222,15 +222,29 @@ DEGREES = (4326, 4674, 4190)
 
 
 def from_utm(x: Column, y: Column, code: int) -> Column:
-    """lon and lat of UTM metres, by the series of the inverse transverse Mercator projection to the third order of n."""
+    """lon and lat of UTM metres, by the series of the inverse transverse Mercator projection to the sixth order of n."""
     if code in DEGREES:
         return F.struct(x.alias("lon"), y.alias("lat"))
     zone, south = UTM[code]
     f = 1 / 298.257223563
     n = f / (2 - f)
-    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
-    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256) * 0.9996
+    beta = (
+        n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360 - 81 * n**5 / 512 + 96199 * n**6 / 604800,
+        n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440 + 46 * n**5 / 105 - 1118711 * n**6 / 3870720,
+        17 * n**3 / 480 - 37 * n**4 / 840 - 209 * n**5 / 4480 + 5569 * n**6 / 90720,
+        4397 * n**4 / 161280 - 11 * n**5 / 504 - 830251 * n**6 / 7257600,
+        4583 * n**5 / 161280 - 108847 * n**6 / 3991680,
+        20648693 * n**6 / 638668800,
+    )
+    delta = (
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45 + 26 * n**5 / 45 - 2854 * n**6 / 675,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45 + 2704 * n**5 / 315 + 2323 * n**6 / 945,
+        56 * n**3 / 15 - 136 * n**4 / 35 - 1262 * n**5 / 105 + 73814 * n**6 / 2835,
+        4279 * n**4 / 630 - 332 * n**5 / 35 - 399572 * n**6 / 14175,
+        4174 * n**5 / 315 - 144838 * n**6 / 6237,
+        601676 * n**6 / 22275,
+    )
     xi, eta = (y - (10_000_000.0 if south else 0.0)) / radius, (x - 500_000.0) / radius
     xi1, eta1 = xi, eta
     for j, b in enumerate(beta, 1):

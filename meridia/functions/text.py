@@ -65,11 +65,15 @@ def variants(word: Column) -> Column:
         lambda w: w.isNotNull())
 
 
+# fixed value: texts that stand for none
+PLACEHOLDER = "(?i)^(?:S/?N\\.?|S\\.N\\.?|N/?N|SIN NOMBRE|NINGUNO|0+|-+|\\.+|\\?+)$"
+
+
 def clean(text: Column) -> Column:
     """Trimmed text with single blanks; null for empty text and placeholders."""
     t = F.regexp_replace(F.translate(text, " ´`", " ''"), "\\s+", " ")
     t = F.regexp_replace(t, "^[ .,;:\\-\\t]+|[ .,;:\\-\\t]+$", "")
-    return F.when((t != "") & ~t.rlike("(?i)^(?:S/?N\\.?|S\\.N\\.?|N/?N|SIN NOMBRE|NINGUNO|0+|-+|\\.+|\\?+)$"), t)
+    return F.when((t != "") & ~t.rlike(PLACEHOLDER), t)
 
 
 def street_kind(kind: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +32,22 @@ def street_rollup(streets: DataFrame) -> DataFrame:
     return out.select(*key, F.round("metres", 1).alias("metres"), "west", "south", "east", "north", street_rank(F.col("kind"), F.col("metres")).alias("rank"), F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"), F.array_join("aliases", "|").alias("aliases"))
 
 
+# fixed values: patterns of what a family's name goes without: the sort of settlement before it, its stage, its sector, a
+# mark left at its end; and the side of a family within a wider one
+SORT = "(?i)^(?:cdla\\.?|ciudadela|urb\\.?|urbanizaci[oó]n|coop\\.?|cooperativa)\\s+"
+STAGE = "(?i)\\s*[-/,]?\\s*\\b(?:\\d+(?:-?[a-z])?|[ivxl]+)(?:\\s*-\\s*(?:\\d+|[ivxl]+))?\\s*(?:ra|da|ta|er|era|a|°|º)?\\.?\\s+etapa\\b.*$|\\s*[-/,]?\\s*\\betapa\\s+(?:\\d+|[ivxl]+)\\b.*$"
+SECTOR = "(?i)\\s*[-/,]\\s*(?:sector|zona|bloque)\\b.*$|\\s+(?:sector|zona|bloque)\\s+\\S+$"
+MARK = "\\s*[-/,]\\s*$"
+SIDE = "(?i)\\s+(?:central|norte|sur|este|oeste)$"
+SHORTEST = 4  # fixed value: letters that a family's name has at least
+
+
 def families(name: Column) -> Column:
-    """Names of the wider neighbourhoods that a stage or sector belongs to, nearest first."""
-    base = F.regexp_replace(F.trim(name), "(?i)^(?:cdla\\.?|ciudadela|urb\\.?|urbanizaci[oó]n|coop\\.?|cooperativa)\\s+", "")
-    stage = "(?i)\\s*[-/,]?\\s*\\b(?:\\d+(?:-?[a-z])?|[ivxl]+)(?:\\s*-\\s*(?:\\d+|[ivxl]+))?\\s*(?:ra|da|ta|er|era|a|°|º)?\\.?\\s+etapa\\b.*$|\\s*[-/,]?\\s*\\betapa\\s+(?:\\d+|[ivxl]+)\\b.*$"
-    base = F.regexp_replace(base, stage, "")
-    base = F.regexp_replace(base, "(?i)\\s*[-/,]\\s*(?:sector|zona|bloque)\\b.*$|\\s+(?:sector|zona|bloque)\\s+\\S+$", "")
-    base = F.trim(F.regexp_replace(base, "\\s*[-/,]\\s*$", ""))
-    side = F.trim(F.regexp_replace(base, "(?i)\\s+(?:central|norte|sur|este|oeste)$", ""))
-    big = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 20))
-    return F.array_distinct(F.filter(F.array(big(base), big(side)), lambda f: (F.length(fold(f)) >= 4) & (fold(f) != fold(name))))
+    """Names of the wider neighbourhoods that a stage or sector belongs to, nearest first; the name itself is none."""
+    without = lambda text, *patterns: reduce(lambda t, p: F.trim(F.regexp_replace(t, p, "")), patterns, F.trim(text))
+    own = F.struct(fold(name).alias("key"))
+    wide = F.transform(F.array(without(name, SORT, STAGE, SECTOR, MARK), without(name, SORT, STAGE, SECTOR, MARK, SIDE)), lambda f: F.struct(fold(f).alias("key"), F.concat(F.upper(F.left(f, F.lit(1))), F.substring(f, 2, 1 << 20)).alias("name")))
+    return F.array_distinct(F.filter(wide, lambda f: (F.length(f["key"]) >= SHORTEST) & (f["key"] != own["key"]))["name"])
 
 
 def neighbourhood_groups(entries: DataFrame) -> DataFrame:

@@ -88,20 +88,26 @@ def poi_class(name: Column, category: Column) -> Column:
     return first_rule(by_name + by_category, poi("building", "landmark", 24))
 
 
+# fixed values: states in which an establishment is open, words of those that are no place, and words of names with class, subclass and rank; in this order
+HEALTH_OPEN = ("ACTIVADO", "ACTIVO", "HABILITADO")
+HEALTH_SKIP = "AMBULANCIA|UNIDAD MOVIL|VEHICULO|TRANSPORTE PRIMARIO|ATENCION DOMICILIARIA"
+HEALTH_RULES = (
+    (("hospital",), ("hospital", "hospital", 8)),
+    (("centro de salud", "puesto de salud", "centro de especialidades"), ("hospital", "clinic", 14)),
+    (("laboratorio", "radiologia", "diagnostico", "banco de sangre"), ("hospital", "health_lab", 24)),
+    (("consultorio", "optometria", "podologia"), ("hospital", "doctor", 26)),
+)
+HEALTH_OTHER = ("hospital", "clinic", 20)
+
+
 def health_class(typology: Column, state: Column) -> Column:
     """class, subclass and rank of a health establishment; null for vehicles, visits and those that are closed."""
     t = F.coalesce(clean(typology), F.lit(""))
     key = fold(t)
-    open_ = F.upper(F.coalesce(clean(state), F.lit("ACTIVADO"))).isin("ACTIVADO", "ACTIVO", "HABILITADO")
-    skip = F.upper(key).rlike("AMBULANCIA|UNIDAD MOVIL|VEHICULO|TRANSPORTE PRIMARIO|ATENCION DOMICILIARIA")
-    has = lambda *xs: reduce(Column.__or__, [key.contains(x) for x in xs])
-    rules = [
-        (has("hospital"), poi("hospital", "hospital", 8)),
-        (has("centro de salud", "puesto de salud", "centro de especialidades"), poi("hospital", "clinic", 14)),
-        (has("laboratorio", "radiologia", "diagnostico", "banco de sangre"), poi("hospital", "health_lab", 24)),
-        (has("consultorio", "optometria", "podologia"), poi("hospital", "doctor", 26)),
-    ]
-    return F.when(open_ & ~skip, first_rule(rules, poi("hospital", "clinic", 20)))
+    open_ = F.upper(F.coalesce(clean(state), F.lit(HEALTH_OPEN[0]))).isin(*HEALTH_OPEN)
+    skip = F.upper(key).rlike(HEALTH_SKIP)
+    rules = [(reduce(Column.__or__, [key.contains(w) for w in words]), poi(*of)) for words, of in HEALTH_RULES]
+    return F.when(open_ & ~skip, first_rule(rules, poi(*HEALTH_OTHER)))
 
 
 def area_class(kind: Column, people: Column) -> Column:

@@ -90,8 +90,8 @@ def test_display(spark):
     one = spark.createDataFrame([(850.0, 2500.0, 12345.0)], "a double, b double, c double")
     d, t, z = display.distance, display.duration, display.size
     lit = F.lit
-    got = one.select(d(F.col("a")), d(F.col("b")), d(F.col("c")), t(lit(20.0)), t(lit(3900.0)), t(lit(7200.0)), z(lit(999)), z(lit(791_000)), z(lit(4_200_000)), z(lit(185_000_000)), z(lit(1_300_000_000)), display.percent(lit(0.679)), display.elapsed(lit(750))).collect()[0]
-    assert list(got) == ["850 m", "2,5 km", "12 km", "1 min", "1 h 05 min", "2 h", "999 B", "791 KB", "4,2 MB", "185 MB", "1,3 GB", "67 %", "00:12:30"]
+    got = one.select(d(F.col("a")), d(F.col("b")), d(F.col("c")), t(lit(20.0)), t(lit(3900.0)), t(lit(7200.0)), z(lit(999)), z(lit(791_000)), z(lit(4_200_000)), z(lit(185_000_000)), z(lit(1_300_000_000)), display.percent(lit(0.679)), display.elapsed(lit(750)), display.elapsed(lit(360_061))).collect()[0]
+    assert list(got) == ["850 m", "2,5 km", "12 km", "1 min", "1 h 05 min", "2 h", "999 B", "791 KB", "4,2 MB", "185 MB", "1,3 GB", "67 %", "00:12:30", "100:01:01"]
     now = lit("2024-01-31 12:00:00").cast("timestamp")
     ago = lambda s: display.since(now - F.expr(f"interval {s} seconds"), now)
     assert list(one.select(ago(5), ago(200), ago(7300), ago(200000)).collect()[0]) == ["hace 5 s", "hace 3 min", "hace 2 h", "29/01/2024 04:26"]
