@@ -1,11 +1,11 @@
-"""Queries over drawn shapes: merged lines, validity of polygons."""
+"""Queries over drawn shapes and pictures: merged lines, validity of polygons, holes of rasters, colours."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import merge, validity
+from ..operators import merge, stencil, validity
 from ..sources.tables import EDGES_SQL, load, point, road_edges
 from .sqltext import great_circle
 
@@ -36,10 +36,33 @@ def streets(s, d):
     return road_edges(s, d).select(F.col("edge").alias("line"), geo.tile_x(first["lon"], F.lit(13)).alias("x"), geo.tile_y(first["lat"], F.lit(13)).alias("y"), "name", "cls", "flags", "shape")
 
 
+def masks(s, d):
+    """Tiles of 8 by 8 cells out of vectors, sixteen side by side: a cell has data where its component is small."""
+    bits = F.transform("embedding", lambda x: F.when(x < 0.06, "01").otherwise("00"))
+    v = F.col("vec_id")
+    return load(s, d, "embeddings").select((v % 16).alias("tx"), F.expr("vec_id div 16").alias("ty"), F.unhex(F.array_join(bits, "")).alias("mask"))
+
+
+def holes(s, d):
+    """Cells of small holes, in the picture's own numbers."""
+    h = stencil.small_holes(masks(s, d), 8, 1).select("tx", "ty", F.hex("holes").alias("h"))
+    h = h.select("tx", "ty", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"), "h").filter(F.substring(F.col("h"), F.col("i") * 2 + 2, F.lit(1)) == "1")
+    return h.select((F.col("tx") * 8 + F.col("i") % 8).alias("x"), (F.col("ty") * 8 + F.floor(F.col("i") / 8)).alias("y"))
+
+
+def colours(s, d):
+    k = F.col("l_orderkey")
+    raw = lambda a, m: (F.floor(F.col("l_extendedprice")).cast("long") * a % m).cast("double")
+    c = load(s, d, "lineitem").select(k.alias("row"), "l_linenumber", stencil.natural_colour(raw(1, 4001), raw(3, 3001), raw(7, 11)).alias("c"))
+    return c.select("row", F.col("l_linenumber").alias("line"), "c.r", "c.g", "c.b", "c.valid")
+
+
 def queries():
     return {
         "merged_streets": lambda s, d: merge.merged_lines(streets(s, d), ["x", "y", "name", "cls", "flags"]).select("line", "lines", "metres"),
         "fence_validity": lambda s, d: validity.validity(fences(s, d)).fillna("", ["reason"]),
+        "raster_holes": holes,
+        "natural_colours": colours,
     }
 
 
@@ -47,7 +70,16 @@ def oracle_sql():
     length = f"list_sum(list_transform(range(1, len(shape)), lambda i: {great_circle('shape[i].lon', 'shape[i].lat', 'shape[i + 1].lon', 'shape[i + 1].lat')}))"
     tile = "cast(floor((shape[1].lon + 180) / 360 * 8192) as bigint) as x, cast(floor((1 - asinh(tan(radians(shape[1].lat))) / pi()) / 2 * 8192) as bigint) as y"
     why = " ".join(f"when {k} then '{v}'" for k, v in FAULTS.items())
+    light = lambda v: f"pow(least(greatest({v} / 10000e0 * 3e0, 0e0), 1e0), 1e0 / 1.7e0)"
+    byte = lambda c: f"cast(case when r0 <> 0 or g0 <> 0 or b0 <> 0 then round_even(least(greatest(luma + ({c} - luma) * 1.35e0, 0e0), 1e0) * 255, 0) else 0 end as int)"
     return {
+        "raster_holes": """with p as (select vec_id % 16 * 8 + (i - 1) % 8 as x, vec_id // 16 * 8 + (i - 1) // 8 as y, embedding[i] < 0.06::double as v from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings)),
+          n as (select dx, dy from (select unnest([-1, 0, 1]) as dx), (select unnest([-1, 0, 1]) as dy)),
+          g as (select p.x, p.y, p.v, bool_or(q.v) as grown from p join n on true join p q on q.x = p.x + dx and q.y = p.y + dy group by all), c as (select g.x, g.y, g.v, bool_and(h.grown) as closed from g join n on true join g h on h.x = g.x + dx and h.y = g.y + dy group by all)
+          select x, y from c where closed and not v""",
+        "natural_colours": f"""with a as (select l_orderkey as row, l_linenumber as line, cast(cast(floor(l_extendedprice) as bigint) % 4001 as double) as r0, cast(cast(floor(l_extendedprice) as bigint) * 3 % 3001 as double) as g0, cast(cast(floor(l_extendedprice) as bigint) * 7 % 11 as double) as b0 from lineitem),
+          b as (select *, {light('r0')} as r1, {light('g0')} as g1, {light('b0')} as b1 from a), c as (select *, 0.2126e0 * r1 + 0.7152e0 * g1 + 0.0722e0 * b1 as luma from b)
+          select row, line, {byte('r1')} as r, {byte('g1')} as g, {byte('b1')} as b, r0 <> 0 or g0 <> 0 or b0 <> 0 as valid from c""",
         "merged_streets": f"""with recursive e as ({EDGES_SQL}), l as (select edge as line, u, v, name, cls, flags, {tile}, {length} as metres from e),
           t as (select line, u as node, x, y, name, cls, flags from l union all select line, v, x, y, name, cls, flags from l),
           j as (select node, x, y, name, cls, flags, min(line) as a, max(line) as b from t group by all having count(*) = 2 and min(line) < max(line)), k as (select a, b from j union all select b, a from j),
