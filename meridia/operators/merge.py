@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import line_length
+from ..functions.geo import bounds, in_polygon, line_length, ring_area, sides
 from ..functions.linear import joined
 from ..sources.staging import cut, forgotten
+from . import spatial
 from .graph import stars
 
 
@@ -65,3 +68,75 @@ def merged_lines(lines: DataFrame, kind: list[str]) -> DataFrame:
     got = c.groupBy("chain").agg(F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("pos", "s")))["s"].alias("s"))  # one chain's lines
     got = got.select(F.col("chain").alias("line"), "lines", joined(F.col("s")).alias("shape"))
     return got.join(lines.select("line", *kind), "line").select("line", *kind, "lines", F.round(line_length(F.col("shape")), 2).alias("metres"), "shape")
+
+
+SNAP = 7  # digits that corners of outlines are rounded to
+ASIDE = 2e-7  # degrees beside a side at which its other side is looked at
+
+
+def _directed(areas: DataFrame) -> DataFrame:
+    """area, kind, side and its ends x1, y1, x2, y2, the inside to the left: shells run counter-clockwise, holes clockwise."""
+    ring = areas.select("area", "kind", F.posexplode("rings").alias("r", "ring"))
+    snap = lambda v: F.round(v.cast("decimal(20,10)"), SNAP).cast("double")
+    ring = ring.withColumn("ring", F.transform("ring", lambda p: F.struct(snap(p["lon"]).alias("lon"), snap(p["lat"]).alias("lat"))))
+    right = (ring_area(F.col("ring")) > 0) == (F.col("r") == 0)
+    ring = ring.withColumn("ring", F.when(right, F.col("ring")).otherwise(F.reverse("ring")))
+    s = ring.select("area", "kind", F.explode(sides(F.col("ring"))).alias("s")).select("area", "kind", F.col("s.a.lon").alias("x1"), F.col("s.a.lat").alias("y1"), F.col("s.b.lon").alias("x2"), F.col("s.b.lat").alias("y2"))
+    return s.filter("x1 <> x2 or y1 <> y2").withColumn("side", F.monotonically_increasing_id())
+
+
+def _celled(s: DataFrame, degrees: float) -> DataFrame:
+    """A row per cell that a side's box touches."""
+    at = lambda a, b: F.sequence(F.floor(F.least(a, b) / degrees), F.floor(F.greatest(a, b) / degrees))
+    return s.withColumn("cx", F.explode(at("x1", "x2"))).withColumn("cy", F.explode(at("y1", "y2")))
+
+
+def _cuts(s: DataFrame, degrees: float) -> DataFrame:
+    """side, t: where sides of other areas of the kind cross, touch or run along a side, as a part of its length."""
+    c = _celled(s, degrees)
+    a = c.select("kind", "cx", "cy", "side", "area", "x1", "y1", "x2", "y2")
+    b = c.select("kind", "cx", "cy", *[F.col(n).alias(f"o{n}") for n in ("side", "area", "x1", "y1", "x2", "y2")])
+    p = a.join(b, ["kind", "cx", "cy"]).filter("area <> oarea").drop("cx", "cy", "kind").distinct()
+    v = F.col
+    dx, dy, ex, ey = v("x2") - v("x1"), v("y2") - v("y1"), v("ox2") - v("ox1"), v("oy2") - v("oy1")
+    cross = dx * ey - dy * ex
+    t, u = ((v("ox1") - v("x1")) * ey - (v("oy1") - v("y1")) * ex) / F.nullif(cross, F.lit(0.0)), ((v("ox1") - v("x1")) * dy - (v("oy1") - v("y1")) * dx) / F.nullif(cross, F.lit(0.0))
+    on_line = (cross == 0) & (((v("ox1") - v("x1")) * dy - (v("oy1") - v("y1")) * dx) == 0)
+    along = lambda x, y: ((v(x) - v("x1")) * dx + (v(y) - v("y1")) * dy) / (dx * dx + dy * dy)
+    ts = F.when(on_line, F.array(along("ox1", "oy1"), along("ox2", "oy2"))).when(u.between(-1e-12, 1 + 1e-12), F.array(t))
+    return p.select("side", F.explode(ts).alias("t")).filter("t > 1e-12 and t < 1 - 1e-12")
+
+
+def outlines(areas: DataFrame, degrees: float = 0.01) -> DataFrame:
+    """kind, ring, area, corners, shape: the outline of all areas (area, kind, rings) of a kind together.
+
+    Sides are cut where others of the kind meet them. A piece stays where no other area lies on its outer side; of
+    equal pieces one stays, so shared sides cancel. Pieces are strung to rings, at a corner with several the one
+    farthest to the left, so that areas which touch in a corner keep rings of their own. Rings of positive area (square
+    degrees) are shells, of negative area holes. Corners are rounded to seven digits; a gap narrower than ASIDE
+    closes. Sides are compared within cells of `degrees`, never all with all.
+    """
+    s = cut(_directed(areas))
+    parts = s.join(_cuts(s, degrees).groupBy("side").agg(F.array_sort(F.array_distinct(F.collect_list("t"))).alias("ts")), "side", "left")  # what meets one side
+    t = F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(1.0)))
+    snap = lambda v: F.round(v.cast("decimal(20,10)"), SNAP).cast("double")
+    at = lambda k, f: F.when(f == 0, F.col(f"{k}1")).when(f == 1, F.col(f"{k}2")).otherwise(snap(F.col(f"{k}1") + (F.col(f"{k}2") - F.col(f"{k}1")) * f))
+    pts = F.transform(t, lambda f: F.struct(at("x", f).alias("lon"), at("y", f).alias("lat")))
+    e = parts.select("kind", "area", F.explode(sides(pts)).alias("s")).select("kind", "area", F.col("s.a.lon").alias("x1"), F.col("s.a.lat").alias("y1"), F.col("s.b.lon").alias("x2"), F.col("s.b.lat").alias("y2")).filter("x1 <> x2 or y1 <> y2")
+    e = cut(e.withColumn("piece", F.monotonically_increasing_id()))
+    long_ = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    beside = e.select("piece", F.col("kind").alias("of"), F.col("area").alias("own"), ((F.col("x1") + F.col("x2")) / 2 + (F.col("y2") - F.col("y1")) / long_ * ASIDE).alias("lon"), ((F.col("y1") + F.col("y2")) / 2 - (F.col("x2") - F.col("x1")) / long_ * ASIDE).alias("lat"))
+    boxes = areas.withColumn("b", bounds(F.get(F.col("rings"), F.lit(0)))).select("area", "kind", "rings", *[F.col(f"b.{x}").alias(x) for x in spatial.BOX])
+    covered = spatial.cell_join(beside, boxes).filter("kind = of and area <> own").filter(in_polygon(F.col("lon"), F.col("lat"), F.col("rings"))).select("piece").distinct()
+    left = e.join(covered, "piece", "left_anti").groupBy("kind", "x1", "y1", "x2", "y2").agg(F.min("piece").alias("piece"))
+    left = cut(left.withColumn("b", F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))))
+    nxt = left.select("kind", F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("piece").alias("next"), F.col("b").alias("nb"))
+    turned = F.pmod(F.col("nb") - F.col("b") + math.pi, F.lit(2 * math.pi))  # the way back is 0, straight on is pi, to the left is more
+    j = cut(left.join(nxt, ["kind", "x2", "y2"]).groupBy("piece").agg(F.max_by("next", F.struct(turned, -F.col("next"))).alias("next")))
+    ring = cut(left.select(F.col("piece").alias("node")).join(stars(j.select(F.col("piece").alias("u"), F.col("next").alias("v"))), "node", "left").select(F.col("node").alias("piece"), F.coalesce("root", "node").alias("ring")))
+    # a ring begins with its least piece: the pointer to that one is cut
+    chain = j.join(ring, "piece").select(F.col("piece").alias("h"), F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"))
+    rank = ranked(left.select(F.col("piece").alias("h")).join(chain, "h", "left"))
+    got = rank.withColumnRenamed("h", "piece").join(ring, "piece").join(left, "piece").groupBy("kind", "ring").agg(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("o"), F.struct(F.col("x1").alias("lon"), F.col("y1").alias("lat")).alias("p"))))["p"].alias("p"))  # one ring
+    shape = F.concat("p", F.slice("p", 1, 1))
+    return got.select("kind", "ring", shape.alias("shape")).select("kind", "ring", ring_area(F.col("shape")).alias("area"), (F.size("shape") - 1).alias("corners"), "shape")

@@ -36,6 +36,14 @@ def streets(s, d):
     return road_edges(s, d).select(F.col("edge").alias("line"), geo.tile_x(first["lon"], F.lit(13)).alias("x"), geo.tile_y(first["lat"], F.lit(13)).alias("y"), "name", "cls", "flags", "shape")
 
 
+def plots(s, d):
+    """A rectangle per customer, some thirty of a kind, on a grid of 1,024ths of a degree."""
+    k = F.col("c_custkey")
+    x, y, w, h = (k * 37 % 40), (F.expr("c_custkey div 3") * 53 % 40), (k % 7 + 1), (k % 5 + 1)
+    at = lambda a, b: point(a / 1024, b / 1024)
+    return load(s, d, "customer").select(k.alias("area"), F.expr("c_custkey div 30").alias("kind"), F.array(F.array(at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h), at(x, y))).alias("rings"))
+
+
 def masks(s, d):
     """Tiles of 8 by 8 cells out of vectors, sixteen side by side: a cell has data where its component is small."""
     bits = F.transform("embedding", lambda x: F.when(x < 0.06, "01").otherwise("00"))
@@ -61,6 +69,7 @@ def queries():
     return {
         "merged_streets": lambda s, d: merge.merged_lines(streets(s, d), ["x", "y", "name", "cls", "flags"]).select("line", "lines", "metres"),
         "fence_validity": lambda s, d: validity.validity(fences(s, d)).fillna("", ["reason"]),
+        "merged_areas": lambda s, d: merge.outlines(plots(s, d)).groupBy("kind").agg(F.round(F.sum("area") * 1024 * 1024, 2).alias("cells")),
         "raster_holes": holes,
         "natural_colours": colours,
     }
@@ -73,6 +82,7 @@ def oracle_sql():
     light = lambda v: f"pow(least(greatest({v} / 10000e0 * 3e0, 0e0), 1e0), 1e0 / 1.7e0)"
     byte = lambda c: f"cast(case when r0 <> 0 or g0 <> 0 or b0 <> 0 then round_even(least(greatest(luma + ({c} - luma) * 1.35e0, 0e0), 1e0) * 255, 0) else 0 end as int)"
     return {
+        "merged_areas": "with r as (select c_custkey // 30 as kind, c_custkey * 37 % 40 as x, c_custkey // 3 * 53 % 40 as y, c_custkey % 7 + 1 as w, c_custkey % 5 + 1 as h from customer), c as (select distinct kind, x + i as x, y + j as y from r, lateral (select unnest(range(w)) as i) a, lateral (select unnest(range(h)) as j) b) select kind, round(cast(count(*) as double), 2) as cells from c group by kind",
         "raster_holes": """with p as (select vec_id % 16 * 8 + (i - 1) % 8 as x, vec_id // 16 * 8 + (i - 1) // 8 as y, embedding[i] < 0.06::double as v from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings)),
           n as (select dx, dy from (select unnest([-1, 0, 1]) as dx), (select unnest([-1, 0, 1]) as dy)),
           g as (select p.x, p.y, p.v, bool_or(q.v) as grown from p join n on true join p q on q.x = p.x + dx and q.y = p.y + dy group by all), c as (select g.x, g.y, g.v, bool_and(h.grown) as closed from g join n on true join g h on h.x = g.x + dx and h.y = g.y + dy group by all)

@@ -213,3 +213,43 @@ def test_validity_on_edges(spark):
     ring = spark.createDataFrame([([(0.0, 0.0), (0.0, 0.0), (1.0, 0.0), (1.0, 1.0)],), ([(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)],)], f"r {LINE}")
     a, b = (r[0] for r in ring.select(validity.cleaned(F.col("r"))).collect())
     assert [tuple(q) for q in a] == [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)] and b is None
+
+
+def test_outlines(spark):
+    box = lambda i, k, x, y, w, h: (i, k, [[(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]])
+    rows = [box(1, "over", 0.0, 0.0, 2.0, 2.0), box(2, "over", 1.0, 1.0, 2.0, 2.0), box(3, "side", 0.0, 0.0, 1.0, 1.0), box(4, "side", 1.0, 0.0, 1.0, 1.0), box(5, "corner", 0.0, 0.0, 1.0, 1.0), box(6, "corner", 1.0, 1.0, 1.0, 1.0)]
+    rows += [box(7, "same", 0.0, 0.0, 1.0, 1.0), box(8, "same", 0.0, 0.0, 1.0, 1.0), box(9, "in", 0.0, 0.0, 4.0, 4.0), box(10, "in", 1.0, 1.0, 1.0, 1.0)]
+    rows += [box(11, "ring", 0.0, 0.0, 3.0, 1.0), box(12, "ring", 0.0, 2.0, 3.0, 1.0), box(13, "ring", 0.0, 0.0, 1.0, 3.0), box(14, "ring", 2.0, 0.0, 1.0, 3.0)]
+    rows += [(15, "hole", [[(0.0, 0.0), (0.0, 3.0), (3.0, 3.0), (3.0, 0.0), (0.0, 0.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0)]]), (16, "hole", [[(1.25, 1.25), (1.75, 1.25), (1.5, 4.0), (1.25, 1.25)]])]
+    got = {}
+    for r in merge.outlines(spark.createDataFrame(rows, f"area long, kind string, rings array<{LINE}>"), 1.0).collect():
+        assert r["shape"][0] == r["shape"][-1]
+        got.setdefault(r["kind"], []).append(round(r["area"], 5))
+    assert {k: sorted(v) for k, v in got.items() if k != "hole"} == {"over": [7.0], "side": [2.0], "corner": [1.0, 1.0], "same": [1.0], "in": [16.0], "ring": [-1.0, 9.0]}
+    # the square with a hole, and a wedge that begins in the hole and leaves by the upper side
+    assert sum(got["hole"]) == pytest.approx(8 + wedge_outside(), abs=1e-4)
+
+
+def wedge_outside():
+    """Area of the wedge below 2 and above 3, which the square with its hole does not have."""
+    width = lambda y: 0.5 * (4.0 - y) / 2.75
+    return (width(1.25) + width(2.0)) / 2 * 0.75 + width(3.0) / 2
+
+
+def test_rims_and_holes(spark):
+    import numpy as np
+
+    from meridia.operators import stencil
+
+    rng = np.random.default_rng(2)
+    whole = (rng.random((24, 32)) < 0.6).astype(np.uint8)
+    for radius in (0, 1, 2):
+        tiles = [(x, y, whole[y * 8 : y * 8 + 8, x * 8 : x * 8 + 8].tobytes()) for y in range(3) for x in range(4)]
+        got = np.zeros_like(whole)
+        for r in stencil.small_holes(spark.createDataFrame(tiles, "tx long, ty long, mask binary"), 8, radius).collect():
+            got[r["ty"] * 8 : r["ty"] * 8 + 8, r["tx"] * 8 : r["tx"] * 8 + 8] = np.frombuffer(bytes(r["holes"]), np.uint8).reshape(8, 8)
+        n, m = whole.shape
+        near = lambda a, y, x: a[max(0, y - radius) : y + radius + 1, max(0, x - radius) : x + radius + 1]
+        grown = np.array([[near(whole, y, x).any() for x in range(m)] for y in range(n)])
+        want = np.array([[near(grown, y, x).all() and not whole[y, x] for x in range(m)] for y in range(n)])
+        assert (got == want).all()
