@@ -17,7 +17,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CONTEXT = re.compile(r"auth|bearer|credential|private|access|secret|token|passw|passphrase|pwd|key|signature|salt|cookie|session", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}", re.A)
+SHORT, PLAIN = 12, 16  # characters of a string, and of one that has no digit and letters of one case only, as made-up words have
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{%d,}" % SHORT, re.A)
 TRIM = "._-=~/"
 REACH = 200  # characters before a string in which its context may stand, on its own line or the line before
 NAMES = 4096  # identifiers in the dictionary at most, the most frequent first
@@ -27,8 +28,9 @@ def identifiers(docs: DataFrame, most: int = NAMES) -> bytes:
     """The words and identifiers that stand most often in docs, as a compression dictionary; `most` words come to the driver.
 
     All rows are counted, by partial aggregates. The most frequent stand last, where a compressor reaches them cheapest.
+    Long words with digits are no names: a key that copies of a text share must not prime the compressor.
     """
-    w = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z0-9_]+")).alias("w")).filter("length(w) between 4 and 40")
+    w = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z0-9_]+")).alias("w")).filter(f"length(w) between 4 and 40 and not (length(w) >= {SHORT} and w rlike '[0-9]')")
     top = w.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()
     return " ".join(r["w"] for r in reversed(top)).encode()
 
@@ -48,10 +50,12 @@ class Novelty:
 
 
 def novel(text: str, novelty: Novelty, least: float, around: int) -> list[tuple[int, int]]:
-    """Strings of 16 characters or more with letters and digits, in a sensitive context, that the compressor can't shorten.
+    """Strings of SHORT characters or more with a letter, in a sensitive context, that the compressor can't shorten.
 
-    Every string of a text is looked at, whatever stands beside it. Its context is a sensitive word in the REACH
-    characters before it, on its line or the line before, outside the string itself. Parts of web and mail addresses do not count.
+    Every string of a text is looked at, whatever stands beside it; copies of it in its surroundings are blanked before
+    they are measured against. A string of one case without a digit must have PLAIN characters. Its context is a
+    sensitive word in the REACH characters before it, on its line or the line before, outside the string itself. Parts
+    of web and mail addresses do not count.
     """
     found, words = [], None
     for m in CANDIDATE.finditer(text):
@@ -61,16 +65,18 @@ def novel(text: str, novelty: Novelty, least: float, around: int) -> list[tuple[
         while s < e and text[s] in TRIM:
             s += 1
         part = text[s:e]
-        if e - s < 16 or text[max(0, s - 3) : s].endswith(("://", ":/", "@")) or "//" in part or part.startswith("www."):
+        if e - s < SHORT or text[max(0, s - 3) : s].endswith(("://", ":/", "@")) or "//" in part or part.startswith("www."):
             continue
-        if not any(c.isdigit() for c in part) or not any(c.isalpha() for c in part):
+        if not any(c.isalpha() for c in part):
+            continue
+        if e - s < PLAIN and not any(c.isdigit() for c in part) and (part.islower() or part.isupper()):
             continue
         if words is None:
             words = [w.end() for w in CONTEXT.finditer(text)]
         k = bisect_right(words, s)
         if not k or words[k - 1] < s - REACH or text.count("\n", words[k - 1], s) > 1:
             continue
-        if novelty(text[max(0, s - around) : s] + text[e : e + around], part) >= least:
+        if novelty((text[max(0, s - around) : s] + " " + text[e : e + around]).replace(part, " "), part) >= least:
             found.append((s, e))
     return found
 

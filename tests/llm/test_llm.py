@@ -55,9 +55,14 @@ def test_tokens(docs, none):
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = ["A.b, don't.. stop_. x1. É,\tü\nz ,. <|endoftext|>. á.", "", LONG]
-    enc = tokens.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    for x, y in zip(texts, enc.encode(texts)):
-        assert y.tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
+    rng = random.Random(7)
+    signs = "aZé ñ.,'\u3000\x0b\x1c\u00a0\x85<|>_9😀\t\n\r\x00" + "the of and "
+    texts += ["".join(rng.choice(("<|endoftext|>", *signs)) for _ in range(rng.randrange(24))) for _ in range(20_000)]
+    ids, counts = tokens.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json")).encode(pa.array(texts))
+    assert len(counts) == len(texts)
+    want = t.encode_batch(texts, add_special_tokens=False)
+    for x, got, w in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), want):
+        assert got.tolist() == [*w.ids, 1], repr(x)
     start = 0
     got = sorted(tokens.token_table(docs).collect(), key=lambda r: r["start"])
     for r, (i, x, *_) in zip(got, sorted(ROWS, key=lambda r: r[0])):
@@ -82,6 +87,17 @@ def test_decontamination(spark, none):
     assert decontam.contamination(none, bench).count() == 0
 
 
+def test_secrets_repeated_short_and_without_digits(spark):
+    """A key that stands twice is found twice; letters alone and short strings are measured; made-up words are not new."""
+    key, letters, short = "q7Zr2Kx9Vb4Mn8Tw1Ly6Pd3Hs5Gf0Jc", "QzXvKjWqPbZgHxYdRkMfTcLnVsBwJpGh", "Zq7xK2vR9bW4mT1"
+    prose = "the usual words of a text stand here and there, as they do in every other text of this kind"
+    rows = [(1, f"the access key is {key} and once more {key} for the service"), (2, f"store the private key {letters} with care"), (3, f"session cookie {short} here"), (4, f"the secret of internationalization and a key undeinlicheintz here: {prose}"), (5, f"{key} stands far from any such word: {prose}")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = lambda i, x: [f"novel:{m.start()}:{m.end()}" for m in re.finditer(x, rows[i - 1][1])]
+    assert got == {1: ",".join(at(1, key)), 2: at(2, letters)[0], 3: at(3, short)[0], 4: "", 5: ""}
+    assert len(at(1, key)) == 2
+
+
 def test_secrets(spark, none):
     t = "é password = 'abcdefgh1' AKIAABCDEFGHIJKL " + "0a" * 16 + " token: short"
     r = secrets.secret_table(spark.createDataFrame([(1, t)], "doc_id long, text string")).collect()[0]
