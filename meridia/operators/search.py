@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import DEGREE_M
+from ..functions.geo import DEGREE_M, haversine
 from ..functions.text import SOFT_WORDS, fold, fold_world, meaningful, tokens, variants
 from ..sources.staging import cut
 from . import spatial
@@ -145,3 +145,31 @@ def reverse(points: DataFrame, entries: DataFrame, edges: DataFrame, key: str) -
     kind = F.when(F.col("poi").isNotNull(), "poi").when(F.col("road").isNotNull(), "street").when(F.col("place").isNotNull(), "place")
     named = got.select("lon", "lat", kind.alias("kind"), F.coalesce("name", "road").alias("name"), "road")
     return points.select(key, "lon", "lat").join(named, ["lon", "lat"], "left").select(key, "kind", "name", "road")
+
+
+# fixed values: two results of one name nearer than this are one place; how near to the map's middle a place comes first; types of places
+SAME_M, PREFERRED_M = 25_000.0, 1_500_000.0
+PLACE_TYPES = ("capital", "city", "town", "state", "county", "administrative")
+
+
+def merged(detailed: DataFrame, world: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
+    """query, place, source, id, part: two rankings as one, in four parts.
+
+    detailed holds query, place, id, name, type, lon, lat; world the same with important; queries query, lon, lat (null
+    where the map shows nothing). Part 0: the places that lead the detailed ranking, up to the first that is no place
+    or lies too far from the map's middle; 1: important places of the world; 2: the rest of the detailed ranking; 3: the
+    rest of the world. Of results of one name that lie close together the first stays, `most` are kept.
+    """
+    at = queries.select("query", F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
+    first = Window.partitionBy("query").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = F.coalesce(F.col("type").isin(*PLACE_TYPES) & (haversine(F.col("lon"), F.col("lat"), F.col("qlon"), F.col("qlat")) <= PREFERRED_M), F.lit(False))
+    d = detailed.join(at, "query", "left").withColumn("part", F.when(F.min(fits.cast("int")).over(first) == 1, 0).otherwise(2))
+    cols = [F.col(c) for c in ("query", "place", "id", "name", "lon", "lat", "part")]
+    both = d.select(*cols, F.lit("detailed").alias("source")).unionByName(world.withColumn("part", F.when(F.col("important"), 1).otherwise(3)).select(*cols, F.lit("world").alias("source")))
+    both = both.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("part", "place", "id"))).withColumn("key", fold_world(F.col("name")))
+    hits = both.groupBy("query", "key").agg(F.array_sort(F.collect_list(F.struct("n", "lon", "lat"))).alias("h"))  # results of one name
+    none = F.array().cast("array<struct<n:int,lon:double,lat:double>>")
+    kept = F.aggregate("h", none, lambda k, x: F.when(F.exists(k, lambda o: haversine(o["lon"], o["lat"], x["lon"], x["lat"]) < SAME_M), k).otherwise(F.concat(k, F.array(x))))
+    left = both.join(hits.select("query", F.explode(F.transform(kept, lambda x: x["n"])).alias("n")), ["query", "n"])
+    ranked = left.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("n"))).filter(F.col("place") <= most)
+    return ranked.select("query", "place", "source", "id", "part")

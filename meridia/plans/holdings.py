@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import places, spatial, sync, tracks
+from ..streaming import queue as retry
 from ..sources.tables import AS_OF, FAVOURITES_SQL, FENCES_SQL, HELD_SQL, OPERATIONS_SQL, PLACES_SQL, POINTS_SQL, REGIONS_SQL, ROUTES_SQL, TOMBSTONES_SQL, favourites, geofences, held_versions, load, operations, regions, routes, tombstones, trip_points
 from ..sources import tables
 from .sqltext import DEG, great_circle
@@ -46,6 +47,13 @@ def queue(s, d):
 QUEUE_SQL = f"select user_id, event_id, created_at, operation_id, created_at + to_hours(event_id % 48) as ready_at, case when event_id % 5 = 0 then 'COMPLETED' when event_id % 7 = 0 then 'FAILED' else 'PENDING' end as status, repeat(operation_id, event_id % 9) as payload from ({OPERATIONS_SQL})"
 
 
+def sends(s, d):
+    """What became of the operations in the queue of each account: begun, failed for the n-th time, done."""
+    e = F.col("event_id")
+    kind = F.when(e % 5 < 2, "new").when(e % 35 == 4, "done").otherwise("failed")
+    return load(s, d, "events").select(F.col("user_id").alias("account"), F.concat(F.lit("op"), e % 11).alias("op"), kind.alias("event"), F.when(kind == "failed", (e % 9 + 1).cast("int")).alias("attempt"), F.col("ts").cast("timestamp").alias("at"))
+
+
 def queries():
     pl, fv = places.search_places, favourites
     found = lambda s, d, **k: pl(tables.places(s, d), fv(s, d), USER, **k)
@@ -74,6 +82,7 @@ def queries():
         "queue_status": lambda s, d: queue(s, d).groupBy("user_id").agg(F.count_if(F.col("status") == "PENDING").alias("pending"), F.count_if(F.col("status") == "FAILED").alias("failed")),
         "queue_purged": lambda s, d: sync.purged(queue(s, d).withColumnRenamed("created_at", "updated_at"), AS_OF, 20).select("event_id", sync.backoff((F.col("event_id") % 12).cast("int")).alias("wait")),
         "remote_applied": lambda s, d: sync.remote_applied(routes(s, d).filter("route_id % 2 = 0").select("route_id", "user_id", "metres"), routes(s, d).filter("route_id % 5 = 0"), routes(s, d).filter("route_id % 3 = 0").select("route_id", "user_id", F.lit(0).cast("long").alias("metres")), routes(s, d).filter("route_id % 7 = 0"), USER),
+        "queue_sendable": lambda s, d: retry.sendable_now(sends(s, d)),
     }
 
 
@@ -115,4 +124,9 @@ def oracle_sql():
         "queue_status": f"with {q} select user_id, count(*) filter (status = 'PENDING') as pending, count(*) filter (status = 'FAILED') as failed from q group by user_id",
         "queue_purged": f"with {q} select event_id, cast(least(5 * pow(2, event_id % 12), 900) as int) as wait from q where status <> 'COMPLETED' or created_at >= timestamp '{AS_OF}' - interval 20 days",
         "remote_applied": f"with {rt}, c as (select route_id, user_id, 0 as metres from r where route_id % 3 = 0 and route_id % 5 <> 0) select * from c union all select route_id, user_id, metres from r where route_id % 2 = 0 and route_id not in (select route_id from c) and not (route_id % 7 = 0 and user_id = {USER})",
+        "queue_sendable": """with e as (select user_id as account, 'op' || (event_id % 11) as op, case when event_id % 5 < 2 then 'new' when event_id % 35 = 4 then 'done' else 'failed' end as event, event_id % 9 + 1 as attempt, ts as moment from events),
+          g as (select account, op, min(moment) filter (event = 'new') as created, coalesce(max(attempt) filter (event = 'failed'), 0) as attempts, coalesce(bool_or(event = 'done'), false) as done from e group by all),
+          f as (select g.*, (select min(moment) from e where e.account = g.account and e.op = g.op and event = 'failed' and attempt = g.attempts) as failed from g),
+          q as (select f.*, date_trunc('second', failed) + to_seconds(cast(least(5 * pow(2, attempts), 900) as bigint)) as next, now from f join (select account, max(moment) as now from e group by account) using (account) where not done and created is not null)
+          select account, op, cast(attempts as int) as attempts from q qualify max(case when attempts > 0 and next > now then 1 else 0 end) over (partition by account order by created, op rows between unbounded preceding and current row) = 0""",
     }

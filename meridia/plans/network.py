@@ -116,6 +116,21 @@ def pixels(s, d):
 TAGS = (("amenity", "Hospital "), ("amenity", "fast_food"), ("shop", "vacant"), ("shop", "kiosk"), ("shop", "bakery"), ("aeroway", "aerodrome"), ("natural", "water"), ("natural", "wood"), ("waterway", "brook"), ("waterway", "dock"), ("landuse", "basin"), ("leisure", "park"), ("tourism", "zoo"), ("healthcare", "lab"), ("amenity", "parking"), ("none", ""))
 
 
+BOTH = ("Lima", "São Paulo", "Quito", "Cuenca", "SAO PAULO")
+
+
+def two_rankings(s, d):
+    """For each nation a detailed ranking of parts and one of customers, with names in common, at a few places far apart; and its map."""
+    from pyspark.sql import Window
+
+    p, c, n = F.col("p_partkey"), F.col("c_custkey"), F.col("n_nationkey")
+    at = lambda k, v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % len(v) + 1).cast("int"))
+    rank = lambda *o: F.row_number().over(Window.partitionBy("query").orderBy(*o))
+    a = load(s, d, "part").withColumn("query", p % 25).select("query", rank(F.desc("p_size"), p).alias("place"), p.alias("id"), at(F.expr("p_partkey div 25"), BOTH).alias("name"), at(F.expr("p_partkey div 75"), ("city", "town", "street")).alias("type"), (F.lit(-80.0) + F.expr("p_partkey div 125 % 3") * 9.0).alias("lon"), F.lit(-2.0).alias("lat"))
+    b = load(s, d, "customer").withColumn("query", F.col("c_nationkey").cast("long")).select("query", rank(c).alias("place"), c.alias("id"), at(c, BOTH).alias("name"), (F.lit(-80.0) + F.expr("c_custkey div 5 % 4") * 9.0).alias("lon"), F.lit(-2.0).alias("lat"), (c % 3 == 0).alias("important"))
+    return a, b, load(s, d, "nation").select(n.cast("long").alias("query"), F.when(n % 2 == 0, -78.0).alias("lon"), F.when(n % 2 == 0, -2.0).alias("lat"))
+
+
 def tagged_rows(s, d):
     """A tag by key, and a second one for some."""
     k = F.col("p_partkey")
@@ -149,6 +164,7 @@ def queries():
         "search_ranked": lambda s, d: search.search(search_entries(s, d), asked(s)).select("query", "place", "entry", F.round("score", 4).alias("score")),
         "world_search": lambda s, d: search.world_search(world(s, d), s.createDataFrame(WORLD_Q, "query long, text string")),
         "reverse_geocode": lambda s, d: search.reverse(trip_points(s, d), search_entries(s, d), road_edges(s, d), "event_id"),
+        "merged_search": lambda s, d: search.merged(*two_rankings(s, d)),
         "street_rollup": lambda s, d: catalogue.street_rollup(streets(s, d)).select("label", "parish", "metres", "rank", "aliases", *[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")]),
         "neighbourhood_groups": lambda s, d: catalogue.neighbourhood_groups(suburbs(s, d)).select("canton", "name", "members", "rank"),
         "alias_resolve": lambda s, d: catalogue.resolved_aliases(search_entries(s, d), s.createDataFrame([("M2000", "malecon simon", None, None), ("TT", "Terminal", "poi", None), ("AN", "ambato norte 7", None, "0001"), ("none", "nowhere", None, None)], "alias string, target string, kind string, prefix string")).fillna(-1, ["entry"]),
@@ -208,6 +224,12 @@ def oracle_sql():
           b as (select q.lon, q.lat, s.name as road from q join s on s.name is not null and cls <> 11 and abs(q.lon - x1) < 3e-3 and abs(q.lat - y1) < 3e-3 and {to_segment('q.lon', 'q.lat', 'x1', 'y1', 'x2', 'y2')} <= 60 qualify row_number() over (partition by q.lon, q.lat order by round({to_segment('q.lon', 'q.lat', 'x1', 'y1', 'x2', 'y2')}, 3), edge) = 1),
           c as (select p.lon, p.lat, n.name from q p join n on kind = 'place' and {spot} <= 3000 qualify row_number() over (partition by p.lon, p.lat order by round({spot}, 3), entry) = 1)
           select event_id, case when a.name is not null then 'poi' when road is not null then 'street' when c.name is not null then 'place' end as kind, coalesce(a.name, case when road is null then c.name end, road) as name, road from p left join a using (lon, lat) left join b using (lon, lat) left join c using (lon, lat)""",
+        "merged_search": """with a as (select p_partkey % 25 as query, row_number() over (partition by p_partkey % 25 order by p_size desc, p_partkey) as place, p_partkey as id, p_partkey // 25 % 5 as name, p_partkey // 75 % 3 as type, p_partkey // 125 % 3 as spot from part),
+          w as (select a.*, min(case when query % 2 = 0 and type < 2 and spot < 2 then 1 else 0 end) over (partition by query order by place) as lead_ from a),
+          u as (select query, 'detailed' as source, id, place, case name when 4 then 1 else name end as name, spot, case when lead_ = 1 then 0 else 2 end as part from w
+            union all select c_nationkey, 'world', c_custkey, row_number() over (partition by c_nationkey order by c_custkey), case c_custkey % 5 when 4 then 1 else c_custkey % 5 end, c_custkey // 5 % 4, case when c_custkey % 3 = 0 then 1 else 3 end from customer),
+          k as (select * from u qualify row_number() over (partition by query, name, spot order by part, place, id) = 1)
+          select query, cast(r as int) as place, source, id, part from (select *, row_number() over (partition by query order by part, place, id) as r from k) where r <= 10""",
         "street_rollup": f"""with s as (select *, round({great_circle('x1', 'y1', 'x2', 'y2')} + {great_circle('x2', 'y2', 'x3', 'y3')}, 3) as m from ({STREETS_SQL})) select label, parish, round(cast(sum(cast(m as decimal(18,3))) as double), 1) as metres,
           case min(kind) when 'AUTOPISTA' then 58 when 'VIA' then 58 when 'AVENIDA' then 54 when 'CALLE' then 44 else 34 end + cast(least(6, floor(sum(cast(m as decimal(18,3))) / 1000)) as int) as rank, array_to_string(list_sort(list_distinct(list(alias))), '|') as aliases,
           round(min(least(x1, x2, x3)), 6) as west, round(min(least(y1, y3)), 6) as south, round(max(greatest(x1, x2, x3)), 6) as east, round(max(greatest(y1, y3)), 6) as north from s group by label, parish""",
