@@ -13,7 +13,7 @@ HEADLINE = (
     "node_degree", "components", "shortest_path_costs", "street_intersections", "noding", "ingest_dedupe", "sync_push", "feed_page", "run_length_steps", "gap_smoothing",
     "search_fold_tokens", "search_ranked", "reverse_geocode", "street_rollup", "neighbourhood_groups", "population_by_area", "poi_classify", "tile_zoom_explode", "label_grid_topn", "raster_pyramid",
     "version_updates", "traffic_cells", "traffic_cells_box", "typical_fixes", "activity_cells", "track_lengths", "track_thinned", "trip_latest_fix", "places_favourites", "tpch_join_agg", "cube_rollup_sales",
-    "route_paths", "route_legs", "stored_routes", "dead_end_joins", "component_bridges", "loose_end_links", "merged_streets", "merged_areas", "fence_validity", "raster_holes",
+    "route_paths", "stored_routes", "dead_end_joins", "merged_streets", "fence_validity", "raster_holes",
 )
 
 if __name__ == "__main__":
