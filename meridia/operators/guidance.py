@@ -60,7 +60,7 @@ def end_bearing(points: Column, start: bool) -> Column:
         return F.struct(F.when(acc["gone"] >= BEARING_M, acc["gone"]).otherwise(gone).alias("gone"), F.when(acc["gone"] >= BEARING_M, acc["to"]).otherwise(s["b"]).alias("to"))
 
     o = F.get(p, F.lit(0))
-    to = F.aggregate(sides(p), F.struct(F.lit(0.0).alias("gone"), o.alias("to")), far, lambda a: a["to"])
+    to = F.coalesce(F.aggregate(sides(p), F.struct(F.lit(0.0).alias("gone"), o.alias("to")), far, lambda a: a["to"]), o)  # a lone point looks north
     angle = F.degrees(F.atan2((to["lon"] - o["lon"]) * F.cos(F.radians(o["lat"])), to["lat"] - o["lat"]))
     return F.pmod(angle + (360.0 if start else 540.0), F.lit(360.0))
 

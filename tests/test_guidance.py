@@ -56,6 +56,8 @@ def test_instructions_of_every_rule(spark, network, way):
         assert [r["text"] for r in got] == texts
     assert [r["maneuver"] for r in got] == ["DEPART", "ROUNDABOUT_ENTER", "ROUNDABOUT_EXIT", "OTHER", "TURN_LEFT", "WAYPOINT", "WAYPOINT", "ARRIVE"]
     assert [r["metres"] for r in got] == [550, 57, 260, 1500, 50, 0, 25, 0]
+    alone = guidance.steps(way, network, spark.createDataFrame([(9, 0, 3)], "trip long, leg int, request long")).orderBy("step").collect()
+    assert [(r["text"], r["metres"], r["first"], r["last"]) for r in alone] == [("Dirígete al norte por A", 0, 0, 0), ("Llegaste a tu destino", 0, 0, 0)]
     route = legs.routes_of(way, trip, network).first()
     assert got[-1]["last"] == len(route["shape"]) - 1 and [r["first"] for r in got] == sorted(r["first"] for r in got)
     assert route["approximate"] == pytest.approx(1500, abs=1) and abs(sum(r["metres"] for r in got) - route["metres"]) < 4
