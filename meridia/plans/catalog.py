@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import guiding, holdings, mending, movement, network, outlines, relational
+from . import guiding, holdings, mending, movement, naming, network, outlines, relational
 
-PARTS = (movement, holdings, network, mending, guiding, outlines, relational)
+PARTS = (movement, holdings, network, mending, guiding, outlines, naming, relational)
 
 
 def queries():
