@@ -15,6 +15,7 @@ from .passages import rolled
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 MARKS = 22
+PAIR = 0x9E3779B97F4A7C15  # sets the hashes of pairs apart from those of runs of two words
 
 
 def align(doc: list[str], item: list[str]) -> tuple[int, int, int]:
@@ -42,59 +43,121 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("text"), F.col("text"))})
 
 
-def grams(text: str | None, sizes: list[int], seen: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of words of the given sizes, and where they start."""
+def word_hashes(text: str | None, seen: WordHashes) -> np.ndarray:
     ws = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []  # bytes: A-Z and ASCII blanks only
-    h = np.fromiter(map(seen.__getitem__, ws), np.uint64, len(ws))
-    each = [rolled(h ^ np.uint64(k), k) for k in sizes]
-    return np.concatenate(each), np.concatenate([np.arange(len(x)) for x in each])
+    return np.fromiter(map(seen.__getitem__, ws), np.uint64, len(ws))
 
 
-def item_seeds(items: DataFrame, n: int) -> DataFrame:
-    """item, h: all runs of n words of each item; an item of fewer words is one run of its own length."""
+def runs_of(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
+    return rolled(h ^ np.uint64(k), k)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = WordHashes()
-        for b in batches:
-            hs = [np.unique(grams(t, [min(n, k)], seen)[0]) for t, k in zip(b["text"], b["k"])]
-            yield pd.DataFrame({"item": np.repeat(b["item"].to_numpy(), [len(h) for h in hs]), "h": np.concatenate(hs) if hs else np.zeros(0, np.int64)})
 
-    return items.select("item", F.array_join("iw", " ").alias("text"), F.size("iw").alias("k")).mapInPandas(run, "item long, h long")
+def pairs_of(h: np.ndarray) -> np.ndarray:
+    """Hashes of all pairs of adjacent words, others than those of runs_of."""
+    return rolled(h ^ np.uint64(PAIR), 2)
 
 
-def marks(seeds: DataFrame) -> np.ndarray:
-    """A bit for each of 2**MARKS buckets of hashes, set where a seed falls in: half a megabyte, whatever the number of seeds."""
-    bits = np.zeros(1 << MARKS, bool)
-    for r in seeds.select(F.expr(f"h & {(1 << MARKS) - 1}").alias("b")).distinct().toLocalIterator():
-        bits[r["b"]] = True
-    return np.packbits(bits)
+def item_seeds(items: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables of seeds: item, h of all runs of n words of each item (an item of fewer words is one run of its own length);
+    and item, h, need, reach of the rarer pairs of words of longer items.
 
+    An item keeps the two thirds of its pairs that fewest items hold. An alignment of half the full score leaves two thirds of
+    the words where all edits are replacements, so a third of the pairs, wherever they lie; `need` is a sixth of those kept, two
+    at least, to be met within `reach` words, twice the item.
+    """
 
-def seed_hits(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFrame:
-    """doc_id, t1, t2, item, pos wherever a document has a seed of an item.
-
-    Runs of words whose bucket no seed falls in are left out where they lie; the others meet the seeds by a join
-    on the hash, so nothing depends on the buckets but the number of rows.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = WordHashes()
+        for b in batches:
+            hs = [word_hashes(t, seen) for t in b["text"]]
+            got = [np.unique(runs_of(h, min(n, len(h)))) for h in hs] + [np.unique(pairs_of(h)) if len(h) > n else np.zeros(0, np.int64) for h in hs]
+            size = [len(x) for x in got]
+            kind = np.repeat(np.arange(2), [sum(size[: len(hs)]), sum(size[len(hs) :])])
+            yield pd.DataFrame({"item": np.repeat(np.tile(b["item"].to_numpy(), 2), size), "h": np.concatenate([*got, np.zeros(0, np.int64)]), "pair": kind == 1})
+
+    s = staged(items.select("item", F.array_join("iw", " ").alias("text")).mapInPandas(run, "item long, h long, pair boolean"))
+    pairs = s.filter("pair")
+    rarity = pairs.join(pairs.groupBy("h").agg(F.count("*").alias("held")), "h").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("held", "h")))
+    kept = rarity.join(pairs.groupBy("item").agg(F.ceil(F.count("*") * 2 / 3).alias("most")), "item").filter("rank <= most")
+    need = F.greatest(F.lit(2), F.ceil(F.col("most") / 6)).cast("int")
+    sized = items.select("item", (2 * F.size("iw")).alias("reach"))
+    return s.filter("not pair").select("item", "h"), kept.join(sized, "item").select("item", "h", need.alias("need"), "reach")
+
+
+def marks(runs: DataFrame, pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of 2**MARKS buckets of hashes: a bit where a run falls in, and the least need and greatest reach of the pairs in it.
+
+    need is 255 where there is no pair and counts to 254, reach goes in steps of 16 words to 254, 255 stands for more: some nine
+    megabytes, whatever the number of seeds, built in blocks of 2**12 buckets.
+    """
+    block, bucket = F.expr(f"cast((h & {(1 << MARKS) - 1}) >> 12 as int)").alias("block"), F.expr("cast(h & 4095 as int)").alias("bucket")
+    none = F.lit(None).cast("int")
+    both = runs.select(block, bucket, none.alias("need"), none.alias("reach")).unionByName(pairs.select(block, bucket, "need", "reach"))
+    each = both.groupBy("block", "bucket").agg(F.max(F.col("need").isNull()).alias("run"), F.min("need").alias("need"), F.max("reach").alias("reach"))
+
+    def packed(g: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((3, 4096), np.uint8)
+        out[1] = 255
+        out[0, g["bucket"]] = g["run"]
+        p = g.dropna(subset=["need"])
+        out[1, p["bucket"]] = np.minimum(p["need"], 254)
+        out[2, p["bucket"]] = np.minimum(-(-p["reach"] // 16), 255)
+        return pd.DataFrame({"block": g["block"][:1], "bytes": [out.tobytes()]})
+
+    all_ = np.zeros((3, 1 << MARKS), np.uint8)
+    all_[1] = 255
+    for r in each.groupBy("block").applyInPandas(packed, "block int, bytes binary").toLocalIterator():
+        all_[:, r["block"] << 12 : r["block"] + 1 << 12] = np.frombuffer(r["bytes"], np.uint8).reshape(3, 4096)
+    return np.packbits(all_[0]), all_[1], all_[2]
+
+
+def crowded(pos: np.ndarray, need: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which of the places lie among as many others, within their reach on both sides, as they need."""
+    return np.searchsorted(pos, pos + reach, "right") - np.searchsorted(pos, pos - reach, "left") >= need
+
+
+def seed_hits(docs: DataFrame, runs: DataFrame, pairs: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, t1, t2, item, pos wherever a document has a run of an item, or as many of its pairs close together as it needs.
+
+    Runs whose bucket no seed falls in are left out where they lie, and so are pairs that too few marked pairs stand around;
+    the others meet the seeds by a join on the hash, and an item's own pairs are then counted again, so nothing depends on
+    the buckets but the number of rows. A hash that a third of the documents hold is split by the skew join.
     """
-    packed = marks(seeds)
+    packed, least, far = marks(runs, pairs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, bits = WordHashes(), np.unpackbits(packed).view(bool)
+        seen, bits, mask = WordHashes(), np.unpackbits(packed).view(bool), (1 << MARKS) - 1
         for b in batches:
             if not len(b):
                 continue
             got = []
             for t in b["text"]:
-                h, pos = grams(t, sizes, seen)
-                k = bits[h & ((1 << MARKS) - 1)]
-                got.append((h[k], pos[k]))
-            n = [len(x) for x, _ in got]
-            out = b[["doc_id", "t1", "t2"]].loc[b.index.repeat(n)].reset_index(drop=True)
+                h = word_hashes(t, seen)
+                at = []
+                for k in sizes:
+                    r = runs_of(h, k)
+                    pos = np.flatnonzero(bits[r & mask])
+                    at.append((r[pos], pos, np.zeros(len(pos), bool)))
+                r = pairs_of(h)
+                pos = np.flatnonzero(least[r & mask] < 255)
+                reach = far[r[pos] & mask].astype(np.int64)
+                pos = pos[crowded(pos, least[r[pos] & mask], np.where(reach == 255, len(h), reach * 16))]
+                at.append((r[pos], pos, np.ones(len(pos), bool)))
+                got.append([np.concatenate(x) for x in zip(*at)])
+            out = b[["doc_id", "t1", "t2"]].loc[b.index.repeat([len(g[0]) for g in got])].reset_index(drop=True)
             out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out.assign(h=np.concatenate([x for x, _ in got]), pos=np.concatenate([x for _, x in got]))
+            yield out.assign(**{c: np.concatenate([g[i] for g in got]) for i, c in enumerate(("h", "pos", "pair"))})
 
-    runs = keyed(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, t1 long, t2 long, h long, pos int")
-    return runs.join(seeds, "h").select("doc_id", "t1", "t2", "item", "pos").distinct()
+    seeds = runs.select("item", "h", F.lit(False).alias("pair"), F.lit(0).alias("need"), F.lit(0).alias("reach")).unionByName(pairs.withColumn("pair", F.lit(True)))
+    met = keyed(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, t1 long, t2 long, h long, pos int, pair boolean").join(seeds, ["h", "pair"])
+    row = ["doc_id", "t1", "t2", "item"]
+    hits = met.distinct().groupBy(*row).agg(F.max("need").alias("need"), F.max("reach").alias("reach"), F.array_sort(F.collect_list(F.when(F.col("pair"), F.col("pos")))).alias("p"), F.collect_set(F.when(~F.col("pair"), F.col("pos"))).alias("r"))
+    # of an item's pairs in a document those stay that begin, end or lie within a stretch of `need` of them no longer than the reach
+    first = F.transform("p", lambda x, i: F.coalesce(F.get("p", i + F.col("need") - 1) - x <= F.col("reach"), F.lit(False)))
+    dense = F.filter("p", lambda x, i: F.exists(F.slice("first", F.greatest(i - F.col("need") + 2, F.lit(1)), F.least(F.col("need"), i + 1)), lambda f: f))
+    near = hits.withColumn("first", first).select(*row, F.when(F.col("need") > 0, dense).otherwise(F.array().cast("array<int>")).alias("p"), "r")
+    return near.select(*row, F.explode(F.array_union("p", "r")).alias("pos"))
 
 
 def findings(docs: DataFrame, benchmark: DataFrame, n: int, least: float) -> tuple[DataFrame, DataFrame]:
@@ -102,11 +165,12 @@ def findings(docs: DataFrame, benchmark: DataFrame, n: int, least: float) -> tup
     named = staged(benchmark.select("item_id", words(ascii_lower(F.col("text"))).alias("iw")).filter(F.size("iw") > 0).distinct())
     items = staged(named.select("iw").distinct().select(F.monotonically_increasing_id().alias("item"), "iw"))
     names = named.join(items, "iw").select("item_id", "item")
-    seeds = staged(item_seeds(items, n))
+    runs, pairs = item_seeds(items, n)
+    pairs = staged(pairs)
     d = keyed(docs.select("doc_id", "text"))
     row = ["doc_id", "t1", "t2"]
     sizes = sorted(r[0] for r in items.select(F.least(F.size("iw"), F.lit(n)).alias("k")).distinct().collect())  # n at most
-    hits = staged(seed_hits(docs, seeds, sizes)) if sizes else staged(seeds.sparkSession.createDataFrame([], "doc_id long, t1 long, t2 long, item long, pos int"))
+    hits = staged(seed_hits(docs, runs, pairs, sizes)) if sizes else staged(runs.sparkSession.createDataFrame([], "doc_id long, t1 long, t2 long, item long, pos int"))
     pair = Window.partitionBy(*row, "item").orderBy("pos")
     sized = hits.join(items.select("item", F.size("iw").alias("k")), "item").withColumn("gap", F.col("pos") - F.lag("pos").over(pair))
     run = sized.withColumn("run", F.sum(F.when(F.col("gap") > 2 * F.col("k"), 1).otherwise(0)).over(pair))
@@ -133,9 +197,10 @@ def findings(docs: DataFrame, benchmark: DataFrame, n: int, least: float) -> tup
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5) -> DataFrame:
     """doc_id, item_id, score, ratio, end_word: the documents that hold a copy of an item, edited ones too.
 
-    Seeds are all n-word shingles of the items; items of equal words are sought once and reported under each
-    id; an item of fewer words is one seed of its own length and needs that exact run. A seed that meets a
-    document gives a passage around it, as wide as the item on both sides; passages of one item that touch are
+    Seeds are all n-word shingles of the items, and for copies whose every third or fourth word is another the
+    rarer pairs of adjacent words, a sixth of which must stand close together; items of equal words are sought once
+    and reported under each id; an item of fewer words is one seed of its own length and needs that exact run.
+    Seeds that meet a document give a passage around them, as wide as the item on both sides; passages of one item that touch are
     one. The alignment's score over the full score (2 per word of the item) must reach `least`. Case of A-Z is
     ignored. Null texts have no words and match nothing; null ids are kept as they are, and as they name
     nothing, each of their texts has its own result; repeated rows give one result per doc_id; empty tables
