@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, ascii_lower, staged, words
@@ -112,6 +112,28 @@ def marks(runs: DataFrame, pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, np
     return np.packbits(all_[0]), all_[1], all_[2]
 
 
+def may_be_among(keys: DataFrame) -> Column:
+    """Whether t1 may be among those of keys: by a bit for each of 2**MARKS buckets, half a megabyte whatever their number."""
+    block, at = F.expr(f"cast((t1 & {(1 << MARKS) - 1}) >> 12 as int)").alias("block"), F.expr("cast(t1 & 4095 as int)").alias("at")
+
+    def packed(g: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(4096, bool)
+        out[g["at"]] = True
+        return pd.DataFrame({"block": g["block"][:1], "bytes": [np.packbits(out).tobytes()]})
+
+    bits = np.zeros((1 << MARKS - 12, 512), np.uint8)
+    for r in keys.select(block, at).distinct().groupBy("block").applyInPandas(packed, "block int, bytes binary").toLocalIterator():
+        bits[r["block"]] = np.frombuffer(r["bytes"], np.uint8)
+    flat = bits.reshape(-1)
+
+    @F.pandas_udf("boolean")
+    def marked(t1: pd.Series) -> pd.Series:
+        b = t1.to_numpy(np.int64) & ((1 << MARKS) - 1)
+        return pd.Series((flat[b >> 3] >> (7 - (b & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return marked(F.coalesce(F.col("t1"), F.lit(0)))
+
+
 def crowded(pos: np.ndarray, need: np.ndarray, reach: np.ndarray) -> np.ndarray:
     """Which of the places lie among as many others, within their reach on both sides, as they need."""
     return np.searchsorted(pos, pos + reach, "right") - np.searchsorted(pos, pos - reach, "left") >= need
@@ -177,7 +199,8 @@ def findings(docs: DataFrame, benchmark: DataFrame, n: int, least: float) -> tup
     spans = staged(run.groupBy(*row, "item", "run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.first("k").alias("k")))
     passage = F.slice(words(ascii_lower(F.col("text"))), F.greatest(F.col("lo") - F.col("k"), F.lit(0)) + 1, F.col("hi") - F.col("lo") + 2 * F.col("k") + n)
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.t1") == F.col("s.t1")) & (F.col("d.t2") == F.col("s.t2"))
-    cut = spans.alias("s").join(d.alias("d"), same).select("s.doc_id", "s.t1", "s.t2", "item", F.greatest(F.col("lo") - F.col("k"), F.lit(0)).alias("from"), passage.alias("p")).join(items, "item")
+    # texts that no span names stay where they lie, and only the others are shuffled
+    cut = spans.alias("s").join(d.filter(may_be_among(spans)).alias("d"), same).select("s.doc_id", "s.t1", "s.t2", "item", F.greatest(F.col("lo") - F.col("k"), F.lit(0)).alias("from"), passage.alias("p")).join(items, "item")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
