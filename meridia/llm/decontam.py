@@ -144,7 +144,8 @@ def seed_hits(docs: DataFrame, runs: DataFrame, pairs: DataFrame, sizes: list[in
 
     Runs whose bucket no seed falls in are left out where they lie, and so are pairs that too few marked pairs stand around;
     the others meet the seeds by a join on the hash, and an item's own pairs are then counted again, so nothing depends on
-    the buckets but the number of rows. A hash that a third of the documents hold is split by the skew join.
+    the buckets but the number of rows. A hash that very many documents hold meets its seeds in
+    one task, unless the runtime's skew join splits it.
     """
     packed, least, far = marks(runs, pairs)
 
