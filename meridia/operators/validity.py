@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_ring, on_ring, sides
-from ..sources.staging import cut
+from ..sources.staging import apart, cut
 
 REASONS = ("too few points", "not closed", "self-intersection", "rings cross", "hole outside shell", "nested holes")
 
@@ -33,12 +33,14 @@ def _pairs(rings: DataFrame) -> DataFrame:
     s = rings.select("polygon", "ring", F.size("points").alias("size"), F.posexplode(sides(F.col("points"))).alias("i", "s"))
     s = s.select("polygon", "ring", "i", (F.col("size") - 1).alias("n"), F.col("s.a.lon").alias("x1"), F.col("s.a.lat").alias("y1"), F.col("s.b.lon").alias("x2"), F.col("s.b.lat").alias("y2"))
     box = s.groupBy("polygon").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("so"), F.max(F.greatest("y1", "y2")).alias("no"), F.count("*").alias("m"))
-    s = s.join(box, "polygon").withColumn("cell", F.greatest(F.col("e") - F.col("w"), F.col("no") - F.col("so"), F.lit(1e-12)) / F.greatest(F.sqrt("m"), F.lit(1.0)))
+    s = s.join(apart(box), "polygon").withColumn("cell", F.greatest(F.col("e") - F.col("w"), F.col("no") - F.col("so"), F.lit(1e-12)) / F.greatest(F.sqrt("m"), F.lit(1.0)))
     at = lambda v, o: F.floor((v - F.col(o)) / F.col("cell"))
-    s = s.withColumn("cx", F.explode(F.sequence(at(F.least("x1", "x2"), "w"), at(F.greatest("x1", "x2"), "w")))).withColumn("cy", F.explode(F.sequence(at(F.least("y1", "y2"), "so"), at(F.greatest("y1", "y2"), "so"))))
-    side = lambda k: s.select("polygon", "cx", "cy", *[F.col(c).alias(f"{k}{c}") for c in ("ring", "i", "n", "x1", "y1", "x2", "y2")])
-    pairs = side("a").join(side("b"), ["polygon", "cx", "cy"]).filter("aring < bring or aring = bring and ai < bi")
-    return pairs.drop("cx", "cy").distinct()
+    s = s.withColumns({"fx": at(F.least("x1", "x2"), "w"), "fy": at(F.least("y1", "y2"), "so")})
+    s = s.withColumn("cx", F.explode(F.sequence("fx", at(F.greatest("x1", "x2"), "w")))).withColumn("cy", F.explode(F.sequence("fy", at(F.greatest("y1", "y2"), "so"))))
+    side = lambda k: s.select("polygon", "cx", "cy", *[F.col(c).alias(f"{k}{c}") for c in ("ring", "i", "n", "x1", "y1", "x2", "y2", "fx", "fy")])
+    pairs = side("a").join(apart(side("b")), ["polygon", "cx", "cy"]).filter("aring < bring or aring = bring and ai < bi")
+    # a pair counts in the first cell that both touch
+    return pairs.filter((F.col("cx") == F.greatest("afx", "bfx")) & (F.col("cy") == F.greatest("afy", "bfy"))).drop("cx", "cy", "afx", "afy", "bfx", "bfy")
 
 
 def validity(polygons: DataFrame) -> DataFrame:
@@ -55,8 +57,8 @@ def validity(polygons: DataFrame) -> DataFrame:
     p = cut(p.withColumn("rings", F.transform("rings", thin)))
     few = (F.size("rings") == 0) | F.exists("rings", lambda r: F.size(r) < 4)
     loose = F.exists("rings", lambda r: F.element_at(r, 1) != F.element_at(r, -1))
-    base = p.select("polygon", F.when(F.size("rings") == 0, 0).when(F.exists("rings", lambda r: F.size(r) == 0), 0).when(loose, 1).when(few, 0).alias("code"))
-    sound = cut(p.join(base.filter("code is null").select("polygon"), "polygon"))
+    p = p.withColumn("code", F.when(F.size("rings") == 0, 0).when(F.exists("rings", lambda r: F.size(r) == 0), 0).when(loose, 1).when(few, 0))
+    base, sound = p.select("polygon", "code"), p.filter("code is null").drop("code")
     rings = sound.select("polygon", F.posexplode("rings").alias("ring", "points"))
     s = _pairs(rings)
     o = [_cross("ax1", "ay1", "ax2", "ay2", "bx1", "by1"), _cross("ax1", "ay1", "ax2", "ay2", "bx2", "by2"), _cross("bx1", "by1", "bx2", "by2", "ax1", "ay1"), _cross("bx1", "by1", "bx2", "by2", "ax2", "ay2")]
@@ -78,7 +80,7 @@ def validity(polygons: DataFrame) -> DataFrame:
     inside = lambda q, r: in_ring(q["lon"], q["lat"], r) & ~on_ring(q["lon"], q["lat"], r)
     out = holes.filter(F.exists("holes", lambda h: F.exists(h, lambda q: outside(q, F.col("shell"))))).select("polygon", F.lit(4).alias("code"))
     each = holes.select("polygon", F.posexplode("holes").alias("i", "h"))
-    deep = each.alias("a").join(each.alias("b"), "polygon").filter("a.i <> b.i").filter(F.exists("a.h", lambda q: inside(q, F.col("b.h")))).select("polygon", F.lit(5).alias("code"))
+    deep = each.alias("a").join(apart(each.alias("b")), "polygon").filter("a.i <> b.i").filter(F.exists("a.h", lambda q: inside(q, F.col("b.h")))).select("polygon", F.lit(5).alias("code"))
     worst = base.filter("code is not null").unionByName(bad).unionByName(out).unionByName(deep).groupBy("polygon").agg(F.min("code").alias("code"))
     reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.col("code") + 1)
-    return polygons.select("polygon").join(worst, "polygon", "left").select("polygon", F.col("code").isNull().alias("valid"), F.when(F.col("code").isNotNull(), reason).alias("reason"))
+    return polygons.select("polygon").join(apart(worst), "polygon", "left").select("polygon", F.col("code").isNull().alias("valid"), F.when(F.col("code").isNotNull(), reason).alias("reason"))

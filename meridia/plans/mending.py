@@ -21,7 +21,7 @@ def drawn(s, d):
     """The drawn streets of every town: line, source, cls, ref, shape."""
     p = "array<struct<x: double, y: double>>"
     spec = s.createDataFrame([(k, source, cls, [(float(x), float(y)) for x, y in c]) for k, source, cls, c in DRAWN], f"k int, source int, cls int, corners {p}")
-    n = road_nodes(s, d).withColumn("k", (F.col("node") % 200).cast("int")).join(spec, "k")
+    n = road_nodes(s, d).withColumn("k", (F.col("node") % 200).cast("int")).join(F.broadcast(spec), "k")  # fixed rows
     west, south = F.lit(-79.95) + (F.col("town") % 200) * F.lit(2.7e-2), F.lit(-2.2) + F.expr("town div 200") * F.lit(2e-2)
     return n.select((F.col("town") * 40 + F.col("k")).alias("line"), "source", "cls", F.when(F.col("source") == 1, F.concat(F.lit("E"), F.col("town"))).alias("ref"), F.transform("corners", lambda c: point(west + c["x"] * F.lit(1e-3), south + c["y"] * F.lit(1e-3))).alias("shape"))
 

@@ -25,7 +25,7 @@ def fences(s, d):
     p = "array<array<struct<x: double, y: double>>>"
     spec = s.createDataFrame([(k, [[(float(x), float(y)) for x, y in r] for r in rings]) for k, rings in enumerate(SHAPES)], f"kind int, corners {p}")
     k = F.col("c_custkey")
-    c = load(s, d, "customer").select(k.alias("polygon"), (k % len(SHAPES)).cast("int").alias("kind"), (k % 64).cast("double").alias("x"), (F.expr("c_custkey div 64") % 64).cast("double").alias("y"), (F.lit(1.0) + k % 4).alias("size")).join(spec, "kind")
+    c = load(s, d, "customer").select(k.alias("polygon"), (k % len(SHAPES)).cast("int").alias("kind"), (k % 64).cast("double").alias("x"), (F.expr("c_custkey div 64") % 64).cast("double").alias("y"), (F.lit(1.0) + k % 4).alias("size")).join(F.broadcast(spec), "kind")  # thirteen fixed rows
     # positions are multiples of powers of two, so that corners lie exactly on sides
     return c.select("polygon", F.transform("corners", lambda r: F.transform(r, lambda q: point(F.col("x") + q["x"] * F.col("size") / 1024, F.col("y") + q["y"] * F.col("size") / 1024))).alias("rings"))
 

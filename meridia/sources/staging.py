@@ -27,6 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled, never broadcast.
+
+    Spark takes the size of a side from the files it comes from; exploded and well compressed rows are many times that.
+    """
+    return df.hint("merge")
+
+
 def forgotten(*tables: DataFrame) -> None:
     """Deletes the files of cut tables that nothing reads any more; other DataFrames are left alone."""
     for t in tables:

@@ -255,3 +255,10 @@ def test_rims_and_holes(spark):
         grown = np.array([[near(whole, y, x).any() for x in range(m)] for y in range(n)])
         want = np.array([[near(grown, y, x).all() and not whole[y, x] for x in range(m)] for y in range(n)])
         assert (got == want).all()
+
+
+def test_validity_broadcasts_no_side_that_grows(spark, capsys):
+    """Files of polygons are a fraction of their sides and cells, so their size must not pick a broadcast."""
+    ring = F.array(*[F.struct((x + F.col("polygon")).alias("lon"), F.lit(y).alias("lat")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0))])
+    validity.validity(spark.range(40).select(F.col("id").cast("double").alias("polygon")).select("polygon", F.array(ring, ring).alias("rings"))).explain()
+    assert "Broadcast" not in capsys.readouterr().out
