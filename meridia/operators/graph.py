@@ -111,7 +111,7 @@ def paths(steps: DataFrame, requests: DataFrame, dearer: DataFrame | None = None
     seeds = r.select("request", F.col("start").alias("node"), "block", F.lit(0).cast("long").alias("price"), F.lit(-1).cast("long").alias("edge"), "most")
     blocks = paths_.packed(steps.withColumnRenamed("ms", "price")) if blocks is None else blocks
     state = paths_.searched(blocks, seeds, r.select("request", F.col("goal").alias("node"), F.lit(0).cast("long").alias("tail")), dearer)
-    ends = paths_.labels(state).join(r.select("request", F.col("goal").alias("node"), F.col("gblock").alias("block")), ["request", "node", "block"]).select("request", "node", "block")
+    ends = paths_.labelled(state, r.select("request", F.col("goal").alias("node"), F.col("gblock").alias("block"))).select("request", "node", "block")
     walk, _ = paths_.traced(state, ends)
     own = steps.select(F.col("u").alias("back"), F.col("v").alias("node"), "edge", "ms", "metres")
     return walk.join(own, ["back", "node", "edge"]).select("request", "pos", "edge", "node", "ms", "metres")

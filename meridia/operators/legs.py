@@ -45,7 +45,7 @@ def legs(edges: DataFrame, snaps: DataFrame, profile: str) -> DataFrame:
 
     goals = two("to", tp, "tail")
     state = paths.searched(paths.packed(steps.withColumnRenamed("ms", "price")), two("from", fp, "price"), goals.groupBy("request", "node").agg(F.min("tail").alias("tail")))
-    got = paths.labels(state).join(goals.drop("most").withColumnRenamed("edge", "side"), ["request", "node", "block"])
+    got = paths.labelled(state, goals.drop("most").withColumnRenamed("edge", "side"))
     # of equal ways the one that enters the last edge at its first end
     best = got.groupBy("request").agg(F.min(F.struct((F.col("price") + F.col("tail")).alias("ms"), (-F.col("side")).alias("side"), "node", "block")).alias("m")).select("request", "m.*")
     best = cut(best.join(asked.select("request", "most"), "request").filter("most is null or ms < most"))

@@ -262,3 +262,13 @@ def test_validity_broadcasts_no_side_that_grows(spark, capsys):
     ring = F.array(*[F.struct((x + F.col("polygon")).alias("lon"), F.lit(y).alias("lat")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0))])
     validity.validity(spark.range(40).select(F.col("id").cast("double").alias("polygon")).select("polygon", F.array(ring, ring).alias("rings"))).explain()
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_steps_of_a_block_do_not_travel_with_each_request(spark):
+    from meridia.operators import paths
+
+    blocks = paths.packed(spark.createDataFrame([(k, k + 1, k, 5, 7, 7) for k in range(40)], "u long, v long, edge long, price long, ublock long, vblock long"))
+    known = spark.range(600).select(F.col("id").alias("request"), F.lit(7).cast("long").alias("block"), F.array(F.struct(*[F.lit(0).cast("long").alias(c) for c in paths.LABEL])).alias("o"))
+    limits = spark.range(600).select(F.col("id").alias("request"), F.lit(None).cast("long").alias("most"))
+    n = dict(paths.dealt(known, blocks, [limits]).groupBy("kind").count().collect())
+    assert n == {0: 3, 1: 600}
