@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -19,10 +21,10 @@ BLOCK = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl",
 SKIP = {"script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg"}
 NOISE = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "sidebar", "menu", "nav", "navbar", "breadcrumb", "breadcrumbs", "header", "footer", "cookie", "cookies", "consent", "notice", "popup", "modal", "comment", "comments", "share", "social", "related", "newsletter", "subscribe", "promo", "sponsored"}
 LAYOUT = {"sidebar", "menu", "nav", "navbar", "header", "footer", "banner"}  # such words also stand on wrappers of a whole page
+SHORT = 4096  # cells of an alignment table up to which lists are faster than numpy
 DEPTH = 150  # deeper nodes are not aligned
 PAGES = 8  # pages of a host that its wrapper is made from, at most
 SHARE = 0.75  # of these pages must agree on a text
-CELLS = 1 << 20  # longest alignment table of two child lists; beyond it only equal children are aligned
 
 
 class Node:
@@ -112,34 +114,75 @@ class Slot:
         return [self.label, sig if const else 0, n, kids] if const or kids else None
 
 
-def aligned(x: list, y: list, label_x, label_y, same) -> list[tuple[int, int]]:
-    """Simple tree matching of two child lists: index pairs of equal label, in order, those with equal text before others."""
+def _short(p: list[tuple[str, Collection[int]]], q: list[tuple[str, int]]) -> list[tuple[int, int]]:
+    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+    gain = [[(3 if t in own else 2) if a == b else 0 for b, t in q] for a, own in p]
+    for r in range(len(p) - 1, -1, -1):
+        row, under, g = best[r], best[r + 1], gain[r]
+        for s in range(len(q) - 1, -1, -1):
+            row[s] = max(under[s], row[s + 1], under[s + 1] + g[s] if g[s] else 0)
+    r = s = 0
+    pairs = []
+    while r < len(p) and s < len(q):
+        if gain[r][s] and best[r][s] == best[r + 1][s + 1] + gain[r][s]:
+            pairs.append((r, s))
+            r, s = r + 1, s + 1
+        elif best[r][s] == best[r + 1][s]:
+            r += 1
+        else:
+            s += 1
+    return pairs
+
+
+def aligned(x: list[tuple[str, Collection[int]]], y: list[tuple[str, int]]) -> list[tuple[int, int]]:
+    """Simple tree matching of two child lists of label and text (x: texts): index pairs of equal label, in order, those with equal text before others.
+
+    Lists of any length are aligned by the same table, which only its making tells apart: short ones get it as lists,
+    others a row at a time by numpy, with every few rows kept and those between made again on the way back, so that
+    memory grows with the power 1.5 of the lists' length.
+    """
     i = 0
-    while i < min(len(x), len(y)) and label_x(x[i]) == label_y(y[i]) and same(x[i], y[i]):
+    while i < min(len(x), len(y)) and x[i][0] == y[i][0] and y[i][1] in x[i][1]:
         i += 1
     pairs, p, q = [(k, k) for k in range(i)], x[i:], y[i:]
-    if len(p) * len(q) > CELLS:
-        k = 0
-        for r, a in enumerate(p):
-            for s in range(k, min(len(q), k + 64)):
-                if label_x(a) == label_y(q[s]) and same(a, q[s]):
-                    pairs.append((i + r, i + s))
-                    k = s + 1
-                    break
-        return pairs
-    if p and q:
-        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        gain = [[(3 if same(a, b) else 2) if label_x(a) == label_y(b) else 0 for b in q] for a in p]
-        for r in range(len(p) - 1, -1, -1):
-            row, under, g = best[r], best[r + 1], gain[r]
-            for s in range(len(q) - 1, -1, -1):
-                row[s] = max(under[s], row[s + 1], under[s + 1] + g[s] if g[s] else 0)
-        r = s = 0
-        while r < len(p) and s < len(q):
-            if gain[r][s] and best[r][s] == best[r + 1][s + 1] + gain[r][s]:
+    if len(p) * len(q) <= SHORT:
+        return pairs + [(i + r, i + s) for r, s in _short(p, q)]
+    codes: dict[str, int] = {}
+    labels = np.array([codes.setdefault(s, len(codes)) for s, _ in q], np.int64)
+    texts, n, step = np.array([t for _, t in q], np.uint64), len(q), math.isqrt(len(p)) + 1
+
+    def gains(r: int) -> np.ndarray:
+        label, own = p[r]
+        gain = np.where(labels == codes.get(label, -1), 2, 0)
+        same = np.zeros(n, bool)
+        for t in own:
+            same |= texts == np.uint64(t)
+        return gain + (same & (gain > 0))
+
+    def row(under: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        out = np.zeros(n + 1, np.int64)
+        out[:n] = np.maximum.accumulate(np.maximum(under[:n], np.where(gain > 0, under[1:] + gain, 0))[::-1])[::-1]
+        return out
+
+    kept, best = {len(p): np.zeros(n + 1, np.int64)}, np.zeros(n + 1, np.int64)
+    for r in range(len(p) - 1, -1, -1):
+        best = row(best, gains(r))
+        if r % step == 0:
+            kept[r] = best
+    s = 0
+    for lo in range(0, len(p), step):
+        hi = min(lo + step, len(p))
+        gain, rows = [gains(r) for r in range(lo, hi)], [kept[hi]]
+        for g in reversed(gain):
+            rows.append(row(rows[-1], g))
+        rows.reverse()
+        r = lo
+        while r < hi and s < n:
+            here, under, g = rows[r - lo], rows[r - lo + 1], gain[r - lo][s]
+            if g and here[s] == under[s + 1] + g:
                 pairs.append((i + r, i + s))
                 r, s = r + 1, s + 1
-            elif best[r][s] == best[r + 1][s]:
+            elif here[s] == under[s]:
                 r += 1
             else:
                 s += 1
@@ -152,7 +195,7 @@ def merge(slot: Slot, node: Node) -> None:
     while todo:
         a, n, depth = todo.pop()
         kids = [k for k in n.kids if isinstance(k, Node) and k.size]
-        pairs = aligned(a.kids, kids, lambda s: s.label, lambda k: k.label, lambda s, k: k.sig in s.texts)
+        pairs = aligned([(s.label, s.texts) for s in a.kids], [(k.label, k.sig) for k in kids])
         by, out, done = {j: i for i, j in pairs}, [], 0
         for j, k in enumerate(kids):
             if j in by:
@@ -208,7 +251,7 @@ def constant(page: Node, wrapper: list, least: int, found: dict[int, int]) -> No
     while todo:
         a, w = todo.pop()
         kids = [k for k in a.kids if isinstance(k, Node) and k.size]
-        for i, j in aligned(kids, w[3], lambda k: k.label, lambda s: s[0], lambda k, s: k.sig == s[1]):
+        for i, j in aligned([(k.label, (k.sig,)) for k in kids], [(s[0], s[1]) for s in w[3]]):
             if kids[i].sig == w[3][j][1] and w[3][j][2] >= least:
                 found[id(kids[i])] = w[3][j][2]
             else:

@@ -179,3 +179,17 @@ def test_decontamination_of_common_items_and_null_ids(spark):
     ids = list(range(100, 125)) + list(range(200, 225))
     assert Counter(got) == Counter([(d, i) for d in (1, None) for i in range(30)] + [(2, i) for i in ids] + [(None, None), (4, None)])
     assert {(r["doc_id"], r["text"]) for r in decontam.clean_documents(docs, bench).collect()} == {rows[3], rows[5]}
+
+
+def test_pages_align_lists_of_any_length_by_one_table(monkeypatch):
+    import random
+
+    from meridia.llm import pages
+
+    long = 1100  # more than 2**20 pairs
+    assert pages.aligned([("li", {k}) for k in range(long)], [("li", long + k) for k in range(long)]) == [(k, k) for k in range(long)]
+    rng = random.Random(5)
+    cases = [([(rng.choice("ab"), {rng.getrandbits(2) + 2**63 for _ in range(2)}) for _ in range(rng.randint(0, 12))], [(rng.choice("abc"), rng.getrandbits(2) + 2**63) for _ in range(rng.randint(0, 12))]) for _ in range(300)]
+    short = [pages.aligned(x, y) for x, y in cases]
+    monkeypatch.setattr(pages, "SHORT", 0)
+    assert short == [pages.aligned(x, y) for x, y in cases]
