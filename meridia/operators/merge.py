@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import bounds, in_polygon, line_length, ring_area, sides
 from ..functions.linear import joined
-from ..sources.staging import cut, forgotten
+from ..sources.staging import apart, cut, forgotten
 from . import spatial
 from .graph import stars
 
@@ -88,15 +88,17 @@ def _directed(areas: DataFrame) -> DataFrame:
 def _celled(s: DataFrame, degrees: float) -> DataFrame:
     """A row per cell that a side's box touches."""
     at = lambda a, b: F.sequence(F.floor(F.least(a, b) / degrees), F.floor(F.greatest(a, b) / degrees))
-    return s.withColumn("cx", F.explode(at("x1", "x2"))).withColumn("cy", F.explode(at("y1", "y2")))
+    low = lambda a, b: F.floor(F.least(a, b) / degrees)
+    return s.withColumns({"fx": low("x1", "x2"), "fy": low("y1", "y2")}).withColumn("cx", F.explode(at("x1", "x2"))).withColumn("cy", F.explode(at("y1", "y2")))
 
 
 def _cuts(s: DataFrame, degrees: float) -> DataFrame:
     """side, t: where sides of other areas of the kind cross, touch or run along a side, as a part of its length."""
     c = _celled(s, degrees)
-    a = c.select("kind", "cx", "cy", "side", "area", "x1", "y1", "x2", "y2")
-    b = c.select("kind", "cx", "cy", *[F.col(n).alias(f"o{n}") for n in ("side", "area", "x1", "y1", "x2", "y2")])
-    p = a.join(b, ["kind", "cx", "cy"]).filter("area <> oarea").drop("cx", "cy", "kind").distinct()
+    a = c.select("kind", "cx", "cy", "side", "area", "x1", "y1", "x2", "y2", "fx", "fy")
+    b = c.select("kind", "cx", "cy", *[F.col(n).alias(f"o{n}") for n in ("side", "area", "x1", "y1", "x2", "y2", "fx", "fy")])
+    # a pair counts in the first cell that both touch
+    p = a.join(apart(b), ["kind", "cx", "cy"]).filter("area <> oarea and cx = greatest(fx, ofx) and cy = greatest(fy, ofy)")
     v = F.col
     dx, dy, ex, ey = v("x2") - v("x1"), v("y2") - v("y1"), v("ox2") - v("ox1"), v("oy2") - v("oy1")
     cross = dx * ey - dy * ex
@@ -125,9 +127,9 @@ def outlines(areas: DataFrame, degrees: float = 0.01) -> DataFrame:
     e = parts.select("kind", "area", F.explode(sides(pts)).alias("s")).select("kind", "area", F.col("s.a.lon").alias("x1"), F.col("s.a.lat").alias("y1"), F.col("s.b.lon").alias("x2"), F.col("s.b.lat").alias("y2")).filter("x1 <> x2 or y1 <> y2")
     e = cut(e.withColumn("piece", F.monotonically_increasing_id()))
     long_ = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
-    beside = e.select("piece", F.col("kind").alias("of"), F.col("area").alias("own"), ((F.col("x1") + F.col("x2")) / 2 + (F.col("y2") - F.col("y1")) / long_ * ASIDE).alias("lon"), ((F.col("y1") + F.col("y2")) / 2 - (F.col("x2") - F.col("x1")) / long_ * ASIDE).alias("lat"))
+    beside = e.select("piece", "kind", F.col("area").alias("own"), ((F.col("x1") + F.col("x2")) / 2 + (F.col("y2") - F.col("y1")) / long_ * ASIDE).alias("lon"), ((F.col("y1") + F.col("y2")) / 2 - (F.col("x2") - F.col("x1")) / long_ * ASIDE).alias("lat"))
     boxes = areas.withColumn("b", bounds(F.get(F.col("rings"), F.lit(0)))).select("area", "kind", "rings", *[F.col(f"b.{x}").alias(x) for x in spatial.BOX])
-    covered = spatial.cell_join(beside, boxes).filter("kind = of and area <> own").filter(in_polygon(F.col("lon"), F.col("lat"), F.col("rings"))).select("piece").distinct()
+    covered = spatial.cell_join(beside, apart(boxes), ("kind",)).filter("area <> own").filter(in_polygon(F.col("lon"), F.col("lat"), F.col("rings"))).select("piece").distinct()
     left = e.join(covered, "piece", "left_anti").groupBy("kind", "x1", "y1", "x2", "y2").agg(F.min("piece").alias("piece"))
     left = cut(left.withColumn("b", F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))))
     nxt = left.select("kind", F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("piece").alias("next"), F.col("b").alias("nb"))

@@ -32,10 +32,10 @@ def probed(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return p.withColumn("cx", _cell(F.col("lon"), F.col("level"))).withColumn("cy", _cell(F.col("lat"), F.col("level")))
 
 
-def cell_join(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Points with the boxes that may hold them: an equi-join on cells, and then the box itself."""
+def cell_join(points: DataFrame, boxes: DataFrame, same: tuple[str, ...] = ()) -> DataFrame:
+    """Points with the boxes that may hold them: an equi-join on cells, and on columns that must be the same, and then the box itself."""
     f = filed(boxes)
-    return probed(points, f).join(f, ["level", "cx", "cy"]).filter(F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))).drop("level", "cx", "cy")
+    return probed(points, f).join(f, ["level", "cx", "cy", *same]).filter(F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))).drop("level", "cx", "cy")
 
 
 def padded(s: DataFrame, metres: float) -> DataFrame:

@@ -272,3 +272,12 @@ def test_steps_of_a_block_do_not_travel_with_each_request(spark):
     limits = spark.range(600).select(F.col("id").alias("request"), F.lit(None).cast("long").alias("most"))
     n = dict(paths.dealt(known, blocks, [limits]).groupBy("kind").count().collect())
     assert n == {0: 3, 1: 600}
+
+
+def test_pieces_meet_areas_of_their_own_kind_only(spark):
+    from meridia.operators import spatial
+
+    points = spark.range(6).select(F.col("id").alias("piece"), (F.col("id") % 3).alias("kind"), F.lit(0.5).alias("lon"), F.lit(0.5).alias("lat"))
+    boxes = spark.range(3).select(F.col("id").alias("area"), F.col("id").alias("kind"), *[F.lit(v).alias(c) for c, v in zip(spatial.BOX, (0.0, 0.0, 1.0, 1.0))])
+    got = spatial.cell_join(points, boxes, ("kind",)).select("piece", "kind", "area").collect()
+    assert sorted(map(tuple, got)) == [(k, k % 3, k % 3) for k in range(6)]
