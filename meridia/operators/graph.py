@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import line_length
-from ..sources.staging import cut, forgotten
+from ..sources.staging import apart, cut, forgotten
 from ..sources.tables import CONNECTOR, MOTOR_CLASS, STATE
 from . import paths as paths_
 from . import spatial
@@ -14,6 +18,7 @@ from .traffic import JUNCTION_S, MOTORS, free_flow
 
 # fixed values: what an accepted way's edges are dearer by, the slowest and the most alike that another way may be
 DEARER, SLOWEST, SHARED = 1.6, 1.45, 0.7
+LOCAL = 1 << 18  # edges that a task contracts at a time
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -28,13 +33,48 @@ def node_degree(edges: DataFrame) -> DataFrame:
     return both_ways(edges.select("u", "v")).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree"))
 
 
+def _least(e: pd.DataFrame) -> pd.DataFrame:
+    """Each node of some edges with the least node that these edges alone reach, where that is another."""
+    nodes, at = np.unique(e.to_numpy(), return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root, before = np.arange(len(nodes)), None
+    while before is None or (root != before).any():
+        before, root = root, root.copy()
+        low = np.minimum(before[a], before[b])
+        for of in (a, b, before[a], before[b]):
+            np.minimum.at(root, of, low)
+        root = root[root]
+    moved = root != np.arange(len(nodes))
+    return pd.DataFrame({"u": nodes[moved], "v": nodes[root[moved]]})
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """links as edges to the least node that LOCAL edges beside each other connect: what is joined stays joined."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size >= LOCAL:
+                yield _least(pd.concat(held))
+                held, size = [], 0
+        if held:
+            yield _least(pd.concat(held))
+
+    return links.repartitionByRange("u").mapInPandas(run, links.schema)
+
+
 def stars(links: DataFrame) -> DataFrame:
     """node and root, the least node reachable, for nodes of links (u, v).
 
-    Large and small stars by turns: each round replaces edges by edges to smaller nodes, so the rounds grow with
-    the log of the diameter, and joins are on nodes with one row on one side, never on a component's label.
+    Edges with near ends are contracted where they lie. Then large and small stars by turns: each round replaces edges
+    by edges to smaller nodes, so the rounds grow with the log of the diameter that is left, and joins are on nodes
+    with one row on one side, never on a component's label.
     """
-    e = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    drawn = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v"))
+    e = cut(_contracted(drawn))
+    forgotten(drawn)
     seen = None
     while True:
         # a round that changes nothing leaves the same edges: their number and a sum of their hashes tell
@@ -52,11 +92,19 @@ def stars(links: DataFrame) -> DataFrame:
         e = small
 
 
+def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and component: its least node, -1 for a node without an edge."""
+    e = cut(edges.select("u", "v"))
+    root = stars(e)
+    ends = e.select(F.explode(F.array("u", "v")).alias("node")).withColumn("root", F.lit(None).cast(root.schema["root"].dataType))
+    met = ends.unionByName(root).groupBy("node").agg(F.min("root").alias("root"), F.lit(True).alias("met"))
+    got = nodes.select("node").join(apart(met), "node", "left")
+    return got.select("node", F.when(F.col("met").isNull(), F.lit(-1)).otherwise(F.coalesce("root", "node")).alias("component"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (its least node, -1 for a node without an edge) and size of the component."""
-    ends = both_ways(edges.select("u", "v")).select(F.col("u").alias("node")).distinct()
-    got = nodes.select("node").join(ends.withColumn("met", F.lit(True)), "node", "left").join(stars(edges), "node", "left")
-    got = got.select("node", F.when(F.col("met").isNull(), F.lit(-1)).otherwise(F.coalesce("root", "node")).alias("component"))
+    got = labelled(nodes, edges)
     sizes = got.groupBy("component").agg(F.count("*").alias("size"))
     return got.join(sizes, "component").select("node", "component", F.when(F.col("component") >= 0, F.col("size")).otherwise(F.lit(0)).alias("size"))
 

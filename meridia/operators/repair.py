@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine, line_length, segment_metres, segment_part, sides
-from ..sources.staging import cut
+from ..sources.staging import apart, cut
 from ..sources.tables import CONNECTOR, MOTOR_CLASS
 from . import graph, paths, spatial
 
@@ -112,7 +112,8 @@ def over_land(links: DataFrame, land: DataFrame, water: DataFrame) -> DataFrame:
 
 def _placed(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """links (u, v) with positions, distance and a name."""
-    n = nodes.select("node", "lon", "lat")
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    n = cut(nodes.select("node", "lon", "lat").join(ends, "node", "left_semi"))  # a few of all nodes
     got = links.join(n.toDF("u", "lon1", "lat1"), "u").join(n.toDF("v", "lon2", "lat2"), "v")
     return got.withColumns({"link": F.concat_ws("-", "u", "v"), "metres": F.round(haversine(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")), 3)})
 
@@ -123,24 +124,27 @@ def bridges(nodes: DataFrame, edges: DataFrame, land: DataFrame, water: DataFram
     The main network is the largest component for motors, ties to the least node. A town whose nearest link is longer
     than `metres` or leaves the land stays apart. Linked towns belong to the main network in the next attempt. The
     radius widens, and a town that has found a node leaves, so that towns beside the main network meet little of it.
+    Nodes in cells that no circle around the main network touches are left out first.
     """
-    got = graph.components(nodes, edges.filter(graph.for_motors())).filter("component >= 0")
-    comp = cut(got.select("node", "component").join(nodes.select("node", "lon", "lat"), "node"))
+    got = graph.labelled(nodes, edges.filter(graph.for_motors())).filter("component >= 0")
+    comp = cut(got.join(apart(nodes.select("node", "lon", "lat")), "node"))
+    land, water = cut(land), cut(water)
     sizes = cut(comp.groupBy("component").agg(F.count("*").alias("size")))
     first = sizes.orderBy(F.desc("size"), "component").first()
     main = sizes.filter(F.col("component") == (first["component"] if first else None)).select("component")
     towns = sizes.filter(F.col("size") >= least).join(main, "component", "left_anti").select("component")
     rows = None
     for attempt in range(1, attempts + 1):
-        away = cut(comp.join(towns, "component", "left_semi"))
         of_main = cut(comp.join(main, "component", "left_semi"))
+        circles = spatial.padded(of_main.select(F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.col("lon").alias("x2"), F.col("lat").alias("y2")), metres)
+        away = cut(spatial.touched(comp.join(towns, "component", "left_semi"), circles))
         best = None
         for share in (1 / 64, 1 / 16, 1 / 4, 1):
             near = spatial.nearest_points(away.select("node", "lon", "lat"), of_main.select(F.col("node").alias("other"), "lon", "lat"), "node", "other", metres * share, (1,))
             hit = cut(near.join(comp.select("node", "component"), "node").groupBy("component").agg(F.min(F.struct("metres", "node", "other")).alias("m")).select("component", F.col("m.node").alias("u"), F.col("m.other").alias("v")))
             best = hit if best is None else best.unionByName(hit)
             away = cut(away.join(hit, "component", "left_anti"))
-        links = cut(over_land(_placed(best, nodes), land, water).select("component", "u", "v", "metres", F.lit(attempt).alias("attempt")))
+        links = cut(over_land(cut(_placed(best, nodes)), land, water).select("component", "u", "v", "metres", F.lit(attempt).alias("attempt")))
         rows = links if rows is None else rows.unionByName(links)
         if links.isEmpty():
             break
@@ -185,5 +189,5 @@ def loose_links(nodes: DataFrame, edges: DataFrame, ends: DataFrame, land: DataF
     left = near.join(asked.select("end", "kind", "request"), ["end", "kind"]).join(reached, ["request", "other"], "left")
     left = left.filter(F.col("price").isNull() | (F.col("price") > (DETOUR * F.col("metres") + SLACK_M) * 1000))
     links = left.select(F.concat_ws("-", "end", "kind", "other").alias("link"), "end", "kind", F.col("node").alias("u"), F.col("other").alias("v"), "metres", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.col("olon").alias("lon2"), F.col("olat").alias("lat2"))
-    legal = over_land(cut(links), land, water)
+    legal = over_land(cut(links), cut(land), cut(water))
     return legal.groupBy("end").agg(F.min(F.struct("kind", "metres", "v", "u")).alias("m")).select("m.u", "m.v", "m.kind", "m.metres")

@@ -38,6 +38,12 @@ def cell_join(points: DataFrame, boxes: DataFrame, same: tuple[str, ...] = ()) -
     return probed(points, f).join(f, ["level", "cx", "cy", *same]).filter(F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))).drop("level", "cx", "cy")
 
 
+def touched(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The points in cells that boxes touch, without pairs: all that cell_join would find, and some beside them. Equal rows become one."""
+    f = filed(boxes).select("level", "cx", "cy").distinct()
+    return probed(points, f).join(f, ["level", "cx", "cy"], "left_semi").select(*points.columns).distinct()
+
+
 def padded(s: DataFrame, metres: float) -> DataFrame:
     """Segments x1, y1, x2, y2 with boxes widened by a distance; a degree of longitude is as short as at the box's far side."""
     pad = metres * 1.001 / DEGREE_M

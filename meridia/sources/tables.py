@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import staging
+
 PROFILES = ("CAR", "TRUCK", "MOTORCYCLE", "BICYCLE", "PEDESTRIAN")
 AS_OF = "2024-01-31 00:00:00"
 
@@ -88,7 +90,7 @@ def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("town") * 400 + 399).alias("edge"), F.col("node").alias("u"), (F.col("node") + 181).alias("v"), F.lit(None).cast("string").alias("name"),
         F.when(linked, 1).otherwise(CONNECTOR).alias("cls"), F.when(linked, F.concat(F.lit("E"), F.col("town") + 1)).alias("ref"), F.when(linked, STATE).otherwise(0).alias("flags"))
     ends = n.select("node", "lon", "lat")
-    e = east.unionByName(north).unionByName(between).join(ends.toDF("u", "ax", "ay"), "u").join(ends.toDF("v", "bx", "by"), "v")
+    e = east.unionByName(north).unionByName(between).join(staging.apart(ends.toDF("u", "ax", "ay")), "u").join(staging.apart(ends.toDF("v", "bx", "by")), "v")
     a, b = point(F.col("ax"), F.col("ay")), point(F.col("bx"), F.col("by"))
     mid = point((F.col("ax") + F.col("bx")) / 2 + F.lit(2e-5), (F.col("ay") + F.col("by")) / 2 + F.lit(2e-5))
     flags = F.col("flags") + F.when(F.col("edge") % 13 == 0, UNPAVED).otherwise(0)

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.functions import linear
-from meridia.operators import graph, guidance, legs, merge, repair, stored, validity
+from meridia.operators import graph, guidance, legs, merge, repair, spatial, stored, validity
 from meridia.plans import guiding
+from meridia.sources.staging import cut
 from meridia.sources.tables import APPROXIMATE, CONNECTOR, ROUNDABOUT, STATE, road_edges
 
 LINE = "array<struct<lon: double, lat: double>>"
@@ -281,3 +282,28 @@ def test_pieces_meet_areas_of_their_own_kind_only(spark):
     boxes = spark.range(3).select(F.col("id").alias("area"), F.col("id").alias("kind"), *[F.lit(v).alias(c) for c, v in zip(spatial.BOX, (0.0, 0.0, 1.0, 1.0))])
     got = spatial.cell_join(points, boxes, ("kind",)).select("piece", "kind", "area").collect()
     assert sorted(map(tuple, got)) == [(k, k % 3, k % 3) for k in range(6)]
+
+
+def test_near_edges_are_contracted_before_the_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or cut(df))
+    chains = [(100 * c + k, 100 * c + k + 1) for c in range(3) for k in range(99)] + [(50, 250), (7, 7)]
+    for name in (lambda n: n, lambda n: f"n{n:04d}"):
+        written.clear()
+        got = {r["node"]: r["root"] for r in graph.stars(spark.createDataFrame([(name(u), name(v)) for u, v in chains], ["u", "v"])).collect()}
+        want = {name(n): name(100 if 100 <= n < 200 else 0) for n in range(300)}
+        assert {n: got.get(n, n) for n in want} == want
+        assert len(written) <= 8
+
+
+def test_nodes_of_the_network_are_not_broadcast(spark):
+    edges = road_edges(spark, "/root/testdata/sf0.001").select("u", "v")
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_touched_points_are_those_that_boxes_can_hold(spark):
+    points = spark.createDataFrame([(k, k * 0.01, 0.0) for k in range(100)] + [(0, 0.0, 0.0)], "p long, lon double, lat double")
+    boxes = spatial.padded(spark.createDataFrame([(0.3, 0.0, 0.3, 0.0), (0.3, 0.001, 0.3, 0.001)], "x1 double, y1 double, x2 double, y2 double"), 3000.0)
+    got = [r["p"] for r in spatial.touched(points, boxes).collect()]
+    held = {r["p"] for r in spatial.cell_join(points, boxes).collect()}
+    assert len(got) == len(set(got)) < 20 and held == {28, 29, 30, 31, 32} <= set(got)
