@@ -240,6 +240,42 @@ def test_passages_in_shards(spark, monkeypatch):
     assert Counter(map(tuple, passages.removed(df).collect())) == Counter(want)
 
 
+def test_passages_among_long_words_and_empty_lines(spark):
+    pick = random.Random(8)
+    huge = ["x" * (passages.STEP + 5), "x" * (passages.STEP + 6), "y" * passages.STEP]
+    phrases = [prose(pick, 40), prose(pick, 20) + huge + prose(pick, 15), huge[::-1] + prose(pick, 33)]
+    rows = [(0, None), (1, ""), (2, " \n")] + [(3 + i, " ".join(w for _ in range(6) for w in (phrases[pick.randrange(3)] if pick.random() < 0.5 else prose(pick, 30)))) for i in range(12)] + [(20, ""), (21, "one two")]
+    seen = Counter(tuple(w[k : k + 35]) for _, t in rows for w in [words(t)] for k in range(len(w) - 34))
+    want = []
+    for i, t in rows:
+        w = words(t)
+        cut = {k + j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(35)}
+        want.append((i, len(w), len(cut), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in cut).encode()).hexdigest()))
+    assert Counter(map(tuple, passages.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == Counter(want)
+
+
+def test_copies_of_a_segment_travel_once_a_shard(spark):
+    text = " ".join(prose(random.Random(9), 200))
+    got = passages._packed(spark.createDataFrame([(i, text) for i in range(300)], "doc_id long, text string").coalesce(1), 35).collect()
+    assert len(got) == 1 and len(got[0]["g"]) == 300 * len(got[0]["us"]) and set(got[0]["un"]) == {300}
+    assert [got[0]["g"][j] for j in got[0]["uj"]] == got[0]["ug"] and max(got[0]["doc"][j] for j in got[0]["uj"]) == 0
+
+
+def test_hashes_of_words_and_anchors():
+    pick = random.Random(10)
+    lines = [prose(pick, pick.randint(0, 60)) for _ in range(4000)] + [["z" * 200_000, "a", "z" * 200_000], []]
+    h, line = passages.worded("\n".join(map(" ".join, lines)).encode())
+    assert line.tolist() == [i for i, w in enumerate(lines) for _ in w]
+    flat = [w for x in lines for w in x]
+    assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
+    for size, span in ((100, 30), (30, 30), (50, 1), (12, 7)):
+        g = passages.np.array([pick.randint(0, 9) for _ in range(size)])
+        assert passages.minimizers(g, span).tolist() == [min(range(i, i + span), key=lambda k: (g[k], k)) for i in range(size - span + 1)]
+    g, _, doc, lo, hi = passages.segments(h, line, 35)
+    for d, of in passages._stretches(passages.np.ones(len(g), bool), doc, lo, hi, 35).items():
+        assert of == [(0, len(lines[d]))]  # the segments of a document follow each other
+
+
 def test_automaton_finds_phrases_at_words_only():
     code = passages.Words()
     of = lambda *ws: "".join(code[w] for w in ws)
