@@ -62,7 +62,7 @@ def _contracted(links: DataFrame) -> DataFrame:
         if held:
             yield _least(pd.concat(held))
 
-    return links.repartitionByRange("u").mapInPandas(run, links.schema)
+    return links.repartitionByRange("u").sortWithinPartitions("u").mapInPandas(run, links.schema)
 
 
 def stars(links: DataFrame) -> DataFrame:
