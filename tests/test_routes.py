@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import display, geo
 from meridia.operators import conflate, graph
+from meridia.plans import guiding
 from meridia.sources.tables import road_edges
 
 
@@ -59,6 +60,53 @@ def test_alternatives_are_not_much_slower_nor_the_same(spark):
             assert sum(r["metres"] for r in way if r["edge"] in same) <= 0.7 * sum(r["metres"] for r in way)
 
 
+def test_alternatives_of_every_request(spark):
+    """The query against a heap: each supplier whose goal can be reached has its ways, none is left out."""
+    steps = [tuple(r) for r in graph.priced(road_edges(spark, SF), "CAR").select("u", "v", "edge", "ms", "metres").collect()]
+    into, out = {}, {}
+    for u, v, e, ms, m in steps:
+        out.setdefault(u, []).append((v, e, ms, m))
+        into.setdefault(v, []).append((u, e, ms, m))
+
+    def way(start, goal, dear):
+        """(edge, ms, metres) of the cheapest way, ties to the least node before, or none."""
+        price = lambda ms, e: max(1, round(ms * dear[e])) if e in dear else ms
+        best, heap = {start: 0}, [(0, start)]
+        while heap:
+            c, n = heapq.heappop(heap)
+            if c == best[n]:
+                for v, e, ms, _ in out.get(n, ()):
+                    if c + price(ms, e) < best.get(v, 1 << 60):
+                        best[v] = c + price(ms, e)
+                        heapq.heappush(heap, (best[v], v))
+        walk, n = [], goal
+        while n != start and goal in best:
+            u, e, ms, m = min(s for s in into[n] if s[0] in best and best[s[0]] + price(s[2], s[1]) == best[n])
+            walk.append((e, ms, m))
+            n = u
+        return walk
+
+    want, asked = {}, guiding.requests(spark, SF).collect()
+    for k, start, goal in asked:
+        ways, dear = [w for w in [way(start, goal, {})] if w], {}
+        for _ in range(4 if ways else 0):
+            if len(ways) > 2:
+                break
+            for w in ways:
+                for e, *_ in w:
+                    dear[e] = dear.get(e, 1.0) * 1.6
+            w = way(start, goal, dear)
+            if sum(s[1] for s in w) > 1.45 * sum(s[1] for s in ways[0]):
+                break
+            if all(sum(m for e, _, m in w if e in {s[0] for s in o}) <= 0.7 * sum(s[2] for s in w) for o in ways):
+                ways.append(w)
+        want |= {(k, i): (sum(s[1] for s in w), len(w), sum(s[2] for s in w)) for i, w in enumerate(ways)}
+    got = {(r["request"], r["rank"]): r for r in guiding.queries()["route_alternatives"](spark, SF).collect()}
+    assert {k: (r["ms"], r["edges"]) for k, r in got.items()} == {k: w[:2] for k, w in want.items()}
+    assert all(abs(r["metres"] - want[k][2]) <= 0.5 + 1e-6 for k, r in got.items())
+    assert len({k for k, _ in got}) > len(asked) // 2
+
+
 def test_conflation(spark):
     """A street beside the first part of a state road, and one that crosses it."""
     up = 10 / geo.DEGREE_M
