@@ -161,10 +161,16 @@ def paths(steps: DataFrame, requests: DataFrame, dearer: DataFrame | None = None
     state = paths_.searched(blocks, seeds, r.select("request", F.col("goal").alias("node"), F.lit(0).cast("long").alias("tail")), dearer)
     ends = paths_.labelled(state, r.select("request", F.col("goal").alias("node"), F.col("gblock").alias("block"))).select("request", "node", "block")
     walk, _ = paths_.traced(state, ends)
+    forgotten(state)
     own = steps.select(F.col("u").alias("back"), F.col("v").alias("node"), "edge", "ms", "metres")
     return walk.join(own, ["back", "node", "edge"]).select("request", "pos", "edge", "node", "ms", "metres")
 
 
+def millimetres(metres: Column) -> Column:
+    """metres of a step as a whole number: sums of these are exact in any order."""
+    return F.round(metres * 1000).cast("long")
+
+
 def routes(edges: DataFrame, requests: DataFrame, profile: str, alternatives: int = 0) -> DataFrame:
     """request, rank, pos, edge, node, ms, metres: the quickest path (rank 0) and other ways by the penalty method.
 
@@ -182,10 +188,10 @@ def routes(edges: DataFrame, requests: DataFrame, profile: str, alternatives: in
         factor = F.pow(F.lit(DEARER), F.col("n"))
         dearer = cut(once.select("request", "edge", factor.alias("factor")) if dearer is None else dearer.join(once, ["request", "edge"], "full").select("request", "edge", (F.coalesce("factor", F.lit(1.0)) * F.coalesce(factor, F.lit(1.0))).alias("factor")))
         found = cut(paths(steps, open_, dearer, blocks))
-        whole = found.groupBy("request").agg(F.sum("ms").alias("ms"), F.sum("metres").alias("all")).join(base, "request").filter(F.col("ms") <= SLOWEST * F.col("base"))
-        shared = found.join(accepted.select("request", "edge", F.col("rank").alias("of")).distinct(), ["request", "edge"]).groupBy("request", "of").agg(F.sum("metres").alias("m"))
+        whole = found.groupBy("request").agg(F.sum("ms").alias("ms"), F.sum(millimetres(F.col("metres"))).alias("all")).join(base, "request").filter(F.col("ms") <= SLOWEST * F.col("base"))
+        shared = found.join(accepted.select("request", "edge", F.col("rank").alias("of")).distinct(), ["request", "edge"]).groupBy("request", "of").agg(F.sum(millimetres(F.col("metres"))).alias("m"))
         shared = shared.groupBy("request").agg(F.max("m").alias("m"))
-        fresh = whole.join(shared, "request", "left").filter(F.coalesce("m", F.lit(0.0)) <= SHARED * F.col("all"))
+        fresh = whole.join(shared, "request", "left").filter(F.coalesce("m", F.lit(0)) <= SHARED * F.col("all"))
         rank = accepted.groupBy("request").agg((F.max("rank") + 1).alias("rank"))
         accepted = cut(accepted.unionByName(found.join(fresh.select("request"), "request").join(rank, "request").select(*accepted.columns)))
         full = accepted.groupBy("request").agg(F.max("rank").alias("r")).filter(F.col("r") >= alternatives).select("request")

@@ -67,7 +67,7 @@ def asked(s, d):
 def queries():
     return {
         "route_paths": lambda s, d: graph.paths(graph.priced(road_edges(s, d), "CAR"), requests(s, d)),
-        "route_alternatives": lambda s, d: graph.routes(road_edges(s, d), requests(s, d), "CAR", 2).groupBy("request", "rank").agg(F.sum("ms").alias("ms"), F.round(F.sum("metres"), 0).alias("metres"), F.count("*").alias("edges")),
+        "route_alternatives": lambda s, d: graph.routes(road_edges(s, d), requests(s, d), "CAR", 2).groupBy("request", "rank").agg(F.sum("ms").alias("ms"), F.round(F.sum(graph.millimetres(F.col("metres"))) / 1000, 0).alias("metres"), F.count("*").alias("edges")),
         "route_legs": lambda s, d: legs.legs(road_edges(s, d), snaps(s, d), "CAR"),
         "route_shapes": lambda s, d: legs.routes_of(legs.legs(road_edges(s, d), snaps(s, d), "CAR"), leg_list(s, d), road_edges(s, d)).select("trip", F.round("metres", 2).alias("metres"), "ms", (F.abs(line_length(F.col("shape")) - F.col("metres")) < 0.5).alias("as_long")),
         "route_steps": route_steps,
